@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lm import lm_scores
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.substrings import substring_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,34 @@ def op2_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), folds=10)
 
 
+def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, budget=2, seed=42)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_backoff, op10_simhash_trie)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_lm_backoff, op8_substring_doubling, op10_simhash_trie)}
+#: Words start after white space; a repeat is judged on the input by its words and the smallest doc_id.
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[ \x09-\x0D]+'), lambda x: x <> ''), []) AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w)
+), l AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+r AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM g JOIN l USING (s) WHERE g.doc_id > l.least
+), k AS (
+  SELECT w.doc_id, u.p, u.word, r.p IS NOT NULL AS gone
+  FROM w, LATERAL (SELECT unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p) u
+  LEFT JOIN r ON r.doc_id = w.doc_id AND r.p = u.p
+)
+SELECT w.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) GROUP BY w.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op8_substring_doubling": OP8_SQL}
