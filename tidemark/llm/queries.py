@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import new_path
 from tidemark.llm.lm import lm_scores
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import substring_digests
+from tidemark.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,23 @@ def op2_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), folds=10)
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file, as installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_table(spark, sf_dir, "documents"), window=13)
 
@@ -27,7 +47,7 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_backoff, op8_substring_doubling, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op2_lm_backoff, op4_best_fit_packing, op7_token_files, op8_substring_doubling, op10_simhash_trie)}
 #: Words start after white space; a repeat is judged on the input by its words and the smallest doc_id.
 OP8_SQL = r"""
 WITH w AS (
