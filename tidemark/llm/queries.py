@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import chat_digests
 from tidemark.llm.common import new_path
 from tidemark.llm.lm import lm_scores
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import quality_scores
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import substring_digests
 from tidemark.llm.token_files import read_token_files, write_token_files
@@ -17,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
 def op2_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), folds=10)
 
@@ -32,6 +38,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
 
 
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_digests(rows.unionByName(extra))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -47,7 +60,30 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_backoff, op4_best_fit_packing, op7_token_files, op8_substring_doubling, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op4_best_fit_packing, op6_chat_events, op7_token_files, op8_substring_doubling, op10_simhash_trie)}
+def _escaped(x: str) -> str:
+    for plain, safe in (("\\", "\\e"), ("<s>", "\\ls>"), ("</s>", "\\l/s>"), ("[INST]", "\\bINST]"), ("[/INST]", "\\b/INST]")):
+        x = f"replace({x}, '{plain}', '{safe}')"
+    return x
+
+
+#: A turn's marks take 3 + 6 + 7 + 4 characters besides its escaped role and text.
+OP6_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t NULLS FIRST) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(20 + length({_escaped("role")}) + length({_escaped("text")})) AS chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
 #: Words start after white space; a repeat is judged on the input by its words and the smallest doc_id.
 OP8_SQL = r"""
 WITH w AS (
@@ -68,4 +104,4 @@ SELECT w.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(*) FI
 FROM w LEFT JOIN k USING (doc_id) GROUP BY w.doc_id
 """
 
-ORACLE: dict[str, str] = {"op8_substring_doubling": OP8_SQL}
+ORACLE: dict[str, str] = {"op6_chat_events": OP6_SQL, "op8_substring_doubling": OP8_SQL}
