@@ -165,13 +165,13 @@ def _score(batches: Iterator[pa.RecordBatch], n: int, v: int, n1: int, n2: int)
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def lm_scores(docs: DataFrame, folds: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, chunk_bytes: int = 6 << 20) -> DataFrame:
     """Scores of all texts by the model of those whose crc32(doc_id as text) mod folds is not 0."""
     spark = docs.sparkSession
     ids = F.col("doc_id").cast("long")
     rows = docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.coalesce(ids.cast("string"), F.lit(""))) % folds == 0).alias("held_out"))
     chunks, _ = materialise(arrow_map(rows, lambda b: _read(b, chunk_bytes), "chunk long, data binary"), "lm-texts")
-    buckets = max(1, chunks.select("chunk").count())
+    buckets = max(1, chunks.select("chunk").count() // 3)  # a bucket gets about as many keys as three chunks have
     parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = arrow_map(chunks, lambda b: _ask(b, buckets), "bucket int, chunk long, asked binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     answered, _ = materialise(arrow_map(asked, _answer, "bucket int, chunk long, answer binary, n long, v long, n1 long, n2 long"), "lm-counts")
