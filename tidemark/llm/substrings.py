@@ -9,7 +9,7 @@ document alone end there. `repeat_levels` carries the doubling on beyond the ful
 left.
 
 At scale: a task turns a chunk of texts into one row per anchor, with 32-bit checks of the full windows that
-hang on it (on top of the anchor's 64 bits). Within a chunk, of anchors with equal full windows only the
+hang on it (beside the anchor's 64 bits). Within a chunk, of anchors with equal full windows only the
 smallest document's travel; the others are repeats already. So a passage that a third of all documents hold
 costs a row per chunk. Rows meet by anchor, in key order, in bounded pieces. Repeats travel back to their
 text as runs of windows.
@@ -34,7 +34,9 @@ from tidemark.llm.common import arrow_map, key_chunks, text_chunks
 from tidemark.llm.words import Words, mix
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_HEAD = np.dtype([("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("n", "<i4")])
+#: Runs of windows as they travel: a row's doc_id and 32 bits of its text's hash, the first window, how many
+#: windows; less than none for those known to be repeats.
+_HEAD = np.dtype([("doc", "<i8"), ("text", "<u4"), ("at", "<i4"), ("n", "<i4")])
 
 
 def _window_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -97,7 +99,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, size: int) -> Itera
         n = np.diff(np.r_[first, len(at)])
         ids = t.column("doc_id").to_numpy()
         heads = np.zeros(len(first), _HEAD)
-        heads["doc"], heads["text"] = ids[text[first]], t.column("th").to_numpy()[text[first]]
+        heads["doc"], heads["text"] = ids[text[first]], t.column("th").to_numpy()[text[first]].astype(np.uint32)
         heads["at"], heads["n"] = whole[first] - w.starts[text[first]], n
         key = low[first]
         # equal groups of full windows within the chunk: only the smallest document's travel
@@ -108,9 +110,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, size: int) -> Itera
         least[order] = np.repeat(heads["doc"][order][new], np.diff(np.r_[new, len(order)]))
         told = heads["doc"] > least
         sent = ~told
-        yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), pa.array(np.ones(sent.sum(), bool)), _blobs(heads[sent], (full >> np.uint64(32)).astype(np.uint32), first[sent])], ["key", "open", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), _blobs(heads[sent], (full >> np.uint64(32)).astype(np.uint32), first[sent])], ["key", "data"])
         done = _merged(heads[told])
-        yield pa.RecordBatch.from_arrays([pa.array(mix(done["doc"].astype(np.uint64) + done["at"].astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(done), bool)), _blobs(done, np.empty(0, np.uint32), np.zeros(len(done), np.int64))], ["key", "open", "data"])
+        keys = mix(done["doc"].astype(np.uint64) + done["at"].astype(np.uint64)).view(np.int64)
+        done["n"] *= -1
+        yield pa.RecordBatch.from_arrays([pa.array(keys), _blobs(done, np.empty(0, np.uint32), np.zeros(len(done), np.int64))], ["key", "data"])
 
 
 def _merged(heads: np.ndarray) -> np.ndarray:
@@ -127,14 +131,17 @@ def _merged(heads: np.ndarray) -> np.ndarray:
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in key_chunks(batches, "key"):
-        key, open_ = t.column("key").to_numpy(), t.column("open").to_numpy()
+        key = t.column("key").to_numpy()
         data = t.column("data").combine_chunks()
         offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64)
         raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.empty(0, np.uint8)
         first = _runs(key)
         count = np.diff(np.r_[first, len(key)])
-        rows = np.flatnonzero(open_ & np.repeat(count > 1, count))  # level one: half windows found once end here
-        heads = raw[(offsets[rows][:, None] + np.arange(_HEAD.itemsize)).ravel()].view(_HEAD)
+        heads = raw[(offsets[:-1, None] + np.arange(_HEAD.itemsize)).ravel()].view(_HEAD)
+        told = heads[heads["n"] < 0]
+        told["n"] *= -1
+        rows = np.flatnonzero((heads["n"] > 0) & np.repeat(count > 1, count))  # level one: half windows found once end here
+        heads = heads[rows]
         n = heads["n"].astype(np.int64)
         row = np.repeat(np.arange(len(rows)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -148,19 +155,18 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.flatnonzero(doc > least)  # level two: full windows found in a smaller document
         out = np.zeros(len(found), _HEAD)
         out["doc"], out["text"], out["at"], out["n"] = doc[found], heads["text"][row[found]], heads["at"][row[found]] + step[found], 1
-        told = np.flatnonzero(~open_)
-        out = _merged(np.concatenate([out, raw[(offsets[told][:, None] + np.arange(_HEAD.itemsize)).ravel()].view(_HEAD)]))
+        out = _merged(np.concatenate([out, told]))
         if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[x])) for x in ("doc", "text", "at", "n")], ["doc", "text", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[x]).astype(kind)) for x, kind in (("doc", "i8"), ("text", "i8"), ("at", "i4"), ("n", "i4"))], ["doc", "text", "at", "n"])
 
 
 def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """(doc, text, at, n): n windows from word at on, of the text with hash text, are repeats."""
+    """(doc, text, at, n): n windows from word at on, of doc's text whose hash ends in the 32 bits text, are repeats."""
     if window < 2:
         raise ValueError("a window has two words at least")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th")).where("doc_id is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = arrow_map(rows, lambda b: _anchors(b, window, chunk_bytes), "key long, open boolean, data binary")
+    found = arrow_map(rows, lambda b: _anchors(b, window, chunk_bytes), "key long, data binary")
     return arrow_map(found.repartition(parts, "key").sortWithinPartitions("key"), _resolve, "doc long, text long, at int, n int")
 
 
@@ -180,7 +186,7 @@ def _cut(text: str | None, runs: list | None, window: int) -> tuple[list[bytes],
 def _joined(docs: DataFrame, window: int) -> DataFrame:
     """docs with _tm_runs, the runs of each text's repeats."""
     runs = repeats(docs, window).groupBy(F.col("doc").alias("_tm_doc"), F.col("text").alias("_tm_text")).agg(F.collect_list(F.struct("at", "n")).alias("_tm_runs"))
-    at = (docs["doc_id"].cast("long") == runs["_tm_doc"]) & (F.xxhash64(docs["text"].cast("string")) == runs["_tm_text"])
+    at = (docs["doc_id"].cast("long") == runs["_tm_doc"]) & (F.xxhash64(docs["text"].cast("string")).bitwiseAND(0xFFFFFFFF) == runs["_tm_text"])
     return docs.join(runs.hint("shuffle_hash"), at, "left").drop("_tm_doc", "_tm_text")
 
 
