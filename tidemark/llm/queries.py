@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import chat_digests
 from tidemark.llm.common import new_path
+from tidemark.llm.embeddings import embedding_groups
 from tidemark.llm.lm import lm_scores
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import substring_digests
 from tidemark.llm.token_files import read_token_files, write_token_files
+from tidemark.llm.warc import page_digests, read_warc, write_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
 
@@ -55,12 +61,18 @@ def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_table(spark, sf_dir, "documents"), window=13)
 
 
+def op9_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_pages(_table(spark, sf_dir, "pages"), path, least=0)
+    return page_digests(read_warc(spark, path, payload=False))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, budget=2, seed=42)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op4_best_fit_packing, op6_chat_events, op7_token_files, op8_substring_doubling, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie)}
 def _escaped(x: str) -> str:
     for plain, safe in (("\\", "\\e"), ("<s>", "\\ls>"), ("</s>", "\\l/s>"), ("[INST]", "\\bINST]"), ("[/INST]", "\\b/INST]")):
         x = f"replace({x}, '{plain}', '{safe}')"
