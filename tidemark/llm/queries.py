@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import chat_digests
 from tidemark.llm.common import new_path
+from tidemark.llm.decontaminate import contamination
 from tidemark.llm.embeddings import embedding_groups
 from tidemark.llm.lm import lm_scores
 from tidemark.llm.packing import pack_documents
@@ -44,6 +45,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
 
 
+def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -72,7 +77,7 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op5_latent_leaks, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie)}
 def _escaped(x: str) -> str:
     for plain, safe in (("\\", "\\e"), ("<s>", "\\ls>"), ("</s>", "\\l/s>"), ("[INST]", "\\bINST]"), ("[/INST]", "\\b/INST]")):
         x = f"replace({x}, '{plain}', '{safe}')"
