@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -85,7 +86,7 @@ def key_chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000)
         yield pa.Table.from_batches(held)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 16 << 20) -> Iterator[pa.Table]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 6 << 20) -> Iterator[pa.Table]:
     """Regroup batches into tables of about so many bytes of text; a longer text stands alone."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -101,6 +102,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             if end < b.num_rows:
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
+                give_back()
             at = end
     if held:
         yield pa.Table.from_batches(held)
@@ -152,6 +154,20 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)

@@ -152,7 +152,7 @@ class Places:
         return self.first[run] + r // each, self.at[run] + r % each * length
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[x]).astype(kind)) for x, kind in (("doc", "i8"), ("text", "i8"), ("at", "i4"), ("n", "i4"))], ["doc", "text", "at", "n"])
 
 
-def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 16 << 20) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(doc, text, at, n): n windows from word at on, of doc's text whose hash ends in the 32 bits text, are repeats."""
     if window < 2:
         raise ValueError("a window has two words at least")

@@ -33,7 +33,7 @@ class Learnt:
 
     def forget(self) -> None:
         self.key = self.check = np.empty(0, np.uint64)
-        self.at = self.n = np.empty(0, np.int64)
+        self.at = self.n = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
     @staticmethod
@@ -50,7 +50,7 @@ class Learnt:
         return np.where((self.key[k] == key) & (self.check[k] == check), k, -1)
 
     def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        at = len(self.ids) + np.cumsum(n) - n
+        at, n = (len(self.ids) + np.cumsum(n) - n).astype(np.int32), n.astype(np.int32)
         key, check, at, n = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.at, at), (self.n, n)))
         self.key, first = np.unique(key, return_index=True)
         self.check, self.at, self.n, self.ids = check[first], at[first], n[first], np.concatenate([self.ids, ids])
@@ -65,7 +65,7 @@ def gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; special strings are ordinary text."""
 
-    def __init__(self, path: str, kept: int = 1_500_000):
+    def __init__(self, path: str, kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,8 +107,8 @@ class Encoder:
                 ids, n = self._by_library(fresh)
             self.learnt.add(key[new], check[new], ids, n)
         at = self.learnt.find(key, check)
-        n = self.learnt.n[at]
-        return gather(self.learnt.ids, self.learnt.at[at], n), n
+        n = self.learnt.n[at].astype(np.int64)
+        return gather(self.learnt.ids, self.learnt.at[at].astype(np.int64), n), n
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.learnt.key) > self.learnt.most:
