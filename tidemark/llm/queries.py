@@ -78,6 +78,8 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op5_latent_leaks, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie)}
+
+
 def _escaped(x: str) -> str:
     for plain, safe in (("\\", "\\e"), ("<s>", "\\ls>"), ("</s>", "\\l/s>"), ("[INST]", "\\bINST]"), ("[/INST]", "\\b/INST]")):
         x = f"replace({x}, '{plain}', '{safe}')"
@@ -121,4 +123,28 @@ SELECT w.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(*) FI
 FROM w LEFT JOIN k USING (doc_id) GROUP BY w.doc_id
 """
 
-ORACLE: dict[str, str] = {"op6_chat_events": OP6_SQL, "op8_substring_doubling": OP8_SQL}
+#: All pairs, then what links reach; for the small tables that SQL is compared on.
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1), g AS (SELECT vec_id, min(c) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(g.c, vec_id) AS component_id, vec_id = coalesce(g.c, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN g USING (vec_id)
+"""
+
+#: Five hexadecimal digits of a SHA-1 are four of base 32.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT h, min(page_id) AS least FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+ORACLE: dict[str, str] = {"op3_rotation_codes": OP3_SQL, "op6_chat_events": OP6_SQL, "op8_substring_doubling": OP8_SQL, "op9_warc_source": OP9_SQL}
