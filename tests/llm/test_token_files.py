@@ -40,6 +40,8 @@ def test_files_read_back_in_order(spark):
     T.write_token_files(df, out, path, segment_bytes=2000)
     got = sorted(map(tuple, T.read_token_files(spark, out).collect()), key=lambda r: r[1])
     assert got == want
+    short = T.read_token_files(spark, out, with_ids=False)
+    assert sorted(map(tuple, short.collect()), key=lambda r: r[1]) == [w[:4] for w in want]
     out = new_path(spark, "tokens")
     T.write_token_files(df.limit(0), out, path)
     assert T.read_token_files(spark, out).collect() == []

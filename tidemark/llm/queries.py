@@ -59,7 +59,7 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, path, with_ids=False)
 
 
 def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,23 +132,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     arrow_map(ordered, lambda b: _encode(b, tokenizer, end_id, segment_bytes), "part int, number int, before long, n_ids long, data binary").write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document; start counts the ids of all before it."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each document; start counts the ids of all before it.
+
+    with_ids=False reads and sums the ids all the same, but leaves their column out of the result.
+    """
     segments = spark.read.schema("part int, number int, before long, n_ids long, data binary").parquet(path)
     sums = sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect())  # a row for each part written
     begin = np.cumsum([0, *(n for _, n in sums)]).tolist()
     base = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, begin)], "part int, base long")
 
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, data in zip(b.column("start").to_pylist(), b.column("data")):
                 s = Segment(data.as_py())
                 runs = [s.document(k).astype("<u4") for k in range(len(s.ends))]
                 sizes = np.diff(np.r_[0, s.ends])
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, s.ends].astype(np.int32)), pa.array(np.concatenate(runs).astype(np.int32)))
                 crc = [zlib.crc32(x.tobytes()) for x in runs]
-                cols = [pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(start + s.ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), ids]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                cols = [pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(start + s.ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, s.ends].astype(np.int32)), pa.array(np.concatenate(runs).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     placed = segments.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
-    return arrow_map(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return arrow_map(placed, run, schema)
