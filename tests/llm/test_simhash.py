@@ -69,3 +69,10 @@ def test_edges(spark):
     assert got == [(0, 7), (3, 3), (5, 3), (7, 7), (7, 7)]
     assert sorted(r.doc_id or 0 for r in S.drop_near_duplicates(df).collect()) == [0, 3, 7]
     assert S.simhash_groups(df.limit(0)).collect() == []
+
+
+def test_unlike_rows_of_a_doc_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, c), (2, c), (None, c)], "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (2, c), (None, c)], key=str)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import arrow_map, connected_components, find_roots, key_chunks, materialise
 
@@ -144,23 +145,42 @@ def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    return _placed(docs, shingle, budget, seed).select("doc_id", "fp", "component_id")
+
+
+def _placed(docs: DataFrame, shingle: int, budget: int, seed: int = 42) -> DataFrame:
+    """simhash_groups with c, a fingerprint of the component: a doc_id that repeats may name several."""
     fps, _ = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     parts = connected_components(near_links(fps, budget))
     named = first.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "c").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "c").select("fp", "c", "component_id")
+    return fps.join(classes, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     """Keep the document with the smallest doc_id of each group; all columns stay.
 
-    Of rows that repeat a doc_id the one with the smallest text stays. Rows without a doc_id stay, but one of
-    those with equal texts.
+    Rows are told apart by doc_id and fingerprint: of rows that repeat a doc_id only those go whose own text is in
+    the group of a smaller one, and of near copies among them the one with the smallest text stays. Rows without
+    a doc_id stay, but one of those with equal texts; `near.drop_near_copies` drops them too.
     """
-    gone = simhash_groups(docs, shingle, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("_tm_id"), F.lit(False).alias("_tm_none")).distinct()
-    ids = docs["doc_id"].cast("long")
-    keyed = docs.withColumns({"_tm_id": F.coalesce(ids, F.xxhash64("text")), "_tm_none": ids.isNull()})
-    first = F.row_number().over(Window.partitionBy("_tm_id", "_tm_none").orderBy("text"))
-    return keyed.join(gone, ["_tm_id", "_tm_none"], "left_anti").withColumn("_tm_row", first).where("_tm_row = 1").select(*docs.columns)
+    groups, _ = materialise(_placed(docs, shingle, budget), "groups")
+    classes = groups.where("doc_id is not null").select(F.col("doc_id").alias("_tm_id"), F.col("fp").alias("_tm_fp"), F.col("component_id").alias("_tm_least"), F.col("c").alias("_tm_part")).distinct()
+    names = [f"_tm_{k}" for k in range(len(docs.columns))]
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, docs.schema)), StructField("_tm_fp", LongType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in b.column(at).cast(pa.string()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*names, "_tm_fp"])
+
+    rows = arrow_map(docs.toDF(*names), run, schema).withColumn("_tm_id", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    text = names[at]
+    with_id = rows.where("_tm_id is not null").join(classes, ["_tm_id", "_tm_fp"]).where("_tm_id = _tm_least").drop("_tm_least")
+    without = rows.where("_tm_id is null").withColumn("_tm_part", F.lit(None).cast("long"))
+    first = F.row_number().over(Window.partitionBy("_tm_id", "_tm_part", F.when(F.col("_tm_id").isNull(), F.xxhash64(text))).orderBy(text))
+    both = with_id.unionByName(without).withColumn("_tm_row", first).where("_tm_row = 1")
+    return both.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
