@@ -71,3 +71,17 @@ def test_records_are_plain_gzip_and_payloads_are_skipped():
     broken[5000:9000] = b"\xff" * 4000  # the payload can't be inflated, the header can
     rows = list(W.read_records(io.BytesIO(bytes(broken) + two), 0, len(broken + two), payload=False))
     assert [(r["record_type"], r["payload_length"], r["refers_to"]) for r in rows] == [("response", 10000, None), ("revisit", 3, "urn:page:1")]
+
+
+def test_digests_are_those_of_the_payloads_read(spark):
+    path = new_path(spark, "warc")
+    W.write_pages(spark.createDataFrame(ROWS, SCHEMA), path)
+    assert sorted(map(tuple, W.read_digests(spark, path).collect()), key=str) == brute(ROWS)
+    path = new_path(spark, "warc")
+    W.register(spark)
+    rows = [("urn:page:1", "response", "u", None, "00" * 20, 99, b"four"), ("urn:page:2", "revisit", "u", "urn:page:1", "00" * 20, 99, None)]
+    store, folder = W._open(path)
+    store.create_dir(folder)
+    spark.createDataFrame(rows, W.SCHEMA).write.format("warc").mode("append").save(path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in W.read_digests(spark, path).collect()}
+    assert got == {1: (4, sha("four")), 2: (None, None)}  # no record holds what the header tells

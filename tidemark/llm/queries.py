@@ -15,7 +15,7 @@ from tidemark.llm.quality import quality_scores
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import substring_digests
 from tidemark.llm.token_files import read_token_files, write_token_files
-from tidemark.llm.warc import page_digests, read_warc, write_pages
+from tidemark.llm.warc import read_digests, write_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_pages(_table(spark, sf_dir, "pages"), path, least=0)
-    return page_digests(read_warc(spark, path, payload=False))
+    return read_digests(spark, path)
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

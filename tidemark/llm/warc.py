@@ -22,6 +22,7 @@ pyarrow's file systems reach (local and shared disks, HDFS, S3, GCS).
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 import struct
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import arrow_map, materialise, prepare
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: Fixed values of the formats: gzip member with an extra field, and our extra subfield.
@@ -285,3 +286,22 @@ def page_digests(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records of pages."""
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
     return records.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """page_digests with length and digest of the payloads as read back; a revisit has those of the record it refers to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            payloads = [x.as_py() or b"" for x in b.column(1)]
+            digests = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in payloads]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, payloads)), pa.int64()), pa.array(digests, pa.string())], ["record_id", "payload_length", "payload_digest"])
+
+    full = read_warc(spark, path).where("record_type = 'response'").select("record_id", "payload")
+    read, _ = materialise(arrow_map(full, run, "record_id string, payload_length long, payload_digest string"), "digests")
+    again = read_warc(spark, path, payload=False).where("record_type = 'revisit'").select("record_id", "refers_to", F.col("payload_digest").alias("told"))
+    # an id may stand on several responses; the digest tells which of them is meant
+    held = read.distinct().select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("told"), "payload_length", "payload_digest")
+    revisits = again.join(held, ["refers_to", "told"], "left").select("record_id", "payload_length", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    responses = read.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
+    return page_digests(responses.unionByName(revisits))
