@@ -2,8 +2,12 @@
 
 A byte-level tokenizer with the usual word pattern never joins a character that is not white space with a
 blank after it, and a tokenizer that drops white space joins nothing across it. So the ids of a text are the
-ids of its stretches one after the other, and a chunk's distinct stretches are far fewer than its words.
-Tokenizers of other makes get whole texts.
+ids of its stretches one after the other, and a chunk's distinct stretches are far fewer than its words. A
+stretch is cut once more where a punctuation mark follows a letter, and around a line break between words, as
+both kinds of tokenizers begin a new word there. Tokenizers of other makes get whole texts.
+
+Cutting and numbering of stretches are Arrow kernels; the library encodes the pieces that a process has not
+met yet, and a bounded dictionary keeps their ids for the next chunks.
 """
 
 from __future__ import annotations
@@ -12,108 +16,114 @@ import functools
 import json
 import os
 import re
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
-#: Places inside a stretch where both kinds of tokenizers begin a new word, whatever stands around them.
-_INNER = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
-
-
-class Learnt:
-    """Ids of stretches by 128-bit hash, in flat arrays; forgets all when it holds more than `most`."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.forget()
+#: White space of any kind, for RE2, whose own class knows the ASCII ones only.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\pZ"
+#: Stands between the pieces of a stretch; stretches that hold it are not cut.
+_MARK = "\x00"
 
-    def forget(self) -> None:
-        self.key = self.check = np.empty(0, np.uint64)
-        self.at = self.n = np.empty(0, np.int32)
-        self.ids = np.empty(0, np.uint32)
+#: Pieces that every step before the model leaves as they are: letters that are lower-case and composed already
+#: where that matters, with their blank where it belongs to them.
+_PLAIN = {
+    ("led", False): "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$",
+    ("bare", True): "^[a-zß-öø-ÿ]+$",
+    ("bare", False): "^[A-Za-zÀ-ÖØ-öø-ÿ]+$",
+}
 
-    @staticmethod
-    def hashes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        digest = xxhash.xxh3_128_digest
-        both = np.frombuffer(b"".join([digest(u) for u in units]), np.uint64).reshape(-1, 2)
-        return both[:, 0].copy(), both[:, 1].copy()
-
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Place of each, or -1."""
-        if not len(self.key):
-            return np.full(len(key), -1)
-        k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.key[k] == key) & (self.check[k] == check), k, -1)
 
-    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        at, n = (len(self.ids) + np.cumsum(n) - n).astype(np.int32), n.astype(np.int32)
-        key, check, at, n = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.at, at), (self.n, n)))
-        self.key, first = np.unique(key, return_index=True)
-        self.check, self.at, self.n, self.ids = check[first], at[first], n[first], np.concatenate([self.ids, ids])
+def _number(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each value among the distinct ones, and these."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """values[at[0]:at[0]+n[0]], then the next, as one array."""
-    ends = np.cumsum(n)
-    return values[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+def _take(lists: pa.LargeListArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists[at[0]], lists[at[1]] ... as one array, and where each begins, with the end."""
+    out = lists.take(pa.array(at))
+    starts = out.offsets.to_numpy()
+    return out.values.to_numpy()[starts[0] : starts[-1]], starts - starts[0]
 
 
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; special strings are ordinary text."""
 
-    def __init__(self, path: str, kept: int = 800_000):
+    def __init__(self, path: str, kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.learnt = Learnt(kept)
+        self.kept = kept
+        self._forget()
         plan = json.loads(self.tokenizer.to_str())
-        pre, norm = plan["pre_tokenizer"] or {}, plan["normalizer"]
+        pre, norm = plan["pre_tokenizer"] or {}, plan["normalizer"] or {}
         plain = not any(not t["special"] for t in plan["added_tokens"])
         first = (pre.get("pretokenizers") or [{}])[0]
+        steps = [(x.get("type"), x.get("content")) for x in norm.get("normalizers", [norm] if norm else [])]
+        known = {("NFC", None), ("Replace", " "), ("Lowercase", None)}
         #: "led": a stretch takes the blank before it along; "bare": white space is dropped; "whole": no stretches
         self.kind = "whole"
-        if plain and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
+        if plain and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not steps:
             self.kind = "led"
-        elif plain and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]" in first["pattern"].get("Regex", ""):
+        elif plain and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]" in first["pattern"].get("Regex", "") and set(steps) <= known:
             self.kind = "bare"
+        #: the same model without the steps before it, for pieces of plain letters, which these leave as one word
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lowers = self.kind == "bare" and ("Lowercase", None) in steps
 
-    def _by_library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [x.ids for k in range(0, len(units), 20_000) for x in self.tokenizer.encode_batch_fast(units[k : k + 20_000], add_special_tokens=False)]
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter(chain.from_iterable(parts), np.uint32, int(n.sum())), n
-
-    def _learn(self, units: list[str], cut: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, n) of distinct units: the ids of all one after the other, and how many each has."""
-        key, check = Learnt.hashes(units)
-        new = np.flatnonzero(self.learnt.find(key, check) < 0)
-        if len(new):
-            fresh = [units[k] for k in new.tolist()]
-            if cut:  # a word with a full stop is the word and a full stop
-                if self.kind == "bare":
-                    fresh = [u.lower() if u.isascii() else u for u in fresh]
-                pieces = [_INNER.split(u) for u in fresh]
-                number: dict[str, int] = {}
-                codes = np.array([number.setdefault(p, len(number)) for x in pieces for p in x], np.int64)
-                ids, n = self._learn(list(number), False)
-                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                ids, n = gather(ids, (np.cumsum(n) - n)[codes], n[codes]), np.add.reduceat(n[codes], np.cumsum(sizes) - sizes)
-            else:
-                ids, n = self._by_library(fresh)
-            self.learnt.add(key[new], check[new], ids, n)
-        at = self.learnt.find(key, check)
-        n = self.learnt.n[at].astype(np.int64)
-        return gather(self.learnt.ids, self.learnt.at[at].astype(np.int64), n), n
-
-    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.learnt.key) > self.learnt.most:
-            self.learnt.forget()
-        return self._learn(units, True)
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    @staticmethod
+    def _by_library(tokenizer: object, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, n): the ids of all units one after the other, and how many each has."""
+        ids: list[int] = []
+        n: list[int] = []
+        for k in range(0, len(units), 5000):
+            for x in tokenizer.encode_batch_fast(units[k : k + 5000], add_special_tokens=False):
+                own = x.ids
+                ids += own
+                n.append(len(own))
+        return np.array(ids, np.uint32), np.array(n, np.int64)
+
+    def _pieces(self, units: pa.Array) -> pa.LargeListArray:
+        """Ids of each piece."""
+        words = units.to_pylist()
+        if len(self.known) > self.kept:
+            self._forget()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        plain = pc.match_substring_regex(units, _PLAIN[self.kind, self.lowers]).to_numpy(zero_copy_only=False)
+        for tokenizer, new in ((self.bare, np.flatnonzero((at < 0) & plain)), (self.tokenizer, np.flatnonzero((at < 0) & ~plain))):
+            fresh = [words[k] for k in new.tolist()]
+            ids, n = self._by_library(tokenizer, fresh)
+            at[new] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(fresh, at[new].tolist()))
+            self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        ids, starts = _take(pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.ids)), at)
+        return pa.LargeListArray.from_arrays(pa.array(starts), pa.array(ids))
+
+    def _stretches(self, units: pa.Array) -> pa.LargeListArray:
+        """Ids of each distinct stretch, by its pieces."""
+        if self.lowers:
+            units = pc.if_else(pc.string_is_ascii(units), pc.ascii_lower(units), units)  # others are composed first
+        if not pc.any(pc.match_substring(units, _MARK)).as_py():
+            units = pc.replace_substring_regex(units, r"(\pL)([.,;:!?])", rf"\1{_MARK}\2")
+            if self.kind == "led":
+                units = pc.replace_substring_regex(units, rf"([^{_SPACE}])\n([^{_SPACE}])", f"\\1{_MARK}\n{_MARK}\\2")
+            lists = pc.split_pattern(units, _MARK)
+        else:
+            lists = pa.LargeListArray.from_arrays(pa.array(np.arange(len(units) + 1)), units)
+        codes, distinct = _number(lists.values)
+        ids, starts = _take(self._pieces(distinct), codes)
+        return pa.LargeListArray.from_arrays(pa.array(starts[lists.offsets.to_numpy()]), pa.array(ids))
 
     def encode(self, texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): ids[starts[i]:starts[i+1]] are those of text i; null texts have none."""
@@ -121,42 +131,42 @@ class Encoder:
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.kind == "whole":
-            ids, n = self._by_library(texts.to_pylist())
+            ids, n = self._by_library(self.tokenizer, texts.to_pylist())
             return ids, np.r_[0, np.cumsum(n)]
         lists = pc.split_pattern(texts, " ") if self.kind == "led" else pc.ascii_split_whitespace(texts)
         starts = lists.offsets.to_numpy().astype(np.int64)
-        starts, coded = starts - starts[0], lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = _number(lists.values.slice(starts[0], starts[-1] - starts[0]))
+        starts -= starts[0]
         if self.kind == "led":
             codes, starts, words = self._led(texts, codes, starts, words)
-        used, codes = np.unique(codes, return_inverse=True)
-        ids, n = self._ids([words[k] for k in used.tolist()])
-        return gather(ids, (np.cumsum(n) - n)[codes], n[codes]), np.r_[0, np.cumsum(n[codes])][starts]
+        ids, begin = _take(self._stretches(words), codes)
+        return ids, begin[starts]
 
     @staticmethod
-    def _led(texts: pa.Array, codes: np.ndarray, starts: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def _led(texts: pa.Array, codes: np.ndarray, starts: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """A text's first stretch as it is, others with their blank; texts with longer white space are cut anew."""
-        n = len(words)
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
-        first = np.zeros(len(codes), bool)
-        first[starts[:-1]] = True  # each text has one stretch at least, perhaps an empty one
-        number = codes + n * first
-        units = [" " + w for w in words] + words
-        again = np.flatnonzero(np.add.reduceat(odd[codes].astype(np.int64), starts[:-1])) if len(starts) > 1 else []
-        if not len(again):
-            return number, starts, units
-        seen: dict[str, int] = {}
-        parts, at = [], 0
-        sizes = np.diff(starts)
-        for k in again:
-            parts.append(number[starts[at] : starts[k]])
-            text = texts[int(k)].as_py()
-            cut = _BLANK.split(text) if text else []
-            parts.append(np.array([2 * n + seen.setdefault(u, len(seen)) for u in [*cut[:1], *(" " + u for u in cut[1:])]], np.int64))
-            sizes[k] = len(cut)
-            at = k + 1
-        parts.append(number[starts[at] :])
-        return np.concatenate(parts), np.r_[0, np.cumsum(sizes)], units + list(seen)
+        if not len(texts):
+            return codes, starts, words
+        odd = pc.match_substring_regex(words, rf"^$|^[{_SPACE}]|[{_SPACE}]$").to_numpy(zero_copy_only=False)
+        first, bare = _number(words.take(pa.array(codes[starts[:-1]])))  # each text has one stretch at least, perhaps an empty one
+        units = [pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type)), bare]
+        number = codes.astype(np.int64)
+        number[starts[:-1]] = len(words) + first
+        again = np.flatnonzero(np.add.reduceat(odd[codes].astype(np.int64), starts[:-1]))
+        if len(again):
+            base, seen = len(words) + len(bare), {}
+            parts, at, sizes = [], 0, np.diff(starts)
+            for k in again.tolist():
+                parts.append(number[starts[at] : starts[k]])
+                text = texts[k].as_py()
+                cut = _BLANK.split(text) if text else []
+                parts.append(np.array([base + seen.setdefault(u, len(seen)) for u in [*cut[:1], *(" " + u for u in cut[1:])]], np.int64))
+                sizes[k] = len(cut)
+                at = k + 1
+            number = np.concatenate([*parts, number[starts[at] :]])
+            starts = np.r_[0, np.cumsum(sizes)]
+            units.append(pa.array(list(seen), words.type))
+        return number, starts, pa.concat_arrays(units)
 
 
 @functools.lru_cache(2)
