@@ -47,7 +47,8 @@ def test_generated_tables_keep_their_shapes(spark):
     out = {x.job_id: x.n for x in stages.where("stage_result = 'Screenout'").groupBy("job_id").agg(F.count("*").alias("n")).collect()}
     assert out == {1: 1, 2: 1, 3: 6, 4: 1, 5: 6} and sorted(x.id for x in stages.collect()) == list(range(1, 126))
     t = G.frac_telemetry(stages)
-    assert t.where("treating_pressure_psi < 500 or slurry_rate_bpm < 0").count() == 0 and 175_000 < t.count() < 185_000
+    assert t.where("treating_pressure_psi < 500 or slurry_rate_bpm < 0").count() == 0 and t.count() == 179_328
+    assert t.agg(F.max("proppant_concentration_ppg")).first()[0] < 2.1 and t.where("proppant_concentration_ppg > 2").count() > 0
     c = G.climate_readings(spark, AS_OF, days=1)
     assert c.where("humidity < 20 or humidity > 80").count() == 0 and c.count() == 28_800
     assert G.room_readings(spark, AS_OF, days=1, step=timedelta(hours=1)).count() == 100

@@ -22,7 +22,19 @@ from tidemark.streaming.rollup import bucket_stream, write_closed
 
 MODEL = HashingEmbedder(64)
 #: A table of named colours as vectors.
-COLOURS = [(1, "Red", "[1.0, 0.0, 0.0]"), (2, "Green", "[0.0, 1.0, 0.0]"), (3, "Blue", "[0.0, 0.0, 1.0]"), (4, "Yellow", "[1.0, 1.0, 0.0]"), (5, "Magenta", "[1.0, 0.0, 1.0]"), (6, "Cyan", "[0.0, 1.0, 1.0]"), (7, "White", "[1.0, 1.0, 1.0]"), (8, "Black", "[0.0, 0.0, 0.0]"), (9, "Orange", "[1.0, 0.5, 0.0]"), (10, "Light gray", "[0.8, 0.8, 0.8]")]
+COLOURS = [
+    (1, "Red color vector", "[1.0, 0.0, 0.0]"),
+    (2, "Green color vector", "[0.0, 1.0, 0.0]"),
+    (3, "Blue color vector", "[0.0, 0.0, 1.0]"),
+    (4, "Yellow color vector", "[1.0, 1.0, 0.0]"),
+    (5, "Magenta color vector", "[1.0, 0.0, 1.0]"),
+    (6, "Cyan color vector", "[0.0, 1.0, 1.0]"),
+    (7, "White color vector", "[1.0, 1.0, 1.0]"),
+    (8, "Black color vector", "[0.0, 0.0, 0.0]"),
+    (9, "Light gray color vector", "[0.5, 0.5, 0.5]"),
+    (10, "Orange color vector", "[1.0, 0.5, 0.0]"),
+]
+COLOUR_ROWS = ", ".join(f"({k}, '{name}', {vector}::DOUBLE[])" for k, name, vector in COLOURS)
 
 
 def colours(t: Tables) -> DataFrame:
@@ -44,7 +56,7 @@ query("ai_vec_topk", VEC.format(FIRST, "", FIRST, 5))(lambda t: _top(t, t.embedd
 query("ai_vec_topk_sub", VEC.format("3", " WHERE label IN (1, 2, 3)", "3", 10))(lambda t: _top(t, F.lit(3), 10, t.embeddings.where(F.col("label").isin(1, 2, 3))))
 
 
-@query("ai_vec_colours", "SELECT * FROM (VALUES (1, 'Red', 0.0), (9, 'Orange', 0.1056), (4, 'Yellow', 0.2929), (5, 'Magenta', 0.2929), (7, 'White', 0.4226)) v(id, description, distance)".replace("0.0)", "CAST(0 AS DOUBLE))").replace("0.1056", "CAST(0.1056 AS DOUBLE)").replace("0.2929", "CAST(0.2929 AS DOUBLE)").replace("0.4226", "CAST(0.4226 AS DOUBLE)"))
+@query("ai_vec_colours", f"SELECT id, description, round(list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), 4) AS distance FROM (VALUES {COLOUR_ROWS}) v(id, description, embedding) WHERE id <> 8 ORDER BY list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), id LIMIT 5")
 def colour_search(t: Tables) -> DataFrame:
     """A zero vector has no distance and ranks last; ties go by id."""
     return nearest(colours(t), "embedding", parse_vector(F.lit("[1.0, 0.0, 0.0]")), 5, "id").select("id", "description", r4(F.col("distance")).alias("distance"))
@@ -150,13 +162,13 @@ def constraints(t: Tables) -> DataFrame:
     return validate(t.orders, ["o_orderkey"], ["o_orderkey"], {"o_orderstatus": ["F", "O", "P"]}, {"o_custkey": (t.customer, "c_custkey")})
 
 
-@query("outliers", "SELECT event_id, round((value - m) / s, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type, time_bucket(INTERVAL '1 hour', ts))) WHERE s > 0 AND abs(value - m) > 3 * s")
+@query("outliers", "SELECT event_id, round((value - m) / s, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type, time_bucket(INTERVAL '1 hour', ts))) WHERE s > 0 AND abs(value - m) > 2 * s")
 def outliers(t: Tables) -> DataFrame:
-    """Readings over three deviations from their type's hour: the hour's figures are one small row each."""
+    """Readings over two deviations from their type's hour: the hour's figures are one small row each."""
     key = ["event_type", "hour"]
     rows = t.events.withColumn("hour", time_bucket(timedelta(hours=1), "ts"))
     figures = rows.groupBy(*key).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    return rows.join(figures, key).where((F.col("s") > 0) & (F.abs(F.col("value") - F.col("m")) > 3 * F.col("s"))).select("event_id", r4((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
+    return rows.join(figures, key).where((F.col("s") > 0) & (F.abs(F.col("value") - F.col("m")) > 2 * F.col("s"))).select("event_id", r4((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
 
 
 # streams and generators ------------------------------------------------------------------------------------
@@ -186,6 +198,6 @@ _shape("gen_oee", lambda t: generators.oee_readings(t.spark, AS_OF), "line_id",
 _shape("gen_wells", lambda t: generators.well_readings(t.spark, AS_OF), "well_id", "SELECT CAST(unnest(generate_series(1, 20)) AS INT) AS well_id, CAST(8640 AS BIGINT) AS n")
 _shape("gen_stages", lambda t: generators.frac_stages(t.spark, AS_OF), "stage_result", "SELECT * FROM (VALUES ('Screenout', CAST(15 AS BIGINT)), ('Completed', CAST(110 AS BIGINT))) v(stage_result, n)")
 _shape("gen_schedule", lambda t: generators.pump_schedule(generators.frac_stages(t.spark, AS_OF)), "substage_number", "SELECT CAST(unnest(generate_series(1, 7)) AS INT) AS substage_number, CAST(125 AS BIGINT) AS n")
-query("gen_telemetry")(lambda t: generators.frac_telemetry(generators.frac_stages(t.spark, AS_OF)).agg(F.count("*").alias("n")))
+query("gen_telemetry", "SELECT CAST(179328 AS BIGINT) AS n")(lambda t: generators.frac_telemetry(generators.frac_stages(t.spark, AS_OF)).agg(F.count("*").alias("n")))
 _shape("gen_wearables", lambda t: generators.wearable_readings(t.spark, AS_OF, days=1), "device_id", "SELECT CAST(unnest(generate_series(1, 4)) AS INT) AS device_id, CAST(17281 AS BIGINT) AS n")
 _shape("gen_climate", lambda t: generators.climate_readings(t.spark, AS_OF, days=1), "sensor_id", "SELECT 'sensor_' || lpad(CAST(unnest(generate_series(1, 20)) AS VARCHAR), 2, '0') AS sensor_id, CAST(1440 AS BIGINT) AS n")
