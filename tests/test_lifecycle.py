@@ -110,3 +110,53 @@ def test_policies_run_when_due_and_rollups_outlive_raw_chunks(spark):
     p.run(1001, now + DAY)
     assert sorted(map(tuple, r.read().collect())) == sorted(map(tuple, want))
     assert p.catalog(spark).where("kind = 'drop'").first().after_seconds == 14 * 86400
+
+
+def test_a_large_chunk_is_written_by_several_tasks(spark):
+    many = spark.range(200_000).select((F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("ts"), (F.col("id") % 3).cast("int").alias("device"), F.rand(1).alias("v"))
+    t = Hypertable(spark, new_path(spark, "t"), HypertableSpec("t", "ts", timedelta(days=7), ["device"]), many.schema)
+    with_small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "400k", "spark.sql.files.maxPartitionBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in with_small}
+    try:
+        for k, v in with_small.items():
+            spark.conf.set(k, v)
+        t.append(many)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(t.chunk_starts()) == 1 and len(t.scan().inputFiles()) > 1 and t.scan().count() == 200_000
+
+
+def test_rows_without_a_time_are_refused(spark):
+    t = table(spark)
+    with pytest.raises(Exception, match="has no ts"):
+        t.append(spark.createDataFrame([(None, 1, 1.0)], "ts timestamp_ntz, device int, v double"))
+    assert same(t.scan(), rows(spark)) and t.chunks().count() == 4
+
+
+def test_old_snapshots_stay_until_vacuum(spark):
+    t = table(spark)
+    old = t.scan()
+    t.compress_chunks(t.chunk_starts())
+    assert same(old, rows(spark))
+    copy = t.clone(new_path(spark, "copy"))
+    copy.drop_chunks(START + timedelta(days=15))
+    assert copy.vacuum() == []  # these are the first table's
+    assert len(t.vacuum()) == 4 and same(t.scan(), rows(spark)) and copy.scan().count() == 56
+
+
+def test_decompress_columns_options_and_description(spark):
+    t = table(spark)
+    first = t.chunk_starts()[0]
+    t.compress_chunk(first)
+    t.decompress_chunk(first)
+    t.decompress_chunk(first)
+    assert same(t.scan(), rows(spark)) and t.chunks().where("is_compressed").count() == 0
+    t.add_column("note", "string")
+    t.append(rows(spark, days=1, per_day=1).withColumn("note", F.lit("x")))
+    assert t.scan().where("note = 'x'").count() == 1 and t.scan().where("note is null").count() == rows(spark).count()
+    t.set_options(segment_by=["note"], bloom=["note"])
+    t.compress_chunk(first)
+    assert [(r.column_name, r.data_type, r.role) for r in t.describe().collect()] == [("ts", "timestamp_ntz", "time"), ("device", "int", None), ("v", "double", None), ("note", "string", "segment")]
+    t.drop()
+    assert t.store.names(t.path) == []

@@ -49,9 +49,8 @@ class Policies:
         elif job.kind == "drop":
             job.target.drop_chunks(as_of - job.after)
         else:
-            for start in job.target.chunk_starts():
-                if _time(start) + job.target.spec.chunk <= as_of - job.after:
-                    (job.target.compress_chunk if job.kind == "compress" else job.target.tier_chunk)(start)
+            due = [s for s in job.target.chunk_starts() if _time(s) + job.target.spec.chunk <= as_of - job.after]
+            (job.target.compress_chunks if job.kind == "compress" else job.target.tier_chunks)(due)
         job.last_run = as_of
 
     def run_due(self, as_of: datetime) -> list[int]:

@@ -51,9 +51,8 @@ class Rollup:
         first = first if first >= low else first + self.spec.width
         last = self._floor(end)
         if first < last:
-            self.table.replace(first, last, self.spec.aggregate(self.source.scan(first, last)))
-            if self.watermark() is None or last > self.watermark():
-                self.table.set_fact("watermark", _seconds(last))
+            mark = self.watermark()
+            self.table.replace(first, last, self.spec.aggregate(self.source.scan(first, last)), watermark=_seconds(last if mark is None else max(mark, last)))
 
     def read(self, start: datetime | None = None, end: datetime | None = None, real_time: bool | None = None) -> DataFrame:
         """Buckets in [start, end): the stored ones below the watermark and, in real time, those above from raw rows.
@@ -71,5 +70,5 @@ class Rollup:
         fresh = cut(self.spec.aggregate(self.source.scan(above, None if end is None else self._floor(end) + self.spec.width)))
         if mark is None:
             return fresh if live else fresh.limit(0)
-        stored = cut(self.table.scan(None, mark)).select(*fresh.columns)
+        stored = cut(self.table.scan(start, mark if end is None else min(mark, end))).select(*fresh.columns)
         return stored.unionByName(fresh) if live else stored

@@ -2,8 +2,10 @@
 
 A chunk holds the rows of one span of time. Appending writes new folders and then a new manifest; compacting,
 tiering, replacing and dropping do the same, so readers see a change whole or not at all, and a writer that
-loses the race for the next version fails. Scans read only the folders of chunks that their time range touches
-and keep the time predicate, so Parquet prunes inside them.
+loses the race for the next version fails. Folders that a manifest no longer names stay for readers that still
+use them, until vacuum(). Scans read only the folders of chunks that their time range touches and keep the time
+predicate, so Parquet prunes inside them. Writing rebalances rows by chunk: a large chunk is split over tasks and
+files at run time, small ones share a task. A row without a time is refused.
 """
 
 from __future__ import annotations
@@ -81,8 +83,9 @@ class Hypertable:
         """Folders by chunk start."""
         start = F.floor(micros(F.col(self.spec.time)) / (self._width() * _SECOND)) * self._width()
         order = [*self.spec.segment_by, *(self.spec.order_by or [F.col(self.spec.time).desc()])]
-        rows = df.withColumn("chunk_start", start.cast("long"))
-        rows = rows.repartition("chunk_start", *self.spec.segment_by) if compact else rows.repartition("chunk_start")
+        refused = F.raise_error(F.lit(f"{self.spec.name}: a row has no {self.spec.time}")).cast("long")
+        rows = df.withColumn("chunk_start", F.coalesce(start.cast("long"), refused))
+        rows = rows.hint("rebalance", "chunk_start", *(self.spec.segment_by if compact else ()))
         folder = f"{root}/{uuid.uuid4().hex}"
         writer = rows.sortWithinPartitions("chunk_start", *order).write.partitionBy("chunk_start")
         if compact:
@@ -103,30 +106,66 @@ class Hypertable:
             c["compressed"] = False
         self._publish(m)
 
-    def _rewrite(self, start: str, root: str, **state) -> None:
+    def clone(self, path: str) -> Hypertable:
+        """Another table over the same folders; what either changes later is its own."""
+        other = Hypertable(self.spark, path, self.spec, self.schema)
         m = self.manifest()
-        c = m["chunks"][start]
-        old = c["folders"]
-        new = self._write(self._read(old), root, compact=True)
-        before = c["before"] or sum(self.store.size(f) for f in old)
-        m["chunks"][start] = c | {"folders": list(new.values()), "compressed": True, "before": before, "after": sum(self.store.size(f) for f in new.values())} | state
+        other._publish(m | {"version": 0, "stale": []})
+        return other
+
+    def add_column(self, name: str, kind: str) -> None:
+        """Rows written before have null in it."""
+        m = self.manifest()
+        self.schema = T.StructType([*self.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
+        m["schema"] = self.schema.jsonValue()
         self._publish(m)
-        for f in old:
-            self.store.delete(f)
+
+    def set_options(self, **options) -> None:
+        """segment_by, order_by or bloom of chunks that are written or compacted from now on."""
+        for name, value in options.items():
+            if name not in ("segment_by", "order_by", "bloom"):
+                raise ValueError(f"no option {name}")
+            setattr(self.spec, name, list(value))
+
+    def _rewrite(self, starts: list[str], root: str, compact: bool = True, **state) -> None:
+        """Write chunks anew, all in one job."""
+        if not starts:
+            return
+        m = self.manifest()
+        old = [f for k in starts for f in m["chunks"][k]["folders"]]
+        new = self._write(self._read(old), root, compact)
+        for k in starts:
+            c = m["chunks"][k]
+            before = c["before"] or sum(self.store.size(f) for f in c["folders"])
+            sizes = {"before": before, "after": self.store.size(new[k])} if compact else {"before": None, "after": None}
+            m["chunks"][k] = c | {"folders": [new[k]], "compressed": compact} | sizes | state
+        m["stale"] = m.get("stale", []) + old
+        self._publish(m)
+
+    def compress_chunks(self, starts: list[int]) -> None:
+        """Rewrite chunks grouped and ordered, with strong compression; those that are so already stay."""
+        chunks = self.manifest()["chunks"]
+        self._rewrite([str(s) for s in starts if not chunks[str(s)]["compressed"]], f"{self.path}/data")
 
     def compress_chunk(self, start: int) -> None:
-        """Rewrite a chunk grouped and ordered, with strong compression; again does nothing."""
+        self.compress_chunks([start])
+
+    def decompress_chunk(self, start: int) -> None:
+        """Rewrite a compacted chunk in plain form; again does nothing."""
         c = self.manifest()["chunks"][str(start)]
-        if not c["compressed"]:
-            self._rewrite(str(start), f"{self.path}/data")
+        if c["compressed"]:
+            self._rewrite([str(start)], self.cold if c["tiered"] else f"{self.path}/data", compact=False)
+
+    def tier_chunks(self, starts: list[int]) -> None:
+        """Move chunks to the cold folder."""
+        chunks = self.manifest()["chunks"]
+        self._rewrite([str(s) for s in starts if not chunks[str(s)]["tiered"]], self.cold, tiered=True)
 
     def tier_chunk(self, start: int) -> None:
-        """Move a chunk to the cold folder."""
-        if not self.manifest()["chunks"][str(start)]["tiered"]:
-            self._rewrite(str(start), self.cold, tiered=True)
+        self.tier_chunks([start])
 
-    def replace(self, t0: datetime, t1: datetime, df: DataFrame) -> None:
-        """Put df in the place of the rows in [t0, t1); rewrites the chunks that the range touches."""
+    def replace(self, t0: datetime, t1: datetime, df: DataFrame, **facts) -> None:
+        """Put df in the place of the rows in [t0, t1), and set facts with it; rewrites the chunks that the range touches."""
         if self.schema is None:
             self.schema = df.schema
         m = self.manifest()
@@ -135,26 +174,40 @@ class Hypertable:
         old = [f for c in hit.values() for f in c["folders"]]
         t = F.col(self.spec.time)
         kept = self._read(old).where((t < F.lit(t0).cast("timestamp_ntz")) | (t >= F.lit(t1).cast("timestamp_ntz")))
-        new = self._write(kept.unionByName(df.select(*self.schema.names)), f"{self.path}/data")
+        rows = kept.unionByName(df.select(*self.schema.names)) if old else df.select(*self.schema.names)
+        new = self._write(rows, f"{self.path}/data")
         for k in hit:
             del m["chunks"][k]
         for k, folder in new.items():
             m["chunks"][k] = {"folders": [folder], "compressed": False, "tiered": False, "before": None}
+        m["facts"] |= facts
+        m["stale"] = m.get("stale", []) + old
         self._publish(m)
-        for f in old:
-            self.store.delete(f)
 
     def drop_chunks(self, older_than: datetime) -> list[int]:
         """Drop chunks that end at or before the time; their starts."""
         m = self.manifest()
         gone = [k for k in m["chunks"] if int(k) + self._width() <= _seconds(older_than)]
-        folders = [f for k in gone for f in m["chunks"].pop(k)["folders"]]
+        m["stale"] = m.get("stale", []) + [f for k in gone for f in m["chunks"].pop(k)["folders"]]
         if gone:
             self._publish(m)
-        for f in folders:
-            self.store.delete(f)
         return sorted(map(int, gone))
 
+    def vacuum(self) -> list[str]:
+        """Delete this table's own folders that its manifest no longer names; no reader may be using them."""
+        m = self.manifest()
+        gone = [f for f in m.get("stale", []) if f.startswith((self.path, self.cold))]
+        m["stale"] = []
+        self._publish(m)
+        for f in gone:
+            self.store.delete(f)
+        return gone
+
+    def drop(self) -> None:
+        """Delete the table with its own folders."""
+        self.store.delete(self.path)
+        self.store.delete(self.cold)
+
     # reading ----------------------------------------------------------------------------------------------
 
     def _read(self, folders: list[str]) -> DataFrame:
@@ -173,6 +226,11 @@ class Hypertable:
             df = df.where(t >= F.lit(t0).cast("timestamp_ntz"))
         return df if t1 is None else df.where(t < F.lit(t1).cast("timestamp_ntz"))
 
+    def describe(self) -> DataFrame:
+        """(column_name, data_type, role) of each column."""
+        roles = {c: "segment" for c in self.spec.segment_by} | {self.spec.time: "time"}
+        return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), roles.get(f.name)) for f in self.schema], "column_name string, data_type string, role string")
+
     def chunk_starts(self) -> list[int]:
         return sorted(map(int, self.manifest()["chunks"]))
 
