@@ -36,9 +36,8 @@ def test_digests_match_brute_force(spark):
 def test_small_chunks_and_texts(spark):
     df = docs(spark, 80)
     want = {r[0]: r for r in brute([(r.doc_id, r.text) for r in df.collect()])}
-    small = S.repeats(df, 13, chunk_bytes=500).groupBy("doc").sum("n").collect()
-    large = S.repeats(df, 13).groupBy("doc").sum("n").collect()
-    assert {r.doc for r in small} == {d for d, r in want.items() if r[2]} == {r.doc for r in large}
+    for least in (7, 4, 2):
+        assert {r[0]: tuple(r) for r in S.substring_digests(df, 13, least, chunk_bytes=500).collect()} == want
     out = S.drop_repeats(df)
     assert out.columns == df.columns
     for r in out.collect():
@@ -51,7 +50,14 @@ def test_small_chunks_and_texts(spark):
 def test_edges(spark):
     line = " ".join(f"w{i}" for i in range(20))
     rows = [(4, line, "a"), (4, "x " + line, "b"), (None, line, "c"), (9, line + " " + line, None), (2, None, None), (3, "short", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _tm_runs_ string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _tm_runs string")
+    for clash in ("_tm_runs", "_tm_text", "_tm_0", "a.b"):
+        other = df.withColumnRenamed("_tm_runs", clash)
+        assert sorted(map(tuple, S.substring_digests(other).collect()), key=str) == brute([r[:2] for r in rows])
+        kept = S.drop_repeats(other)
+        assert kept.columns == other.columns and {(r[0], r[2]) for r in kept.collect()} == {(4, "a"), (4, "b"), (None, "c"), (2, None), (3, None)}
+    long = df.limit(0).union(spark.createDataFrame([(1, "y " * 30_000 + line, None), (5, "z " * 40_000 + line, None)], df.schema))
+    assert sorted((r.doc_id, r.n_removed) for r in S.substring_digests(long, chunk_bytes=1000).collect()) == [(1, 0), (5, 20)]
     got = sorted(map(tuple, S.substring_digests(df).collect()), key=str)
     assert got == brute([r[:2] for r in rows])
     assert S.substring_digests(df.limit(0)).collect() == []

@@ -1,42 +1,49 @@
 """Removal of word sequences that documents share, by windows that double in length.
 
-A window of `window` words is a repeat in a document if the same words also start in a document with a
-smaller doc_id; every word that a repeat covers goes. Levels: windows of half the length (7 for 13) come
-first. Each full window hangs on the half window with the smallest hash inside it, which is the same one
-wherever the full window stands, so only these anchors need comparing. Half windows found in one document
-alone end there; those found in several are extended to twice their length, and full windows found in one
-document alone end there. `repeat_levels` carries the doubling on beyond the full window, until no repeat is
-left.
-
-At scale: a task turns a chunk of texts into one row per anchor, with 32-bit checks of the full windows that
-hang on it (beside the anchor's 64 bits). Within a chunk, of anchors with equal full windows only the
-smallest document's travel; the others are repeats already. So a passage that a third of all documents hold
-costs a row per chunk. Rows meet by anchor, in key order, in bounded pieces. Repeats travel back to their
-text as runs of windows.
+A window of `window` words is a repeat in a document if the same words also start in a document with a smaller
+doc_id; every word that a repeat covers goes. Levels: window lengths go up from a short one by doubling (7 and 13,
+or 4, 7 and 13: a window of 13 is two of 7 that share a word). At each level only windows whose two halves were
+both found in several documents are candidates, and of these only the ones found in several documents go on; the
+last level compares doc_ids. Windows found in one document alone end where they stand. `repeat_levels` carries the
+doubling on beyond the full window, from the survivors of each level, until none is left.
+
+At scale: texts are packed into chunks of bounded size, written once. At each level a chunk asks about its distinct
+candidate windows by 64-bit hashes (`exchange`); an answer is a bit for each. So a window that a third of all
+documents hold costs one entry for each chunk, nothing is gathered by window or by document, and rows are told
+apart by their place in a chunk.
 
 Edge cases: a null or short text has no window and keeps all words; words are split at ASCII white space and
 otherwise unchanged; repeats within one document, or between rows that repeat a doc_id, don't count; rows
 that repeat a doc_id are judged each by its own text; a null doc_id is smaller than no other and no other is
-smaller than it, so such a row keeps its words; an empty table gives an empty result.
+smaller than it, so such a row keeps its words; a text longer than a chunk has a chunk of its own; other columns
+may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, key_chunks, text_chunks
-from tidemark.llm.words import Words, mix
+from tidemark.llm.common import arrow_map, give_back, materialise, text_chunks
+from tidemark.llm.exchange import answer, ask, ranges_for, unpacked, with_answers
+from tidemark.llm.words import Words, mix, pack, unpack
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-#: Runs of windows as they travel: a row's doc_id and 32 bits of its text's hash, the first window, how many
-#: windows; less than none for those known to be repeats.
-_HEAD = np.dtype([("doc", "<i8"), ("text", "<u4"), ("at", "<i4"), ("n", "<i4")])
+
+
+def lengths_up_to(window: int, least: int) -> list[int]:
+    """Window lengths from one of `least` words or less (two at least) on, each but twice the one before."""
+    out = [window]
+    while out[0] > max(least, 2):
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _window_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -51,195 +58,203 @@ def _window_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Indices at which any of the columns changes."""
-    if not len(columns[0]):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-
-
-def _blobs(heads: np.ndarray, checks: np.ndarray, first: np.ndarray) -> pa.Array:
-    """One value for each head: its bytes, then those of the n checks from first on."""
-    sizes = heads["n"].astype(np.int64) * (len(checks) > 0) * 4
-    ends = np.cumsum(sizes + _HEAD.itemsize)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    begin = ends - sizes - _HEAD.itemsize
-    spots = begin[:, None] + np.arange(_HEAD.itemsize)
-    out[spots.ravel()] = heads.view(np.uint8)
-    if len(checks):
-        take = np.repeat(first * 4 - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        rest = np.ones(len(out), bool)
-        rest[spots.ravel()] = False
-        out[rest] = checks.view(np.uint8)[take]
-    offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(heads), [None, offsets, pa.py_buffer(out)])
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, size: int) -> Iterator[pa.RecordBatch]:
-    half = (window + 1) // 2
-    for t in text_chunks(batches, "text", size):
-        w = Words(t.column("text"))
-        tokens = w.hashes()[w.codes] if len(w.codes) else np.empty(0, np.uint64)
-        full = _window_hashes(tokens, window)
-        if not len(full):
-            continue
-        halves = _window_hashes(tokens, half)
-        low, at = halves[: len(full)].copy(), np.arange(len(full))
-        for k in range(1, window - half + 1):
-            x = halves[k : k + len(full)]
-            less = x < low
-            low[less] = x[less]
-            at[less] = np.flatnonzero(less) + k
-        text = np.searchsorted(w.starts, np.arange(len(full)), side="right") - 1
-        whole = np.flatnonzero(np.arange(len(full)) + window <= w.starts[text + 1])
-        if not len(whole):
-            continue
-        at, low, text, full = at[whole], low[whole], text[whole], full[whole]
-        first = _runs(at, text)
-        n = np.diff(np.r_[first, len(at)])
-        ids = t.column("doc_id").to_numpy()
-        heads = np.zeros(len(first), _HEAD)
-        heads["doc"], heads["text"] = ids[text[first]], t.column("th").to_numpy()[text[first]].astype(np.uint32)
-        heads["at"], heads["n"] = whole[first] - w.starts[text[first]], n
-        key = low[first]
-        # equal groups of full windows within the chunk: only the smallest document's travel
-        whole_group = mix(key + np.add.reduceat(mix(full + (np.arange(len(full)) - np.repeat(first, n)).astype(np.uint64)), first) + n.astype(np.uint64))
-        order = np.lexsort((heads["doc"], whole_group))
-        new = _runs(whole_group[order])
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(heads["doc"][order][new], np.diff(np.r_[new, len(order)]))
-        told = heads["doc"] > least
-        sent = ~told
-        yield pa.RecordBatch.from_arrays([pa.array(key[sent].view(np.int64)), _blobs(heads[sent], (full >> np.uint64(32)).astype(np.uint32), first[sent])], ["key", "data"])
-        done = _merged(heads[told])
-        keys = mix(done["doc"].astype(np.uint64) + done["at"].astype(np.uint64)).view(np.int64)
-        done["n"] *= -1
-        yield pa.RecordBatch.from_arrays([pa.array(keys), _blobs(done, np.empty(0, np.uint32), np.zeros(len(done), np.int64))], ["key", "data"])
-
-
-def _merged(heads: np.ndarray) -> np.ndarray:
-    """Runs of windows that touch each other as one run."""
-    if not len(heads):
-        return heads
-    heads = heads[np.lexsort((heads["at"], heads["text"], heads["doc"]))]
-    ends = heads["at"] + heads["n"]
-    first = np.flatnonzero(np.r_[True, (heads["doc"][1:] != heads["doc"][:-1]) | (heads["text"][1:] != heads["text"][:-1]) | (heads["at"][1:] > ends[:-1])])
-    out = heads[first].copy()
-    out["n"] = np.maximum.reduceat(ends, first) - out["at"]
-    return out
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in key_chunks(batches, "key"):
-        key = t.column("key").to_numpy()
-        data = t.column("data").combine_chunks()
-        offsets = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64)
-        raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.empty(0, np.uint8)
-        first = _runs(key)
-        count = np.diff(np.r_[first, len(key)])
-        heads = raw[(offsets[:-1, None] + np.arange(_HEAD.itemsize)).ravel()].view(_HEAD)
-        told = heads[heads["n"] < 0]
-        told["n"] *= -1
-        rows = np.flatnonzero((heads["n"] > 0) & np.repeat(count > 1, count))  # level one: half windows found once end here
-        heads = heads[rows]
-        n = heads["n"].astype(np.int64)
-        row = np.repeat(np.arange(len(rows)), n)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spots = np.repeat(offsets[rows] + _HEAD.itemsize, n) + step * 4
-        check = raw[(spots[:, None] + np.arange(4)).ravel()].view(np.uint32)
-        doc, own = heads["doc"][row], key[rows][row]
-        order = np.lexsort((doc, check, own))
-        new = _runs(own[order], check[order])
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(doc[order][new], np.diff(np.r_[new, len(order)]))
-        found = np.flatnonzero(doc > least)  # level two: full windows found in a smaller document
-        out = np.zeros(len(found), _HEAD)
-        out["doc"], out["text"], out["at"], out["n"] = doc[found], heads["text"][row[found]], heads["at"][row[found]] + step[found], 1
-        out = _merged(np.concatenate([out, told]))
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[x]).astype(kind)) for x, kind in (("doc", "i8"), ("text", "i8"), ("at", "i4"), ("n", "i4"))], ["doc", "text", "at", "n"])
-
-
-def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """(doc, text, at, n): n windows from word at on, of doc's text whose hash ends in the 32 bits text, are repeats."""
+class Chunk:
+    """Words of some texts, and which windows of them are still candidates after the levels told so far."""
+
+    def __init__(self, data: bytes):
+        x = unpack(data)
+        self.tokens = x["hashes"][x["codes"]] if len(x["codes"]) else np.empty(0, np.uint64)
+        self.starts = np.r_[0, np.cumsum(x["lengths"])].astype(np.int64)
+        self.docs = x["docs"]
+        text = np.repeat(np.arange(len(x["lengths"])), x["lengths"])
+        self.end = self.starts[1:][text]
+        self.live = (x["none"] == 0)[text]  # a row without a doc_id takes no part
+        self.doc = self.docs[text]
+
+    def level(self, length: int, before: tuple[int, np.ndarray] | None) -> None:
+        """Find candidates of a length, given the places where windows of the level before go on."""
+        h = _window_hashes(self.tokens, length)
+        if before is None:
+            at = np.flatnonzero(self.live[: len(h)] & (np.arange(len(h)) + length <= self.end[: len(h)]))
+        else:
+            shorter, on = before
+            alive = np.zeros(len(self.tokens) + 1, bool)
+            alive[on] = True
+            at = on[on + length <= self.end[on]]
+            at = at[alive[at + length - shorter]]  # both halves stand
+        keys = h[at]
+        order = np.argsort(keys)
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]][: len(at)]
+        first = np.flatnonzero(new)
+        doc = self.doc[at[order]]
+        self.at, self.keys = at, keys[order][first]
+        self.group = np.empty(len(at), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(doc, first) if len(first) else np.empty(0, np.int64)
+        self.most = np.maximum.reduceat(doc, first) if len(first) else np.empty(0, np.int64)
+
+    def candidates(self, lengths: list[int], told: list[np.ndarray]) -> None:
+        """The level after those told."""
+        before = None
+        for k, length in enumerate(lengths[: len(told) + 1]):
+            self.level(length, before)
+            if k < len(told):
+                before = length, self.at[(told[k] > 0)[self.group]]
+
+    def repeats(self, told: np.ndarray) -> np.ndarray:
+        """Starts of windows of the present level that a document with a smaller doc_id has: here or elsewhere."""
+        return self.at[(told > 0)[self.group] | (self.doc[self.at] > self.least[self.group])]
+
+
+def _write(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    task = TaskContext.get().partitionId()
+    for k, t in enumerate(text_chunks(batches, "_tm_text", size)):
+        w = Words(t.column("_tm_text"))
+        ids = t.column("_tm_doc").combine_chunks()
+        data = pack(codes=w.codes.astype(np.uint32), lengths=np.diff(w.starts), hashes=w.hashes(), docs=ids.fill_null(0).to_numpy(zero_copy_only=False), none=ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+        sink = pa.BufferOutputStream()
+        rows = t.drop_columns(["_tm_doc"]).combine_chunks()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
+        cols = [pa.array([(task << 32) + k], pa.int64()), pa.array([len(w.codes)], pa.int64()), pa.array([data], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["chunk", "words", "data", "rows"])
+
+
+def _chunks(docs: DataFrame, columns: list[str], chunk_bytes: int) -> DataFrame:
+    """(chunk, words, data, rows): texts packed for their windows, and the rows with these columns as they are."""
+    own = [F.col(f"`{c}`").alias(f"_tm_{k}") for k, c in enumerate(columns)]
+    rows = docs.select(docs["doc_id"].cast("long").alias("_tm_doc"), docs["text"].cast("string").alias("_tm_text"), *own)
+    return materialise(arrow_map(rows, lambda b: _write(b, chunk_bytes), "chunk long, words long, data binary, rows binary"), "windows")[0]
+
+
+def _early(keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Windows go on that two chunks hold, or two documents of one chunk."""
+    size = np.diff(np.r_[first, len(keys)])
+    return np.repeat((size > 1) | (np.add.reduceat(values, first) > 0) if len(first) else np.empty(0, bool), size), []
+
+
+def _last(keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Does another chunk hold the window in a document with a smaller doc_id?"""
+    size = np.diff(np.r_[first, len(keys)])
+    return values > np.repeat(np.minimum.reduceat(values, first) if len(first) else values, size), []
+
+
+def _question(lengths: list[int], last: bool) -> Callable[[dict], tuple[np.ndarray, np.ndarray]]:
+    def question(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        c = Chunk(row["data"])
+        c.candidates(lengths, unpacked(row["answers"]) if "answers" in row else [])
+        return c.keys, c.least if last else (c.most > c.least).astype(np.int64)
+
+    return question
+
+
+def _levels(chunks: DataFrame, window: int, least: int) -> tuple[list[int], list[DataFrame]]:
+    """Window lengths, and what was answered at each."""
     if window < 2:
         raise ValueError("a window has two words at least")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th")).where("doc_id is not null and text is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = arrow_map(rows, lambda b: _anchors(b, window, chunk_bytes), "key long, data binary")
-    return arrow_map(found.repartition(parts, "key").sortWithinPartitions("key"), _resolve, "doc long, text long, at int, n int")
+    lengths, told = lengths_up_to(window, least), []
+    ranges = ranges_for(chunks, chunks.agg(F.sum("words")).first()[0] or 0)
+    for k, _ in enumerate(lengths):
+        last = k == len(lengths) - 1
+        asking = chunks.select("chunk", "data")
+        told.append(_answered(with_answers(asking, *told) if told else asking, lengths[: k + 1], last, ranges))
+    return lengths, told
 
 
-def _cut(text: str | None, runs: list | None, window: int) -> tuple[list[bytes], int]:
-    """The words kept and how many went."""
-    words = (text or "").encode().split()
-    if not runs:
-        return words, 0
-    edge = np.zeros(len(words) + 1, np.int64)
-    for r in runs:
-        edge[r["at"]] += 1
-        edge[r["at"] + r["n"] + window - 1] -= 1
-    gone = np.cumsum(edge)[:-1] > 0
-    return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
+def _answered(asking: DataFrame, lengths: list[int], last: bool, ranges: int) -> DataFrame:
+    return materialise(answer(ask(asking, _question(lengths, last), ranges), _last if last else _early), "windows-told")[0]
 
 
-def _joined(docs: DataFrame, window: int) -> DataFrame:
-    """docs with _tm_runs, the runs of each text's repeats."""
-    runs = repeats(docs, window).groupBy(F.col("doc").alias("_tm_doc"), F.col("text").alias("_tm_text")).agg(F.collect_list(F.struct("at", "n")).alias("_tm_runs"))
-    at = (docs["doc_id"].cast("long") == runs["_tm_doc"]) & (F.xxhash64(docs["text"].cast("string")).bitwiseAND(0xFFFFFFFF) == runs["_tm_text"])
-    return docs.join(runs.hint("shuffle_hash"), at, "left").drop("_tm_doc", "_tm_text")
+def _gone(row: dict, lengths: list[int], window: int) -> tuple[Chunk, np.ndarray]:
+    """The chunk, and which of its words go."""
+    c, told = Chunk(row["data"]), unpacked(row["answers"])
+    c.candidates(lengths, told[:-1])
+    edge = np.zeros(len(c.tokens) + 1, np.int64)
+    at = c.repeats(told[-1])
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + window, -1)
+    return c, np.cumsum(edge)[:-1] > 0
 
 
-def substring_digests(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of each row."""
+def _each_chunk(docs: DataFrame, columns: list[str], window: int, least: int, chunk_bytes: int, render: Callable, schema: str | T.StructType) -> DataFrame:
+    chunks = _chunks(docs, columns, chunk_bytes)
+    lengths, told = _levels(chunks, window, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, sha = [], [], []
-            for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kept, less = _cut(text, runs, window)
-                n.append(len(kept) + less)
-                gone.append(less)
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            for k in range(b.num_rows):
+                row = {name: b.column(name)[k].as_py() for name in ("data", "rows", "answers")}
+                c, gone = _gone(row, lengths, window)
+                less = np.r_[0, np.cumsum(gone)]
+                less = (less[c.starts[1:]] - less[c.starts[:-1]]).tolist()
+                yield from render(pa.ipc.open_stream(row["rows"]).read_all().combine_chunks(), c.starts.tolist(), gone, less)
+                give_back()
+
+    return arrow_map(with_answers(chunks.select("chunk", "data", "rows"), *told), run, schema)
 
-    return arrow_map(_joined(docs, window).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_tm_runs"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+def _kept(text: str | None, gone: np.ndarray, less: int) -> list[bytes]:
+    words = (text or "").encode().split()
+    return [w for w, g in zip(words, gone.tolist()) if not g] if less else words
 
 
-def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def substring_digests(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row; least: the words of the shortest level, or fewer."""
+
+    def render(t: pa.Table, starts: list[int], gone: np.ndarray, less: list[int]) -> Iterator[pa.RecordBatch]:
+        sha = [hashlib.sha256(b" ".join(_kept(x, gone[i:j], n))).hexdigest() for x, i, j, n in zip(t.column("_tm_text").to_pylist(), starts, starts[1:], less)]
+        cols = [t.column("_tm_0").combine_chunks(), pa.array(np.diff(starts), pa.int64()), pa.array(less, pa.int64()), pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return _each_chunk(rows, ["doc_id"], window, least, chunk_bytes, render, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def drop_repeats(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 8 << 20) -> DataFrame:
     """docs with the words of repeats taken out of text, and n_chars (if there) as it then is.
 
     A text that loses words becomes its kept words joined by one space; other texts stay as they are. A
     document that loses all its words goes.
     """
-    columns = docs.columns
-    joined = _joined(docs, window)
+    columns, kinds = docs.columns, [f.dataType for f in docs.schema]
+    others = [c for c in columns if c != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, runs = b.column("text").to_pylist(), b.column("_tm_runs").to_pylist()
-            keep = np.ones(b.num_rows, bool)
-            for k, r in enumerate(runs):
-                if r:
-                    kept, _ = _cut(texts[k], r, window)
-                    texts[k] = b" ".join(kept).decode()
-                    keep[k] = bool(kept)
-            cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep))
-
-    out = arrow_map(joined, run, docs.schema)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
-
-
-def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
+    def render(t: pa.Table, starts: list[int], gone: np.ndarray, less: list[int]) -> Iterator[pa.RecordBatch]:
+        texts, keep = t.column("_tm_text").to_pylist(), np.ones(len(t), bool)
+        for k in np.flatnonzero(less).tolist():
+            kept = _kept(texts[k], gone[starts[k] : starts[k + 1]], less[k])
+            texts[k], keep[k] = b" ".join(kept).decode(), bool(kept)
+        cols = [pa.array(texts, pa.string()) if c == "text" else t.column(f"_tm_{others.index(c)}").combine_chunks() for c in columns]
+        yield from pa.table(dict(zip((f"c{k}" for k in range(len(cols))), cols))).filter(pa.array(keep)).to_batches()
+
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType() if c == "text" else kind) for k, (c, kind) in enumerate(zip(columns, kinds))])
+    out = _each_chunk(docs, others, window, least, chunk_bytes, render, schema)
+    out = out.select(*[F.col(f"c{k}").cast(kind).alias(c) if c == "text" else F.col(f"c{k}").alias(c) for k, (c, kind) in enumerate(zip(columns, kinds))])
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+
+
+def repeat_levels(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(length, doc_id, n): for windows of the given length, then twice and twice again, the number of repeats
-    that each document still has; lengths without any end the doubling."""
-    out, length = None, window
-    while True:  # a repeat of twice the length holds repeats of this length, so the levels thin out
-        level = repeats(docs, length).groupBy(F.col("doc").alias("doc_id")).agg(F.sum("n").alias("n")).select(F.lit(length).alias("length"), "doc_id", "n")
+    that each document still has. Each level extends what the level before left, until nothing is left."""
+    chunks = _chunks(docs.select(docs["doc_id"], docs["text"]), [], chunk_bytes)
+    ranges = ranges_for(chunks, chunks.agg(F.sum("words")).first()[0] or 0)
+    lengths, told = _levels(chunks, window, least)
+    told, out = told[:-1], None
+    while True:
+        asking = chunks.select("chunk", "data")
+        final = _answered(with_answers(asking, *told) if told else asking, lengths, True, ranges)
+
+        def run(batches: Iterator[pa.RecordBatch], lengths: list[int] = list(lengths)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    c, answers = Chunk(b.column("data")[k].as_py()), unpacked(b.column("answers")[k].as_py())
+                    c.candidates(lengths, answers[:-1])
+                    doc, n = np.unique(c.doc[c.repeats(answers[-1])], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), lengths[-1]), pa.int32()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], ["length", "doc_id", "n"])
+
+        level = arrow_map(with_answers(asking, *told, final), run, "length int, doc_id long, n long").groupBy("length", "doc_id").agg(F.sum("n").alias("n"))
         if level.isEmpty():
             return level if out is None else out
         out = level if out is None else out.unionByName(level)
-        length *= 2
+        told = [*told, _answered(with_answers(asking, *told) if told else asking, lengths, False, ranges)]
+        lengths = [*lengths, 2 * lengths[-1]]
