@@ -23,7 +23,7 @@ from tidemark.llm.common import arrow_map, give_back, key_chunks
 from tidemark.llm.words import pack, unpack
 
 
-def ranges_for(df: DataFrame, keys: int, most: int = 4_000_000) -> int:
+def ranges_for(df: DataFrame, keys: int, most: int = 2_000_000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // most))
 
 
@@ -77,16 +77,16 @@ def answer(asked: DataFrame, merge: Callable[[np.ndarray, np.ndarray, np.ndarray
                 blobs = [pack(a=np.packbits(x) if x.dtype == bool else narrow(x)) for x in np.split(back, np.cumsum(sizes)[:-1])]
                 rest = [0] * (len(blobs) - 1)
                 cols = [part.column("chunk").combine_chunks(), pa.array([int(k)] * len(blobs), pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), *[pa.array([int(x), *rest], pa.int64()) for x in sums]]
-                yield pa.RecordBatch.from_arrays(cols, ["chunk", "range", "n", "answer", *facts])
+                yield pa.RecordBatch.from_arrays(cols, ["chunk", "range", "size", "answer", *facts])
             give_back()
 
-    schema = "chunk long, range int, n int, answer binary" + "".join(f", {x} long" for x in facts)
+    schema = "chunk long, range int, size int, answer binary" + "".join(f", {x} long" for x in facts)
     return arrow_map(asked.repartition(parts, "range").sortWithinPartitions("range"), run, schema)
 
 
 def with_answers(chunks: DataFrame, *answered: DataFrame) -> DataFrame:
     """chunks with answers: those of each round, in order of rounds and ranges (see unpacked)."""
-    parts = [a.select("chunk", F.struct(F.lit(k).alias("round"), "range", "n", "answer").alias("told")) for k, a in enumerate(answered)]
+    parts = [a.select("chunk", F.struct(F.lit(k).alias("round"), "range", "size", "answer").alias("told")) for k, a in enumerate(answered)]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -98,5 +98,5 @@ def unpacked(answers: list[dict]) -> list[np.ndarray]:
     rounds: dict[int, list[np.ndarray]] = {}
     for x in answers:
         a = unpack(x["answer"])["a"]
-        rounds.setdefault(x["round"], []).append(np.unpackbits(a, count=x["n"]) if a.dtype == np.uint8 else a)
+        rounds.setdefault(x["round"], []).append(np.unpackbits(a, count=x["size"]) if a.dtype == np.uint8 else a)
     return [np.concatenate(rounds[k]) for k in sorted(rounds)]

@@ -1,23 +1,25 @@
-"""Scoring of texts by a smoothed n-gram model, run as a weighted backoff automaton.
-
-Automaton: the root state holds the arcs of single tokens; each training token is a state reached by reading
-it, with an arc for each token seen after it. State u weighs its own counts lam(u) = RELY*c(u)/(c(u)+EASE):
-a seen arc w weighs lam*c(uw)/c(u) + (1-lam)*p(w), and its failure arc to the root weighs 1-lam, so the
-weights that leave a state sum to one. The root discounts each count by D = n1/(n1+2*n2) (kept within 0.05
-and 0.95): p(w) = (c-D)/N, and D*V/N goes to all unknown tokens together. A text is read once from left to
-right, from the start state; each token follows its arc, or the failure arc and then the root's, adds the
-log10 weight and moves to its own state, or to the root if it is unknown.
-
-At scale the automaton is never whole anywhere. Texts are cut into chunks of bounded size, written once as
-token codes. Each chunk asks for the states and arcs that occur in it: sorted 64-bit keys, packed by key
-range into buckets. A bucket's task adds up the training counts of all chunks and answers each chunk in the
-order asked, so a chunk gets exactly the part of the automaton that its texts can reach. No word or pair can
-make a bucket large: it comes at most once from each chunk. Tokens are told apart by 64-bit hashes.
+"""Scoring of texts by smoothed n-grams, run as a weighted backoff automaton.
+
+States: the root, a state for each token and each pair of tokens that training texts hold, and the start of a text.
+A state has an arc for each token seen after it, which leads to the state of the last two tokens, and a failure arc
+to the state without its first token. State u relies on its own counts by lam(u) = rely*c(u)/(c(u)+ease): a seen arc
+w weighs lam*c(uw)/c(u) + (1-lam)*p(w), with p(w) the weight of w at the state below, and the failure arc weighs
+1-lam, so all that leaves a state sums to one. The root discounts each count by D = n1/(n1+2*n2) (kept within 0.05
+and 0.95): p(w) = (c-D)/N, and D*V/N goes to all unknown tokens together, which lead back to the root. Texts are
+read from left to right: each token follows its arc, or failure arcs until a state has one, and adds their log10
+weights. Many stretches of text are read side by side; a stretch within a text enters two tokens early without
+counting them, after which it carries the very state of a reading from the start.
+
+At scale the automaton is never whole anywhere. Texts are cut into chunks of bounded size, written once as token
+codes. Each chunk asks for the tokens, pairs and triples that occur in it, with its own training counts; key ranges
+add these up over all chunks and answer in the chunk's order (`exchange`), so a chunk builds exactly the part of the
+automaton that its texts can reach, and a token that all texts hold costs one entry in each chunk. Tokens, pairs and
+triples are told apart by 62-bit hashes.
 
 Tokens: A-Z lower-cased, split at ASCII white space, then one end token per text. Edge cases: a null text is
 empty (its end token alone is scored); a null doc_id counts as held out; repeated rows are scored each and
-count each; without training texts every token is unknown and score and base_score are 0; an empty table
-gives an empty result; other columns are ignored.
+count each; a text longer than a chunk has one of its own; without training texts every token is unknown and score
+and base_score are 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, key_chunks, materialise, text_chunks
+from tidemark.llm.common import arrow_map, give_back, materialise, text_chunks
+from tidemark.llm.exchange import answer, ask, ranges_for, unpacked, with_answers
 from tidemark.llm.words import Words, mix, pack, unpack
 
-RELY, EASE = 0.6, 3.0
+#: How far a state of one token, and of two, relies on its counts at most, and the count at which it does so by half.
+RELY, EASE = (0.6, 0.8), (3.0, 3.0)
 _START = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD1342543DE82EF95)
+STRETCH, MEMORY = 256, 2
 
 
 def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -51,131 +56,157 @@ def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             ids=ids.fill_null(0).to_numpy(),
             none=ids.is_null().to_numpy().astype(np.uint8),
         )
-        yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k], pa.int64()), pa.array([data], pa.binary())], ["chunk", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k], pa.int64()), pa.array([len(w.codes) + len(ids)], pa.int64()), pa.array([data], pa.binary())], ["chunk", "tokens", "data"])
 
 
-class Asked:
-    """What a chunk asks for: sorted unigram keys and pair keys, with its own training counts."""
+class Grams:
+    """Tokens of a chunk, and its distinct tokens, pairs and triples with their training counts in it."""
 
-    def __init__(self, x: dict[str, np.ndarray]):
-        n_words = len(x["hashes"])
-        lengths = x["lengths"] + 1
-        ends = np.cumsum(lengths) - 1
-        self.tokens = np.full(int(lengths.sum()), n_words - 1, np.int64)
+    def __init__(self, data: bytes):
+        x = unpack(data)
+        self.n_words, self.lengths = len(x["hashes"]), x["lengths"] + 1
+        self.ids, self.held = pa.array(x["ids"], pa.int64(), mask=x["none"].astype(bool)), x["held"].astype(bool)
+        self.begin = np.r_[0, np.cumsum(self.lengths)].astype(np.int64)
+        self.tokens = np.full(int(self.begin[-1]), self.n_words - 1, np.int64)
         inner = np.ones(len(self.tokens), bool)
-        inner[ends] = False
+        inner[self.begin[1:] - 1] = False
         self.tokens[inner] = x["codes"]
-        self.before = np.r_[np.int64(n_words), self.tokens[:-1]]
-        self.before[np.r_[0, ends[:-1] + 1][: len(ends)]] = n_words  # the start state
-        train = np.repeat(x["held"] == 0, lengths)
-        self.word_order = np.argsort(x["hashes"])
-        self.word_keys = x["hashes"][self.word_order]
-        self.word_counts = np.bincount(self.tokens[train], minlength=n_words)[self.word_order]
-        pairs = self.before * n_words + self.tokens
-        marked = np.sort(pairs * 2 + train)
-        first = np.flatnonzero(np.r_[True, marked[1:] >> 1 != marked[:-1] >> 1])
-        self.pairs = marked[first] >> 1
-        seen = np.add.reduceat(marked & 1, first)
+        train = ~np.repeat(self.held, self.lengths)
+        start = self.begin[:-1]
+        last = np.r_[np.int64(0), self.tokens[:-1]]
+        last[start] = self.n_words  # stands for the start of a text
+        self.pairs, pair = np.unique(last * self.n_words + self.tokens, return_inverse=True)
+        deep = np.ones(len(self.tokens), bool)
+        deep[start] = False  # the first token has one token before it, the start
+        before = np.r_[np.int64(0), pair[:-1]]
+        self.triples, triple = np.unique((before * self.n_words + self.tokens)[deep], return_inverse=True)
+        counts = [np.bincount(v[t], minlength=n) for v, t, n in ((self.tokens, train, self.n_words), (pair, train, len(self.pairs)), (triple, train[deep], len(self.triples)))]
         states = np.r_[x["hashes"], _START]
-        keys = mix(mix(states[self.pairs // n_words]) * _PAIR + x["hashes"][self.pairs % n_words])
-        self.pair_order = np.argsort(keys)
-        self.pair_keys, self.pair_counts = keys[self.pair_order], seen[self.pair_order]
-        self.ends, self.lengths, self.n_words = ends, lengths, n_words
-
-
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of the even key ranges begins in sorted keys."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.r_[0, np.searchsorted(keys, np.array(edges, np.uint64)), len(keys)].astype(np.int64)
-
-
-def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data")):
-            a = Asked(unpack(data.as_py()))
-            w, p = _cuts(a.word_keys, buckets), _cuts(a.pair_keys, buckets)
-            blobs = [
-                pack(w=np.diff(a.word_keys[w[k] : w[k + 1]], prepend=np.uint64(0)), wn=a.word_counts[w[k] : w[k + 1]], p=np.diff(a.pair_keys[p[k] : p[k + 1]], prepend=np.uint64(0)), pn=a.pair_counts[p[k] : p[k + 1]])
-                for k in range(buckets)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([chunk] * buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "asked"])
-
-
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums by key, and for each list of keys its sums in its order."""
-    sizes = [len(k) for k in keys]
-    if not sum(sizes):
-        return np.empty(0, np.int64), [np.empty(0, np.int64) for _ in keys]
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    new = np.r_[True, k[order][1:] != k[order][:-1]]
-    total = np.add.reduceat(n[order], np.flatnonzero(new))
-    back = np.empty(len(k), np.int64)
-    back[order] = total[np.cumsum(new) - 1]
-    return total, np.split(back, np.cumsum(sizes)[:-1])
-
-
-def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in key_chunks(batches, "bucket", 1):
-        buckets = t.column("bucket").to_numpy()
-        for bucket in np.unique(buckets):
-            part = t.filter(pa.array(buckets == bucket))
-            asked = [unpack(x.as_py()) for x in part.column("asked")]
-            total, words = _sums([np.cumsum(x["w"], dtype=np.uint64) for x in asked], [x["wn"] for x in asked])
-            _, pairs = _sums([np.cumsum(x["p"], dtype=np.uint64) for x in asked], [x["pn"] for x in asked])
-            blobs = [pack(w=_narrow(a), p=_narrow(b)) for a, b in zip(words, pairs)]
-            rest = [0] * (len(blobs) - 1)
-            facts = [pa.array([int(x), *rest], pa.int64()) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket)] * len(blobs), pa.int32()), part.column("chunk").combine_chunks(), pa.array(blobs, pa.binary()), *facts], ["bucket", "chunk", "answer", "n", "v", "n1", "n2"])
+        double = mix(mix(states[self.pairs // self.n_words]) * _PAIR + x["hashes"][self.pairs % self.n_words])
+        treble = mix(mix(double[self.triples // self.n_words]) * _PAIR + x["hashes"][self.triples % self.n_words])
+        keys = np.concatenate([(mix(k) & ~np.uint64(3)) | np.uint64(order) for order, k in enumerate((x["hashes"], double, treble))])
+        self.order = np.argsort(keys)
+        self.keys, self.counts = keys[self.order], np.concatenate(counts)[self.order]
+
+    def split(self, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts in all training texts of the tokens, pairs and triples."""
+        c = np.empty(len(told), np.int64)
+        c[self.order] = told
+        return tuple(np.split(c, [self.n_words, self.n_words + len(self.pairs)]))
+
+
+class Automaton:
+    """The states and arcs that some texts can reach. State 0 is the root, 1 + w that of token w, then the start,
+    then the pairs."""
+
+    def __init__(self, g: Grams, told: np.ndarray, n: int, v: int, n1: int, n2: int):
+        one, two, three = g.split(told)
+        words = g.n_words
+        self.words, self.start = words, 1 + words
+        d = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
+        root = np.where(one > 0, one - d, d * v) / n if n else np.ones(words)
+        state = np.r_[one, one[-1]]  # texts begin as often as they end
+        (rely1, rely2), (ease1, ease2) = RELY, EASE
+        lam1 = rely1 * state / (state + ease1)
+        lam1[words - 1] = 0  # nothing follows the end
+        first, last = g.pairs // words, g.pairs % words
+        pair = lam1[first] * two / np.maximum(state[first], 1) + (1 - lam1[first]) * root[last]
+        lam2 = np.where(last == words - 1, 0, rely2 * two / (two + ease2))
+        #: the pair without the triple's first token is a pair of this chunk too
+        parent, final = g.triples // words, g.triples % words
+        below = pair[np.searchsorted(g.pairs, last[parent] * words + final)]
+        triple = lam2[parent] * three / np.maximum(two[parent], 1) + (1 - lam2[parent]) * below
+        own = np.flatnonzero(two)  # pairs that are states
+        number = np.zeros(len(two), np.int64)
+        number[own] = 2 + words + np.arange(len(own))
+        token = np.where(one > 0, 1 + np.arange(words), 0)
+        self.fail = np.concatenate([np.zeros(2 + words, np.int64), token[last[own]]])
+        self.down = np.log10(np.concatenate([[1.0], 1 - lam1, 1 - lam2[own]]))
+        self.root, self.token = np.log10(root), token
+        seen = np.flatnonzero(three)
+        # an arc of a pair leads to the pair of its last two tokens, which training texts hold too
+        onto = number[np.searchsorted(g.pairs, last[parent[seen]] * words + final[seen])]
+        arcs = np.concatenate([(1 + first[own]) * words + last[own], number[parent[seen]] * words + final[seen]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.log10(np.concatenate([pair[own], triple[seen]]))[order]
+        self.onto = np.concatenate([number[own], onto])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, next state) of reading a word in each state."""
+        gained, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        at = np.arange(len(state))
+        while len(at):
+            s, w = state[at], word[at]
+            low = s == 0
+            gained[at[low]] += self.root[w[low]]
+            after[at[low]] = self.token[w[low]]
+            at, s, w = at[~low], s[~low], w[~low]
+            key = s * self.words + w
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else np.zeros(len(key), np.int64)
+            hit = self.arcs[arc] == key if len(self.arcs) else np.zeros(len(key), bool)
+            gained[at[hit]] += self.weight[arc[hit]]
+            after[at[hit]] = self.onto[arc[hit]]
+            at, s = at[~hit], s[~hit]
+            gained[at] += self.down[s]
+            state = state.copy()
+            state[at] = self.fail[s]
+        return gained, after
+
+    def read(self, tokens: np.ndarray, begin: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """Scores of texts, which begin and end at the places given."""
+        n = np.diff(begin)
+        count = -(-n // stretch)
+        text = np.repeat(np.arange(len(n)), count)
+        head = begin[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * stretch
+        end = np.minimum(head + stretch, begin[1:][text])
+        at = np.maximum(head - MEMORY, begin[:-1][text])
+        state = np.where(at == begin[:-1][text], self.start, 0)
+        score = np.zeros(len(text))
+        order = np.argsort(at - end, kind="stable")  # the longest first
+        text, head, end, at, state = (x[order] for x in (text, head, end, at, state))
+        longest = end - at
+        for k in range(int(longest[0]) if len(longest) else 0):
+            m = int(np.searchsorted(-longest, -k, side="left"))  # stretches longer than k
+            spot = at[:m] + k
+            gained, state[:m] = self.step(state[:m], tokens[spot])
+            score[:m] += np.where(spot >= head[:m], gained, 0)
+        return np.bincount(text, score, len(n))
+
+
+def _add(keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Sums by key; and of the tokens all, how many distinct, once and twice."""
+    total = np.add.reduceat(values, first) if len(first) else values
+    token = total[(keys[first] & np.uint64(3)) == 0]
+    return np.repeat(total, np.diff(np.r_[first, len(keys)])), [token.sum(), (token > 0).sum(), (token == 1).sum(), (token == 2).sum()]
+
+
+def _question(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    g = Grams(row["data"])
+    return g.keys, g.counts
 
 
 def _score(batches: Iterator[pa.RecordBatch], n: int, v: int, n1: int, n2: int) -> Iterator[pa.RecordBatch]:
-    d = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
     for b in batches:
-        for data, answers in zip(b.column("data"), b.column("answers").to_pylist()):
-            x = unpack(data.as_py())
-            a = Asked(x)
-            parts = [unpack(y["answer"]) for y in sorted(answers, key=lambda y: y["bucket"])]
-            c = np.empty(a.n_words, np.int64)
-            c[a.word_order] = np.concatenate([y["w"] for y in parts])
-            pair = np.empty(len(a.pairs), np.int64)
-            pair[a.pair_order] = np.concatenate([y["p"] for y in parts])
-            before, word = a.pairs // a.n_words, a.pairs % a.n_words
-            state = np.r_[c, c[-1]][before]  # texts begin as often as they end
-            root = np.where(c > 0, c - d, d * v) / n if n else np.ones(len(c))
-            lam = RELY * state / (state + EASE)
-            arc = np.log10(lam * pair / np.maximum(state, 1) + (1 - lam) * root[word])
+        for data, answers in zip(b.column("data"), b.column("answers")):
+            g, told = Grams(data.as_py()), unpacked(answers.as_py())[0].astype(np.int64)
+            c = g.split(told)[0]
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            at = np.searchsorted(a.pairs, a.before * a.n_words + a.tokens)
-            begin = a.ends + 1 - a.lengths
-            ids = pa.array(x["ids"], pa.int64(), mask=x["none"].astype(bool))
-            cols = [
-                ids,
-                pa.array(x["held"].astype(bool)),
-                pa.array(a.lengths),
-                pa.array(np.add.reduceat((c > 0)[a.tokens].astype(np.int64), begin)),
-                pa.array(np.full(len(begin), n, np.int64)),
-                pa.array(np.add.reduceat(base[a.tokens], begin)),
-                pa.array(np.add.reduceat(arc[at], begin)),
-            ]
+            score = Automaton(g, told, n, v, n1, n2).read(g.tokens, g.begin)
+            sums = [np.add.reduceat(x[g.tokens], g.begin[:-1]) for x in ((c > 0).astype(np.int64), base)]
+            cols = [g.ids, pa.array(g.held), pa.array(g.lengths), pa.array(sums[0]), pa.array(np.full(len(g.lengths), n, np.int64)), pa.array(sums[1]), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            give_back()
 
 
-def lm_scores(docs: DataFrame, folds: int = 10, chunk_bytes: int = 6 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, chunk_bytes: int = 5 << 20) -> DataFrame:
     """Scores of all texts by the model of those whose crc32(doc_id as text) mod folds is not 0."""
-    spark = docs.sparkSession
     ids = F.col("doc_id").cast("long")
     rows = docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.coalesce(ids.cast("string"), F.lit(""))) % folds == 0).alias("held_out"))
-    chunks, _ = materialise(arrow_map(rows, lambda b: _read(b, chunk_bytes), "chunk long, data binary"), "lm-texts")
-    buckets = max(1, chunks.select("chunk").count() // 3)  # a bucket gets about as many keys as three chunks have
-    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = arrow_map(chunks, lambda b: _ask(b, buckets), "bucket int, chunk long, asked binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    answered, _ = materialise(arrow_map(asked, _answer, "bucket int, chunk long, answer binary, n long, v long, n1 long, n2 long"), "lm-counts")
-    facts = [int(x or 0) for x in answered.agg(*[F.sum(x) for x in ("n", "v", "n1", "n2")]).first()]
-    answers = answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
-    both = chunks.join(answers, "chunk").select("data", "answers")
-    return arrow_map(both, lambda b: _score(b, *facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    chunks, _ = materialise(arrow_map(rows, lambda b: _read(b, chunk_bytes), "chunk long, tokens long, data binary"), "lm-texts")
+    ranges = ranges_for(chunks, 3 * (chunks.agg(F.sum("tokens")).first()[0] or 0))
+    chunks = chunks.select("chunk", "data")
+    facts = ("n", "v", "n1", "n2")
+    told, _ = materialise(answer(ask(chunks, _question, ranges), _add, facts), "lm-counts")
+    sums = [int(x or 0) for x in told.agg(*[F.sum(x) for x in facts]).first()]
+    return arrow_map(with_answers(chunks, told), lambda b: _score(b, *sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
