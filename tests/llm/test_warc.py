@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 import random
+import struct
+import zlib
 
 import pytest
 
@@ -85,3 +87,46 @@ def test_digests_are_those_of_the_payloads_read(spark):
     spark.createDataFrame(rows, W.SCHEMA).write.format("warc").mode("append").save(path)
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in W.read_digests(spark, path).collect()}
     assert got == {1: (4, sha("four")), 2: (None, None)}  # no record holds what the header tells
+
+
+def standard():
+    """Records as other makers write them, and what is to be read."""
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>one</p>\r\n\r\nWARC/1.0" + b"z" * 9000
+    blocks = [
+        ("WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Type: application/warc-fields", b"software: x\r\n"),
+        ("WARC-Type: request\r\nWARC-Record-ID: <urn:q>\r\nWARC-Target-URI: http://a/\r\nContent-Type: application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("WARC-Type: response\r\nwarc-record-id: <urn:r>\r\nWARC-Target-URI: http://a/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: application/http; msgtype=response", page),
+        ("WARC-Type: metadata\r\nContent-Type: application/warc-fields", b""),
+        ("WARC-Type: revisit\r\nWARC-Record-ID: <urn:v>\r\nWARC-Refers-To: <urn:r>\r\nContent-Type: application/http", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n"),
+    ]
+    records = [f"WARC/1.0\r\n{h}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for h, b in blocks]
+    body = page.split(b"\r\n\r\n", 1)[1]
+    want = [("urn:i", "warcinfo", None, 13, blocks[0][1]), ("urn:q", "request", None, 0, b""), ("urn:r", "response", "ABC", len(body), body), (None, "metadata", None, 0, b""), ("urn:v", "revisit", None, 77, None)]
+    return records, want
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "whole"])
+def test_files_of_other_makers(spark, tmp_path, kind):
+    records, want = standard()
+    data = b"".join(records) if kind == "plain" else b"".join(map(gzip.compress, records)) if kind == "members" else gzip.compress(b"".join(records))
+    (tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")).write_bytes(data)
+    read = lambda split=64 << 20, **o: W.read_warc(spark, str(tmp_path), split_bytes=split, **o)
+    for split in (64 << 20, 100):
+        got = [(r.record_id, r.record_type, r.payload_digest, r.payload_length, r.payload and bytes(r.payload)) for r in read(split).collect()]
+        assert sorted(got, key=str) == sorted([(*w[:4], w[4] or (None if w[1] == "revisit" else w[4])) for w in want], key=str)
+    assert [r.target_uri for r in read(payload=False).where("record_type = 'response'").collect()] == ["http://a/"]
+    for cut in (len(data) - 12, len(data) // 2, 40):
+        f = io.BytesIO(data[:cut])
+        with pytest.raises(ValueError):
+            list(W.read_any(f, 0, cut))
+
+
+def test_own_files_cut_off_and_payloads_by_their_bytes(spark):
+    path = new_path(spark, "warc")
+    W.write_pages(spark.createDataFrame(ROWS, SCHEMA), path)
+    for r in W.read_warc(spark, path).where("record_type = 'response'").collect():
+        assert base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() == r.payload_digest and len(r.payload) == r.payload_length
+    data = W.member(W.record("urn:x", "response", "u" * 9000, None, "00" * 20, 5, b"hello" * 2000))
+    for cut in (len(data) - 20, 60, 30):
+        with pytest.raises((ValueError, zlib.error, struct.error)):
+            list(W.read_any(io.BytesIO(data[:cut]), 0, cut))

@@ -10,11 +10,16 @@ start lies in it. A record's header is inflated alone. Pushed predicates on reco
 decide on it, and only records that pass have their payload inflated, and that only if the option `payload`
 isn't "false".
 
+Files of other makers are read too: plain ones, and gzip ones of one or many members. They have no sizes to jump by,
+so such a file is one partition, read forward; payloads of records that do not pass are not kept. Their payload is
+the block after the HTTP header (of records whose content type is application/http), or the whole block; transfer
+and content encodings stay as they are. A file that ends within a record raises ValueError.
+
 Response records hold an HTTP response with the payload; a revisit holds the HTTP header alone, whose
 Content-Length tells the full payload's size, and refers to the record with the payload.
 
 Edge cases: a null html is an empty payload; a null url an empty one; control characters in a url are
-percent-encoded; a page without an id, and each row that repeats the id of the first page with a payload, is a
+percent-encoded; headers that a record lacks are null; a payload of any length is read whole; a page without an id, and each row that repeats the id of the first page with a payload, is a
 response; an empty table gives an empty archive; other columns are ignored. Folders may be anywhere that
 pyarrow's file systems reach (local and shared disks, HDFS, S3, GCS).
 """
@@ -139,7 +144,7 @@ class WarcReader(DataSourceReader):
             with store.open_input_stream(f"{folder}/{MANIFEST}") as f:
                 files = json.loads(f.read())
         else:
-            files = [[i.base_name, i.size] for i in store.get_file_info(fs.FileSelector(folder)) if i.base_name.endswith(".warc.gz")]
+            files = [[i.base_name, i.size] for i in store.get_file_info(fs.FileSelector(folder)) if i.base_name.endswith((".warc.gz", ".warc"))]
         return [Range(f"{folder}/{name}", a, min(a + self.split, size)) for name, size in files for a in range(0, size, self.split)] or [Range("", 0, 0)]
 
     def _passes(self, row: dict) -> bool:
@@ -155,7 +160,7 @@ class WarcReader(DataSourceReader):
         if partition.file:
             store, _ = _open(self.path)
             with store.open_input_file(partition.file) as f:
-                for row in read_records(f, partition.start, partition.end, self._passes, self.payload):
+                for row in read_any(f, partition.start, partition.end, self._passes, self.payload):
                     rows.append(row)
                     held += 200 + len(row["payload"] or b"")
                     if held > 8 << 20:
@@ -181,6 +186,120 @@ def _first_member(f, start: int, end: int) -> int | None:
     return None
 
 
+def _headers(warc: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in warc.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def _http_length(http: bytes) -> int | None:
+    """What an HTTP header says of its body's length."""
+    told = (x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    return next((int(x) for x in told if x.isdigit()), None)
+
+
+def _row(head: dict[str, str], length: int | None) -> dict:
+    def bare(name: str) -> str | None:
+        return head[name].strip("<>") if head.get(name) else None
+
+    digest = head.get("warc-payload-digest")
+    return {
+        "record_id": bare("warc-record-id"),
+        "record_type": head.get("warc-type"),
+        "target_uri": bare("warc-target-uri") if head.get("warc-target-uri", "").startswith("<") else head.get("warc-target-uri"),
+        "refers_to": bare("warc-refers-to"),
+        "payload_digest": digest and digest.removeprefix("sha1:"),
+        "payload_length": length,
+        "payload": None,
+    }
+
+
+class Forward:
+    """Bytes of a plain or gzip file, from its begin to its end."""
+
+    def __init__(self, f, packed: bool):
+        f.seek(0)
+        self.f, self.packed, self.held, self.over = f, packed, b"", False
+        self.inflate = zlib.decompressobj(31)
+
+    def _more(self) -> bool:
+        raw = self.inflate.unconsumed_tail or self.inflate.unused_data if self.packed else b""
+        raw = raw or self.f.read(1 << 20)
+        if not raw:
+            if self.packed and not self.over:
+                raise ValueError("the file ends within a gzip member")
+            return False
+        if not self.packed:
+            self.held += raw
+            return True
+        if self.inflate.eof:
+            self.inflate = zlib.decompressobj(31)
+        self.held += self.inflate.decompress(raw, 4 << 20)
+        self.over = self.inflate.eof
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes before the mark, which is passed over; None at the end of the file."""
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark))
+            if not self._more():
+                if self.held.strip():
+                    raise ValueError("the file ends within a record's header")
+                return None
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """The next n bytes, or nothing if they are only to be passed over."""
+        parts = []
+        while n:
+            if not self.held and not self._more():
+                raise ValueError("the file ends within a record")
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+
+def read_forward(f, packed: bool, passes=lambda row: True, payload: bool = True) -> Iterator[dict]:
+    """All records of a file by any maker whose header passes."""
+    source = Forward(f, packed)
+    while (warc := source.until(b"\r\n\r\n")) is not None:
+        warc = warc.lstrip(b"\r\n")
+        if not warc.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        head = _headers(warc)
+        left = int(head.get("content-length", 0))
+        http, length = b"", left
+        if head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            while left and b"\r\n\r\n" not in http:
+                part = source.take(min(left, 4096))
+                http, left = http + part, left - len(part)
+            http, _, rest = http.partition(b"\r\n\r\n")
+            length = len(rest) + left
+        else:
+            rest = b""
+        told = _http_length(http)
+        row = _row(head, told if head.get("warc-type") == "revisit" and told is not None else length)
+        keep = passes(row)
+        body = source.take(left, keep and payload)
+        if keep:
+            if payload and head.get("warc-type") != "revisit":
+                row["payload"] = rest + body
+            yield row
+        source.take(4, False)  # the blank lines after a record
+
+
+def read_any(f, start: int, end: int, passes=lambda row: True, payload: bool = True) -> Iterator[dict]:
+    """Records that start in [start, end) of a file written here; all of another file where start is 0."""
+    f.seek(0)
+    first = f.read(len(_MEMBER))
+    if first == _MEMBER:
+        yield from read_records(f, start, end, passes, payload)
+    elif not start and first:
+        yield from read_forward(f, first[:2] == b"\x1f\x8b", passes, payload)
+
+
 def read_records(f, start: int, end: int, passes=lambda row: True, payload: bool = True) -> Iterator[dict]:
     """Records that start in [start, end) of an open file and whose header passes."""
     at = _first_member(f, start, end) if start else 0
@@ -195,25 +314,20 @@ def read_records(f, start: int, end: int, passes=lambda row: True, payload: bool
         text, rest = inflate.decompress(first[lead:], 2048), b""
         while text.count(b"\r\n\r\n") < 2 and len(text) < full:  # the headers may be long
             source = inflate.unconsumed_tail or f.read(4096)
+            if not source:
+                raise ValueError(f"the file ends within the record at byte {at}")
             text += inflate.decompress(source, 2048)
         warc, _, rest = text.partition(b"\r\n\r\n")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in warc.decode().split("\r\n")[1:])}
-        http, _, body = rest.partition(b"\r\n\r\n")
-        length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-        refers = head.get("warc-refers-to")
-        row = {
-            "record_id": head["warc-record-id"].strip("<>"),
-            "record_type": head["warc-type"],
-            "target_uri": head.get("warc-target-uri"),
-            "refers_to": refers.strip("<>") if refers else None,
-            "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
-            "payload_length": length,
-            "payload": None,
-        }
+        head = _headers(warc)
+        http, _, _ = rest.partition(b"\r\n\r\n")
+        row = _row(head, _http_length(http))
         if passes(row):
             if payload and row["record_type"] == "response":
                 f.seek(at + lead)
-                data = zlib.decompress(f.read(size - lead), -15)
+                packed = f.read(size - lead)
+                if len(packed) < size - lead:
+                    raise ValueError(f"the file ends within the record at byte {at}")
+                data = zlib.decompress(packed, -15)
                 row["payload"] = data[len(warc) + 4 + len(http) + 4 : len(data) - 4]
             yield row
         at += size
