@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import docs
@@ -45,3 +46,30 @@ def test_files_read_back_in_order(spark):
     out = new_path(spark, "tokens")
     T.write_token_files(df.limit(0), out, path)
     assert T.read_token_files(spark, out).collect() == []
+
+
+def test_any_id_of_the_set_by_a_few_bytes(spark):
+    out, path = new_path(spark, "tokens"), P.path("word_bpe_49k.json")
+    df = docs(spark).drop("lang").withColumnsRenamed({"source": "part", "n_chars": "file"}).repartition(3)  # clashing names
+    T.write_token_files(df, out, path, segment_bytes=4000, file_bytes=9000)
+    ids = [x for r in T.read_token_files(spark, out).orderBy("start").collect() for x in r.ids]
+    files = T.TokenFiles(spark, out)
+    assert len(files) == len(ids) and T.token_index(spark, out).select("file").distinct().count() > 2
+    rng = np.random.default_rng(5)
+    for i in [0, len(ids) - 1, *rng.integers(0, len(ids), 8).tolist()]:
+        files.bytes_read = 0
+        assert files.token(i) == ids[i] and files.bytes_read < 300
+    for _ in range(4):
+        a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
+        assert files.slice(a, b).tolist() == ids[a:b]
+    for i in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            files.token(i)
+
+
+def test_a_very_long_text(spark):
+    out, path = new_path(spark, "tokens"), P.path("word_bpe_49k.json")
+    long = "some words " * 50_000
+    T.write_token_files(spark.createDataFrame([(2, long), (1, "x")], "doc_id long, text string"), out, path, segment_bytes=1000)
+    got = {r.doc_id: (r.start, r.n_tokens) for r in T.read_token_files(spark, out, with_ids=False).collect()}
+    assert got == {1: (0, 2), 2: (2, 100_001)}

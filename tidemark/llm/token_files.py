@@ -9,17 +9,19 @@ Layout (little-endian): magic TMDAC1, then as unsigned 32-bit integers the numbe
 then as 64-bit integers the documents' ids and the ends of their id runs; for each level its length (64 bits),
 its chunks, its bitmap (lowest bit first, padded to 64 bytes) and its rank directory (32 bits each).
 
-Segments are rows of Parquet files in the output folder: part and number give their order, before is how many
-ids stand before a segment within its part. Spark commits the files, so a lost executor leaves none half
-written, and any path that Spark reaches can hold them.
+Each task writes its segments one after the other into files of its own, under names that no other attempt uses. A
+Parquet index in the same folder, which Spark commits, says where each segment lies and how many ids stand before
+it, so files of lost attempts are never read. `TokenFiles` reads id i, or a run of ids, by seeking: a few bytes for
+each level, whatever the size of a segment. Folders may be anywhere that pyarrow's file systems reach.
 
 Edge cases: a null or empty text has its end id alone; rows come in ascending doc_id, then text, nulls first;
 rows that repeat a doc_id are written each; a text longer than a segment has one of its own; an empty table
-gives no segments; other columns are ignored.
+gives an empty index; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, text_chunks
 from tidemark.llm.tokens import encoder
+from tidemark.llm.warc import _open
 
 MAGIC, BLOCK = b"TMDAC1", 512
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -115,21 +118,104 @@ def with_ends(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
-    part, before = TaskContext.get().partitionId(), 0
-    for k, t in enumerate(text_chunks(batches, "text", size)):
-        ids, starts = with_ends(*encoder(tokenizer).encode(t.column("text")), end_id)
-        data = write_segment(t.column("doc_id").fill_null(int(NO_ID)).to_numpy(), starts[1:], ids)
-        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((part, pa.int32()), (k, pa.int32()), (before, pa.int64()), (len(ids), pa.int64()), (data, pa.binary()))], ["part", "number", "before", "n_ids", "data"])
-        before += len(ids)
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_bytes: int = 8 << 20) -> None:
+#: Where segments lie: file, first byte and size, ids before it and in it, documents in it.
+INDEX = "file string, at long, size long, start long, n_ids long, n_docs long"
+_PLACED = "part int, number int, before long, file string, at long, size long, n_ids long, n_docs long"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, size: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    part, before, out, name, at = TaskContext.get().partitionId(), 0, None, "", 0
+    store, place = _open(folder)
+    try:
+        for k, t in enumerate(text_chunks(batches, "text", size)):
+            ids, starts = with_ends(*encoder(tokenizer).encode(t.column("text")), end_id)
+            data = write_segment(t.column("doc_id").fill_null(int(NO_ID)).to_numpy(), starts[1:], ids)
+            if out is None or at >= file_bytes:
+                if out:
+                    out.close()
+                name, at = f"ids-{uuid.uuid4().hex}.dac", 0
+                out = store.open_output_stream(f"{place}/{name}", compression=None)
+            out.write(data)
+            row = (part, k, before, name, at, len(data), len(ids), len(t))
+            yield pa.RecordBatch.from_pylist([dict(zip((x.split()[0] for x in _PLACED.split(", ")), row))], pa.schema([(n, {"int": pa.int32(), "long": pa.int64()}.get(kind, pa.string())) for n, kind in (x.split() for x in _PLACED.split(", "))]))
+            before, at = before + len(ids), at + len(data)
+    finally:
+        if out:
+            out.close()
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_bytes: int = 8 << 20, file_bytes: int = 256 << 20) -> None:
     """Write all texts' ids, each text's followed by end_id, in ascending doc_id order."""
+    spark = docs.sparkSession
+    store, folder = _open(path)
+    store.create_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    arrow_map(ordered, lambda b: _encode(b, tokenizer, end_id, segment_bytes), "part int, number int, before long, n_ids long, data binary").write.parquet(path)
+    arrow_map(ordered, lambda b: _encode(b, path, tokenizer, end_id, segment_bytes, file_bytes), _PLACED).write.parquet(f"{path}/placed")
+    placed = spark.read.schema(_PLACED).parquet(f"{path}/placed")
+    sums = sorted(placed.groupBy("part").agg(F.sum("n_ids")).collect())  # a row for each part written
+    base = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, np.cumsum([0, *(n for _, n in sums)]).tolist())], "part int, base long")
+    index = placed.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before"))
+    index.select(*(x.split()[0] for x in INDEX.split(", "))).repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/index")
+
+
+def token_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
+
+
+class TokenFiles:
+    """Any id of the whole set by its number, or a run of them, by seeking in the files.
+
+    Looking up the segments is a pruned read of the index; the rest are reads of a few bytes each.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.index, (self.store, self.folder) = token_index(spark, path), _open(path)
+        self.bytes_read = 0
+
+    def __len__(self) -> int:
+        return self.index.agg(F.sum("n_ids")).first()[0] or 0
+
+    def _segments(self, a: int, b: int) -> list:
+        return self.index.where((F.col("start") < b) & (F.col("start") + F.col("n_ids") > a)).orderBy("start").collect()
+
+    def _bytes(self, f, at: int, n: int) -> bytes:
+        f.seek(at)
+        data = f.read(n)
+        self.bytes_read += len(data)
+        return data
+
+    def token(self, i: int) -> int:
+        found = self._segments(i, i + 1)
+        if i < 0 or not found:
+            raise IndexError(i)
+        with self.store.open_input_file(f"{self.folder}/{found[0].file}") as f:
+            return self._token(f, found[0].at, i - found[0].start)
+
+    def _token(self, f, at: int, i: int) -> int:
+        docs, levels = np.frombuffer(self._bytes(f, at + len(MAGIC), 8), "<u4").tolist()
+        at += len(MAGIC) + 8 + 16 * docs
+        value, width = 0, BLOCK // 8
+        for level in range(levels):
+            n = int.from_bytes(self._bytes(f, at, 8), "little")
+            blocks = -(-n // BLOCK)
+            chunks, bits, ranks = at + 8, at + 8 + n, at + 8 + n + blocks * width
+            value |= self._bytes(f, chunks + i, 1)[0] << 8 * level
+            block = int.from_bytes(self._bytes(f, bits + i // BLOCK * width, width), "little")
+            if not block >> i % BLOCK & 1:
+                break
+            before = int.from_bytes(self._bytes(f, ranks + i // BLOCK * 4, 4), "little")
+            i, at = before + (block & ((1 << i % BLOCK) - 1)).bit_count(), ranks + blocks * 4
+        return value
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b, which may lie in several segments and files."""
+        out = [np.empty(0, np.uint32)]
+        for s in self._segments(a, b):
+            with self.store.open_input_file(f"{self.folder}/{s.file}") as f:
+                out.append(Segment(self._bytes(f, s.at, s.size)).slice(max(a - s.start, 0), min(b - s.start, s.n_ids)))
+        return np.concatenate(out)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -137,25 +223,23 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
     with_ids=False reads and sums the ids all the same, but leaves their column out of the result.
     """
-    segments = spark.read.schema("part int, number int, before long, n_ids long, data binary").parquet(path)
-    sums = sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect())  # a row for each part written
-    begin = np.cumsum([0, *(n for _, n in sums)]).tolist()
-    base = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, begin)], "part int, base long")
-
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _open(path)
         for b in batches:
-            for start, data in zip(b.column("start").to_pylist(), b.column("data")):
-                s = Segment(data.as_py())
+            for row in b.to_pylist():
+                with store.open_input_file(f"{folder}/{row['file']}") as f:
+                    f.seek(row["at"])
+                    s = Segment(f.read(row["size"]))
                 runs = [s.document(k).astype("<u4") for k in range(len(s.ends))]
                 sizes = np.diff(np.r_[0, s.ends])
                 crc = [zlib.crc32(x.tobytes()) for x in runs]
-                cols = [pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(start + s.ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
+                cols = [pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(row["start"] + s.ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, s.ends].astype(np.int32)), pa.array(np.concatenate(runs).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    placed = segments.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("start"), "data")
-    return arrow_map(placed, run, schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_map(token_index(spark, path).repartition(parts, "file", "at"), run, schema)
