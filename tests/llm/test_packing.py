@@ -72,3 +72,15 @@ def test_documents_are_packed_whole(spark):
         assert at <= SIZE
     assert len(filled) <= 1.03 * sum(r.length for r in rows) / SIZE + 1
     assert K.pack_documents(df.limit(0), path).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["thirds", "broad", "halves", "documents"])
+def test_few_more_sequences_than_any_packing_needs(kind):
+    rng = np.random.default_rng(4)
+    lengths = {"thirds": rng.integers(340, 345, 3000), "broad": rng.integers(1, 1025, 4000), "halves": rng.choice([512, 511, 600, 300], 2000), "documents": np.minimum(1024, rng.lognormal(5.5, 1, 5000).astype(int) + 1)}[kind]
+    histogram = np.bincount(lengths, minlength=1025)
+    made = sum(n for _, n in K.plan(histogram, 1024))
+    bound = K.lower_bound(histogram, 1024, 400 if kind in ("thirds", "halves") else 40)
+    assert bound <= made <= 1.01 * bound + 1
+    if kind == "thirds":
+        assert 1141 < bound < 1142.5  # the program's optimum is 1142.4: three to a sequence where they fit; their room alone says 1001

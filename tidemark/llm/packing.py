@@ -10,10 +10,12 @@ part call for. The shares found are rounded down; what they leave is packed best
 new sequences, again length by length on the histogram.
 
 The plan gives, for each length and each rank among the pieces of that length, a sequence and an offset as
-runs, so pieces are placed by their rank alone, in parallel. Ranks are counted within (length, salt) groups.
+runs, so pieces are placed by their rank alone, in parallel. A task ranks its pieces as it cuts them; a small table
+says how many pieces of a length the tasks before it have, so pieces are neither sorted nor gathered by length.
+`lower_bound` tells how few sequences any packing needs.
 
 Edge cases: a null or empty text is its end id alone; rows that repeat a doc_id are packed each; a null doc_id
-stays null; an empty table gives an empty result; other columns are ignored.
+stays null; a very long text is read whole and cut like others; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +34,6 @@ from tidemark.llm.common import arrow_map, materialise, text_chunks
 from tidemark.llm.token_files import with_ends
 from tidemark.llm.tokens import encoder
 
-SALTS = 64
-
-
 def price(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each capacity the best worth of a multiset that fits (value[l] for each length l), and the length to
     take first (none: 0)."""
@@ -81,6 +81,25 @@ def solve_configurations(histogram: np.ndarray, size: int, rounds: int, rate: fl
     return used
 
 
+def lower_bound(histogram: np.ndarray, size: int, rounds: int = 400, rate: float = 0.5) -> float:
+    """A bound from below on the sequences of any packing: prices of lengths, divided by what the dearest sequence
+    is worth at them, best over the rounds. Multiplicative weights lower the prices that the dearest sequence holds."""
+    need = histogram.astype(float)
+    some = need > 0
+    value = np.divide(1.0, need, out=np.zeros(len(need)), where=some)
+    best = float((need * np.arange(len(need))).sum() / size)  # by the room they take
+    for t in range(rounds if some.any() else 0):
+        worth, take = price(value, size)
+        best = max(best, float(need @ value / worth[size]))
+        held, c = np.zeros(len(need)), size
+        while c > 0:
+            held[take[c]] += take[c] > 0
+            c -= int(take[c]) or 1
+        part = np.divide(held, need, out=np.zeros(len(need)), where=some)
+        value *= 1 - rate / (1 + t / 5) * part / part.max()
+    return best
+
+
 #: Rounds, rate and bend of the solutions that a plan is chosen from; broad and narrow histograms favour different ones.
 SETTINGS = ((12, 0.1, 1.05), (12, 2.0, 1.05), (24, 4.0, 1.0))
 
@@ -153,9 +172,11 @@ class Places:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each piece."""
+    """(doc_id, piece, start, length, ids_crc32, part, rank) of each piece: part is its task, rank its number
+    among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for t in text_chunks(batches, "text", chunk_bytes):
             ids, starts = with_ends(*encoder(tokenizer).encode(t.column("text")), end_id)
             n = np.diff(starts)
@@ -165,34 +186,37 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, c
             head = n - (count - 1) * size  # the first piece takes what the others leave
             start = np.where(piece > 0, head[row] + (piece - 1) * size, 0)
             length = np.where(piece > 0, size, head[row])
+            order = np.argsort(length, kind="stable")
+            many = np.bincount(length, minlength=size + 1)
+            rank = np.empty(len(row), np.int64)
+            rank[order] = np.arange(len(row)) + np.repeat(seen - np.cumsum(many) + many, many)
+            seen += many
             raw = memoryview(ids.astype("<u4").tobytes())
             at = (starts[row] + start) * 4
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist())]
-            cols = [t.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
+            cols = [t.column("doc_id").combine_chunks().take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
     spark = docs.sparkSession
     cut, _ = materialise(pieces(docs, tokenizer, end_id, size), "pieces")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("length", "salt").count().collect()  # at most size times SALTS rows
-    table = np.zeros((size + 1, SALTS), np.int64)
-    for r in counts:
-        table[r["length"], r["salt"]] = r["count"]
-    before = np.cumsum(table, axis=1) - table
-    places = spark.sparkContext.broadcast(Places(plan(table.sum(1), size), size))  # at most a few runs for each length and configuration
+    counts, _ = materialise(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    histogram = np.zeros(size + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most size rows
+        histogram[r["length"]] = r["n"]
+    places = spark.sparkContext.broadcast(Places(plan(histogram, size), size))  # at most a few runs for each length and configuration
+    before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, salt = b.column("length").to_numpy(), b.column("salt").to_numpy()
-            sequence, offset = places.value.find(length, b.column("rank").to_numpy() - 1 + before[length, salt])
+            sequence, offset = places.value.find(b.column("length").to_numpy(), b.column("rank").to_numpy())
             cols = [b.column(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], [*("doc_id", "piece", "start", "length", "ids_crc32"), "sequence_id", "offset"])
 
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long")
-    return arrow_map(cut.withColumn("rank", rank), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    return arrow_map(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
