@@ -37,9 +37,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
 
 
-def ask(chunks: DataFrame, question: Callable[[dict], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
-    """(range, chunk, asked) of what each chunk's question gives: sorted distinct keys, and a value for each."""
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+def ask(chunks: DataFrame, question: Callable[[dict], tuple[np.ndarray, np.ndarray]], ranges: int, bits: int = 64) -> DataFrame:
+    """(range, chunk, asked) of what each chunk's question gives: sorted distinct keys of so many bits, and a value for
+    each."""
+    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
