@@ -13,7 +13,8 @@ the smallest hash of doc_id; features and scores cover every row.
 Edge cases: a null or empty text has all features zero and a score like any other; labels without a document,
 or with a null quality, teach nothing; documents that repeat a doc_id teach once for each label value; with
 no usable labels every score is 0.5, with one class only the (smoothed) share of it; a null doc_id counts as
-held out; an empty table gives an empty result; other columns are ignored.
+held out; a very long text is read whole, in a chunk of its own; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map
+from tidemark.llm.common import arrow_map, text_chunks
 
 TEXT_FEATURES = (
     "log_words", "word_length", "distinct_words", "top_word", "same_as_before", "distinct_pairs", "short_words", "long_words", "no_letter_words", "end_marks",
@@ -83,6 +84,11 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
+def _features(t: pa.Table) -> np.ndarray:
+    """A row of features for each text."""
+    return np.array([text_features(x) for x in t.column("text").to_pylist()], float).reshape(-1, len(TEXT_FEATURES))
+
+
 @dataclass
 class Model:
     """start + tables[j][bin of feature j] + pair tables, before the logistic function."""
@@ -238,9 +244,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int
     marked = marked.where(~_held_out(F.col("doc_id"), folds)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = pa.array([text_features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), x], ["doc_id", "quality", "x"])
+        for t in text_chunks(batches):
+            x = pa.array(list(_features(t)), pa.list_(pa.float64()))
+            yield from t.select(["doc_id", "quality"]).append_column("x", x).combine_chunks().to_batches()
 
     texts = docs.select(ids.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("doc_id", "quality", "text")
     rows = arrow_map(texts, run, "doc_id long, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()  # `sample` rows at most
@@ -253,10 +259,9 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
     """docs with score and predicted; all other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([text_features(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(TEXT_FEATURES))
-            score = model.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+        for t in text_chunks(batches):
+            score = model.score(_features(t))
+            yield from t.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= threshold).astype(np.int32))).combine_chunks().to_batches()
 
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*columns).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
@@ -276,8 +281,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: flo
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([text_features(t) for t in b.column("text").to_pylist()], float).reshape(-1, len(TEXT_FEATURES))
-            yield b.filter(pa.array(model.score(x) >= threshold))
+        for t in text_chunks(batches):
+            yield from t.filter(pa.array(model.score(_features(t)) >= threshold)).to_batches()
 
     return arrow_map(docs, run, schema)
