@@ -88,7 +88,7 @@ def key_chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000)
         yield pa.Table.from_batches(held)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 6 << 20) -> Iterator[pa.Table]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.Table]:
     """Regroup batches into tables of about so many bytes of text; a longer text stands alone."""
     held: list[pa.RecordBatch] = []
     n = 0

@@ -23,7 +23,7 @@ from tidemark.llm.common import arrow_map, give_back, key_chunks
 from tidemark.llm.words import pack, unpack
 
 
-def ranges_for(df: DataFrame, keys: int, most: int = 2_000_000) -> int:
+def ranges_for(df: DataFrame, keys: int, most: int = 1_000_000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // most))
 
 

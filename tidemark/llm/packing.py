@@ -171,7 +171,7 @@ class Places:
         return self.first[run] + r // each, self.at[run] + r % each * length
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, chunk_bytes: int = 8 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank) of each piece: part is its task, rank its number
     among the task's pieces of that length."""
 

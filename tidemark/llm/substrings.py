@@ -198,7 +198,7 @@ def _kept(text: str | None, gone: np.ndarray, less: int) -> list[bytes]:
     return [w for w, g in zip(words, gone.tolist()) if not g] if less else words
 
 
-def substring_digests(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 5 << 20) -> DataFrame:
+def substring_digests(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row; least: the words of the shortest level, or fewer."""
 
     def render(t: pa.Table, starts: list[int], gone: np.ndarray, less: list[int]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def substring_digests(docs: DataFrame, window: int = 13, least: int = 7, chunk_b
     return _each_chunk(rows, ["doc_id"], window, least, chunk_bytes, render, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 5 << 20) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 3 << 20) -> DataFrame:
     """docs with the words of repeats taken out of text, and n_chars (if there) as it then is.
 
     A text that loses words becomes its kept words joined by one space; other texts stay as they are. A
@@ -233,7 +233,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes:
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
-def repeat_levels(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 5 << 20) -> DataFrame:
+def repeat_levels(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes: int = 3 << 20) -> DataFrame:
     """(length, doc_id, n): for windows of the given length, then twice and twice again, the number of repeats
     that each document still has. Each level extends what the level before left, until nothing is left."""
     chunks = _chunks(docs.select(docs["doc_id"], docs["text"]), [], chunk_bytes)

@@ -53,7 +53,7 @@ def _take(lists: pa.LargeListArray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; special strings are ordinary text."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
