@@ -53,6 +53,8 @@ def test_links_match_brute_force(spark, monkeypatch):
     want = brute(rows)
     df = frame(spark, rows).repartition(3)
     assert sorted(map(tuple, E.embedding_groups(df).collect()), key=str) == want
+    wide = df.selectExpr("vec_id", "cast(embedding as array<double>) embedding", "1 weight", "2 d", "3 code", "4 h1")
+    assert sorted(map(tuple, E.embedding_groups(wide).collect()), key=str) == want
     monkeypatch.setattr(E, "BLOCK", 5)  # crowded codes are dealt over blocks
     assert sorted(map(tuple, E.embedding_groups(df).collect()), key=str) == want
     assert E.embedding_groups(df.limit(0)).collect() == []
@@ -62,15 +64,33 @@ def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 64))
     x[200:] = x[:200] + rng.standard_normal((200, 64)) * rng.uniform(0.05, 0.6, (200, 1))
-    i, j = np.arange(200), np.arange(200, 400)
+    i, j = slice(0, 200), slice(200, 400)
     unit = E._unit(x)
-    exact = (unit[i] * unit[j]).sum(1)
-    errors = []
+    exact = unit[i] @ unit[j].T
+    errors, ruled_out = [], []
     for seed in range(40):
-        q = unit @ E.rotations(64, 64, seed)
-        f = np.abs(q).sum(1) / 8
-        estimate = (np.where(q > 0, 1, -1)[i] * q[j]).sum(1) / 8 / f[i]
-        errors.append(estimate - exact)
-        assert (np.abs(estimate - exact) <= 5 * np.sqrt((1 - f[i] ** 2) / (f[i] ** 2 * 63))).all()
+        codes = E.Codes(E.encode(unit, seed))
+        error = codes.estimate(i, j) - exact
+        errors.append(error)
+        f = codes.f[i, None]
+        bound = 5 * np.sqrt((1 - f**2) / (f**2 * 63)) * np.sqrt(1 - exact**2) + 2.5 * codes.step[None, j] / f + 1e-5
+        assert (np.abs(error) <= bound).all()
+        maybe = codes.undecided(i, j, 0.95, 5.0)
+        assert maybe[exact >= 0.95].all()
+        ruled_out.append(1 - maybe[exact < 0.5].mean())
+    assert abs(np.mean(np.diagonal(errors, axis1=1, axis2=2))) < 0.003
     assert abs(np.mean(errors)) < 0.003
-    assert (E.close_pairs(x, i, j, 0.95, 5.0) == (exact >= 0.95)).all()
+    assert np.mean(ruled_out) > 0.99
+    a, b = np.nonzero(exact > -2)
+    assert (E.exactly_close(x, a, b + 200, 0.95) == (exact >= 0.95).ravel()).all()
+
+
+def test_codes_of_short_and_odd_lengths():
+    rng = np.random.default_rng(5)
+    for d in (1, 2, 3, 7, 9, 24):
+        unit = E._unit(rng.standard_normal((60, d)))
+        data = E.encode(unit)
+        assert data.shape == (60, E.HEAD + -(-d // 8) + -(-d // 2))
+        everything = slice(0, 60)
+        maybe = E.Codes(data).undecided(everything, everything, 0.95, 5.0)
+        assert maybe[np.triu(unit @ unit.T >= 0.95, 1)].all() and not np.tril(maybe).any()
