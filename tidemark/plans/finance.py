@@ -89,3 +89,8 @@ def stored_candles(t: Tables) -> DataFrame:
 def live_candles(t: Tables) -> DataFrame:
     late = t.spark.createDataFrame([(-1, dt("2024-02-09T12:00:00"), 0, "view", 120000.0, "")], t.events.schema)
     return stored(t, "2024-01-20T13:00:00", True, late)
+
+
+@query("fin_describe", "SELECT * FROM (VALUES ('event_id', 'bigint', NULL), ('ts', 'timestamp_ntz', 'time'), ('user_id', 'bigint', 'segment'), ('event_type', 'string', NULL), ('value', 'double', NULL), ('props', 'string', NULL)) v(column_name, data_type, role)")
+def columns(t: Tables) -> DataFrame:
+    return t.hypertable().describe()

@@ -12,6 +12,7 @@ from tidemark.functions.numeric import pretty_bytes, rint_int
 from tidemark.functions.timeseries import time_bucket
 from tidemark.functions.vector import nearest, parse_vector
 from tidemark.operators.joins import validate
+from tidemark.operators.vector_index import VectorIndex
 from tidemark.plans.registry import Tables, query, r4, r8
 from tidemark.plans.wells import PLACES, places, point
 from tidemark.retrieval.models import EchoChat, HashingEmbedder, Vectorizer, answer, chunk_texts, embed, search
@@ -56,6 +57,14 @@ query("ai_vec_topk", VEC.format(FIRST, "", FIRST, 5))(lambda t: _top(t, t.embedd
 query("ai_vec_topk_sub", VEC.format("3", " WHERE label IN (1, 2, 3)", "3", 10))(lambda t: _top(t, F.lit(3), 10, t.embeddings.where(F.col("label").isin(1, 2, 3))))
 
 
+@query("ai_vec_index", VEC.format(FIRST, "", FIRST, 5))
+def indexed(t: Tables) -> DataFrame:
+    """The same rows through the index, which reads only cells that may hold them."""
+    index = VectorIndex.build(t.embeddings, new_path(t.spark, "vector-index"), "vec_id", "embedding")
+    one = t.embeddings.orderBy("vec_id").select("embedding").first()["embedding"]
+    return index.search(one, 5).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("ai_vec_colours", f"SELECT id, description, round(list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), 4) AS distance FROM (VALUES {COLOUR_ROWS}) v(id, description, embedding) WHERE id <> 8 ORDER BY list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), id LIMIT 5")
 def colour_search(t: Tables) -> DataFrame:
     """A zero vector has no distance and ranks last; ties go by id."""
@@ -113,6 +122,14 @@ def near(t: Tables) -> DataFrame:
     return places(t).where(geo.within(*point(), -102, 31, 50 * geo.MILE)).select("c_custkey", r4(miles).alias("miles"))
 
 
+@query("ai_geo_spheroid")
+def near_on_spheroid(t: Tables) -> DataFrame:
+    """As ai_geo, on the spheroid; nearest first."""
+    prepare(t.spark)
+    rows = geo.within_spheroid(places(t), *point(), -102, 31, 50 * geo.MILE)
+    return rows.select("c_custkey", r4(F.col("metres") / geo.MILE).alias("miles")).orderBy("miles", "c_custkey")
+
+
 @query("ai_geo_rag")
 def geo_rag(t: Tables) -> DataFrame:
     """Reports of near places only, then the nearest by meaning, then the prompt."""

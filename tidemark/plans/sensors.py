@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeseries import last_by, time_bucket
 from tidemark.operators.policies import Policies
 from tidemark.operators.rollup import Rollup, RollupSpec
+from tidemark.operators.timing import explain_analyze
 from tidemark.plans.registry import Tables, dt, query, r8, since
 from tidemark.session import new_path
+from tidemark.sources.hypertable import Hypertable, HypertableSpec
 
 HALF_HOUR, HOUR, DAY = timedelta(minutes=30), timedelta(hours=1), timedelta(days=1)
 
@@ -163,3 +165,48 @@ def counts(t: Tables) -> DataFrame:
 
 
 query("oee_stats")(stats)
+
+
+#: Measures of a production line's hour: sums and means, as the rollup of that name has them.
+HOUR_SUMS = ["planned_time_seconds", "planned_downtime_seconds", "unplanned_downtime_seconds", "runtime_seconds", "actual_output", "good_output", "energy_kwh"]
+HOUR_MEANS = ["ideal_cycle_time_seconds", "availability", "performance", "quality", "oee", "temperature_c", "vibration_mm_s", "noise_db"]
+
+
+def line_hours(rows: DataFrame) -> DataFrame:
+    """Every measure by hour and line."""
+    sums, means = [F.sum(c).alias(c) for c in HOUR_SUMS], [F.avg(c).alias(c) for c in HOUR_MEANS]
+    return rows.groupBy(time_bucket(HOUR, "time").alias("bucket"), "line_id").agg(*sums, *means)
+
+
+#: How events play readings of a line; both engines read these.
+PLAYED = dict.fromkeys(HOUR_MEANS, "value") | {
+    "planned_time_seconds": "CAST(5 AS BIGINT)",
+    "planned_downtime_seconds": "user_id % 3",
+    "unplanned_downtime_seconds": "event_id % 2",
+    "runtime_seconds": "5 - user_id % 3 - event_id % 2",
+    "actual_output": "user_id",
+    "good_output": "user_id % 7",
+    "energy_kwh": "value",
+    "availability": "CAST(5 - user_id % 3 - event_id % 2 AS DOUBLE)",
+    "quality": "CAST(event_id % 11 AS DOUBLE)",
+    "noise_db": "value + 60",
+}
+HOURS_SQL = ", ".join([f"CAST(sum({PLAYED[c]}) AS BIGINT) AS {c}" for c in HOUR_SUMS[:-1]] + ["round(sum(value), 8) AS energy_kwh"] + [f"round(avg({PLAYED[c]}), 8) AS {c}" for c in HOUR_MEANS])
+
+
+@query("oee_1h", f"SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, event_type AS line_id, {HOURS_SQL} FROM events GROUP BY 1, 2")
+def whole_hours(t: Tables) -> DataFrame:
+    """The rollup with all its measures: stored up to the middle of the month, live from there."""
+    rows = t.events.selectExpr("ts AS time", "event_type AS line_id", *(f"{PLAYED[c]} AS {c}" for c in HOUR_SUMS + HOUR_MEANS))
+    table = Hypertable(t.spark, new_path(t.spark, "lines"), HypertableSpec("lines", "time", timedelta(days=7), ["line_id"], [F.col("time").desc()]), rows.schema)
+    table.append(rows)
+    rollup = Rollup(t.spark, new_path(t.spark, "oee-1h"), RollupSpec("oee_1h", "bucket", HOUR, line_hours, True, ["line_id"]), table)
+    rollup.refresh(None, dt("2024-01-16T00:30:00"))
+    return rollup.read().select("bucket", "line_id", *HOUR_SUMS[:-1], *(r8(F.col(c)).alias(c) for c in HOUR_SUMS[-1:] + HOUR_MEANS))
+
+
+@query("oee_2mo_explain", f"SELECT 'raw' AS side, (SELECT count(*) FROM events) AS n UNION ALL SELECT 'rollup', (SELECT count(*) FROM {HOURLY})")
+def timed(t: Tables) -> DataFrame:
+    """Raw rows and the rollup, each run to its end with its plan and time; both take in two months."""
+    runs = {"raw": explain_analyze(t.events.select("ts", "event_type", "value")), "rollup": explain_analyze(_oee(t).read())}
+    return t.spark.createDataFrame([(side, run.rows, run.seconds, run.plan) for side, run in runs.items()], "side string, n long, seconds double, plan string").select("side", "n")
