@@ -67,6 +67,16 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise, in buckets of a key: joins on it read the rows where they lie instead of moving them."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def key_chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
     """Regroup batches sorted by key into tables of about so many rows that never split a key."""
     held: list[pa.RecordBatch] = []

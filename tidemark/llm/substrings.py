@@ -7,10 +7,10 @@ both found in several documents are candidates, and of these only the ones found
 last level compares doc_ids. Windows found in one document alone end where they stand. `repeat_levels` carries the
 doubling on beyond the full window, from the survivors of each level, until none is left.
 
-At scale: texts are packed into chunks of bounded size, written once. At each level a chunk asks about its distinct
-candidate windows by 64-bit hashes (`exchange`); an answer is a bit for each. So a window that a third of all
-documents hold costs one entry for each chunk, nothing is gathered by window or by document, and rows are told
-apart by their place in a chunk.
+At scale: texts are packed into chunks of bounded size, written once, in buckets, so that answers travel to the
+chunks and no chunk is moved. At each level a chunk asks about its distinct candidate windows by 64-bit hashes
+(`exchange`); an answer is a bit for each. So a window that a third of all documents hold costs one entry for each
+chunk, nothing is gathered by window or by document, and rows are told apart by their place in a chunk.
 
 Edge cases: a null or short text has no window and keeps all words; words are split at ASCII white space and
 otherwise unchanged; repeats within one document, or between rows that repeat a doc_id, don't count; rows
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, give_back, materialise, text_chunks
+from tidemark.llm.common import arrow_map, give_back, materialise, materialise_by, text_chunks
 from tidemark.llm.exchange import answer, ask, ranges_for, unpacked, with_answers
 from tidemark.llm.words import Words, mix, pack, unpack
 
@@ -124,7 +124,7 @@ def _chunks(docs: DataFrame, columns: list[str], chunk_bytes: int) -> DataFrame:
     """(chunk, words, data, rows): texts packed for their windows, and the rows with these columns as they are."""
     own = [F.col(f"`{c}`").alias(f"_tm_{k}") for k, c in enumerate(columns)]
     rows = docs.select(docs["doc_id"].cast("long").alias("_tm_doc"), docs["text"].cast("string").alias("_tm_text"), *own)
-    return materialise(arrow_map(rows, lambda b: _write(b, chunk_bytes), "chunk long, words long, data binary, rows binary"), "windows")[0]
+    return materialise_by(arrow_map(rows, lambda b: _write(b, chunk_bytes), "chunk long, words long, data binary, rows binary"), "windows", "chunk")
 
 
 def _early(keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -157,7 +157,7 @@ def _levels(chunks: DataFrame, window: int, least: int) -> tuple[list[int], list
     for k, _ in enumerate(lengths):
         last = k == len(lengths) - 1
         asking = chunks.select("chunk", "data")
-        told.append(_answered(with_answers(asking, *told) if told else asking, lengths[: k + 1], last, ranges))
+        told.append(_answered(with_answers(asking.hint("merge"), *told) if told else asking, lengths[: k + 1], last, ranges))
     return lengths, told
 
 
@@ -190,7 +190,7 @@ def _each_chunk(docs: DataFrame, columns: list[str], window: int, least: int, ch
                 yield from render(pa.ipc.open_stream(row["rows"]).read_all().combine_chunks(), c.starts.tolist(), gone, less)
                 give_back()
 
-    return arrow_map(with_answers(chunks.select("chunk", "data", "rows"), *told), run, schema)
+    return arrow_map(with_answers(chunks.select("chunk", "data", "rows").hint("merge"), *told), run, schema)
 
 
 def _kept(text: str | None, gone: np.ndarray, less: int) -> list[bytes]:
@@ -242,7 +242,7 @@ def repeat_levels(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes
     told, out = told[:-1], None
     while True:
         asking = chunks.select("chunk", "data")
-        final = _answered(with_answers(asking, *told) if told else asking, lengths, True, ranges)
+        final = _answered(with_answers(asking.hint("merge"), *told) if told else asking, lengths, True, ranges)
 
         def run(batches: Iterator[pa.RecordBatch], lengths: list[int] = list(lengths)) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -252,9 +252,9 @@ def repeat_levels(docs: DataFrame, window: int = 13, least: int = 7, chunk_bytes
                     doc, n = np.unique(c.doc[c.repeats(answers[-1])], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), lengths[-1]), pa.int32()), pa.array(doc, pa.int64()), pa.array(n, pa.int64())], ["length", "doc_id", "n"])
 
-        level = arrow_map(with_answers(asking, *told, final), run, "length int, doc_id long, n long").groupBy("length", "doc_id").agg(F.sum("n").alias("n"))
+        level = arrow_map(with_answers(asking.hint("merge"), *told, final), run, "length int, doc_id long, n long").groupBy("length", "doc_id").agg(F.sum("n").alias("n"))
         if level.isEmpty():
             return level if out is None else out
         out = level if out is None else out.unionByName(level)
-        told = [*told, _answered(with_answers(asking, *told) if told else asking, lengths, False, ranges)]
+        told = [*told, _answered(with_answers(asking.hint("merge"), *told) if told else asking, lengths, False, ranges)]
         lengths = [*lengths, 2 * lengths[-1]]
