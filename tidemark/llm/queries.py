@@ -10,11 +10,14 @@ from tidemark.llm.common import new_path
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.embeddings import embedding_groups
 from tidemark.llm.lm import lm_scores
+from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.sharding import PRIME, round_keys, shard_documents
 from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.substrings import substring_digests
 from tidemark.llm.token_files import read_token_files, write_token_files
+from tidemark.llm.variants import spelling_variants
 from tidemark.llm.warc import read_digests, write_pages
 
 
@@ -77,7 +80,19 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op5_latent_leaks, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie)}
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16, seed=11)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), typo=97, least=5, seen=3, times=2)
+
+
+def op13_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), every=50, shift=7, labels=10, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_lm_backoff, op3_rotation_codes, op4_best_fit_packing, op5_latent_leaks, op6_chat_events, op7_token_files, op8_substring_doubling, op9_warc_source, op10_simhash_trie, op11_feistel_shards, op12_spelling_variants, op13_ball_tree_negatives)}
 
 
 def _escaped(x: str) -> str:
@@ -147,4 +162,47 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM p JOIN f USING (h)
 """
 
-ORACLE: dict[str, str] = {"op3_rotation_codes": OP3_SQL, "op6_chat_events": OP6_SQL, "op8_substring_doubling": OP8_SQL, "op9_warc_source": OP9_SQL}
+#: Checksums go byte by byte over the table of the reflected polynomial, half a byte at a time. Numbers are permuted by
+#: rounds of one row each, and numbers outside are permuted again.
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, strlen(t), c) - 1 AS r, doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, c
+  FROM (SELECT doc_id, t, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, x: xor(xor(xor(c, x) >> 4, p[1 + (xor(c, x) & 15)]) >> 4, p[1 + (xor(xor(c, x) >> 4, p[1 + (xor(c, x) & 15)]) & 15)]), CAST(4294967295 AS BIGINT))) AS c
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, i)) AS p))
+), n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS b FROM d),
+k(i, p, q, r, s) AS (VALUES {', '.join(f"({i}, {p}, {q}, {r}, {s})" for i, (p, q, r, s) in enumerate(round_keys(11)))}),
+w(r, i, x, y) AS (
+  SELECT r, 0, r // b, r % b FROM d, n
+  UNION ALL
+  SELECT w.r, CASE WHEN w.i = 6 THEN 1 ELSE w.i + 1 END, y,
+    (x + ((((y * p + q) % {PRIME}) * ((y * p + q) % {PRIME}) + y) % {PRIME} * k.r + k.s) % {PRIME}) % CASE WHEN k.i % 2 = 1 THEN b ELSE a END
+  FROM w, n, k WHERE k.i = w.i % 6 AND (w.i < 6 OR x * b + y >= n)
+)
+SELECT doc_id, size, c AS text_crc32, 'rows' AS law, CAST((x * b + y) % 16 AS INTEGER) AS shard, (x * b + y) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN w USING (r), n WHERE i = 6 AND x * b + y < n
+"""
+
+#: All scores of the anchors, for the small tables that SQL is compared on.
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, p.other AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY anchor_id, p.other ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_rotation_codes": OP3_SQL,
+    "op6_chat_events": OP6_SQL,
+    "op8_substring_doubling": OP8_SQL,
+    "op9_warc_source": OP9_SQL,
+    "op11_feistel_shards": OP11_SQL,
+    "op13_ball_tree_negatives": OP13_SQL,
+}
