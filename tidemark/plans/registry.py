@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -26,21 +25,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def hypertable(self, compress: bool = False) -> Hypertable:
-        """events in chunks of seven days, grouped by user and newest first: a clone of one table for a session and folder."""
-        return _base(self.spark, self.folder, compress).clone(new_path(self.spark, "events"))
-
-
-@functools.lru_cache(8)
-def _base(spark: SparkSession, folder: str, compress: bool) -> Hypertable:
-    if compress:
-        table = _base(spark, folder, False).clone(new_path(spark, "events"))
-        table.compress_chunks(table.chunk_starts())
+        """events in chunks of seven days, grouped by user and newest first; each query writes its own."""
+        events = self.events
+        spec = HypertableSpec("events", "ts", timedelta(days=7), ["user_id"], [F.col("ts").desc()], ["event_type"])
+        table = Hypertable(self.spark, new_path(self.spark, "events"), spec, events.schema)
+        table.append(events)
+        if compress:
+            table.compress_chunks(table.chunk_starts())
         return table
-    events = Tables(spark, folder).events
-    spec = HypertableSpec("events", "ts", timedelta(days=7), ["user_id"], [F.col("ts").desc()], ["event_type"])
-    table = Hypertable(spark, new_path(spark, "events"), spec, events.schema)
-    table.append(events)
-    return table
 
 
 def query(name: str, sql: str | None = None):

@@ -3,25 +3,33 @@
 A chunk holds the rows of one span of time. Appending writes new folders and then a new manifest; compacting,
 tiering, replacing and dropping do the same, so readers see a change whole or not at all, and a writer that
 loses the race for the next version fails. Folders that a manifest no longer names stay for readers that still
-use them, until vacuum(). Scans read only the folders of chunks that their time range touches and keep the time
-predicate, so Parquet prunes inside them. Writing rebalances rows by chunk: a large chunk is split over tasks and
-files at run time, small ones share a task. A row without a time is refused.
+use them. Scans read only the folders of chunks that their time range touches and keep the time predicate, so
+Parquet prunes inside them. Writing rebalances rows by chunk: a large chunk is split over tasks and files at run
+time, small ones share a task. A row without a time is refused.
+
+Each version of the manifest says which ranges of time its change touched, to the 32768th part of a chunk: an append
+sets a bit for each part that got rows, in one small aggregation over the times just written. So what changed since a
+version is the union over the versions after it (`changes`), and rollups need not look at anything else.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timeseries import micros
+from tidemark.operators.ranges import Ranges, merged
 from tidemark.session import Store
 
 _SECOND = 1_000_000
+_PARTS = 32_768  # bits of a chunk's bitmap
 
 
 def _seconds(t: datetime) -> int:
@@ -32,6 +40,11 @@ def _time(seconds: int) -> datetime:
     return datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
 
 
+def _literal(micro: int) -> Column:
+    """A time of so many microseconds since 1970."""
+    return F.lit(datetime(1970, 1, 1) + timedelta(microseconds=micro)).cast("timestamp_ntz")
+
+
 @dataclass
 class HypertableSpec:
     """name, time column, chunk width, the columns that group and order rows inside a chunk, and the columns that
@@ -62,8 +75,10 @@ class Hypertable:
         names = self._versions()
         return self.store.read_json(f"{self.path}/manifest/{names[-1]}") if names else {"version": 0, "chunks": {}, "facts": {}, "schema": self.schema.jsonValue() if self.schema else None}
 
-    def _publish(self, m: dict) -> None:
+    def _publish(self, m: dict, changed: Ranges = ()) -> None:
         m["version"] += 1
+        m["changed"] = list(changed)
+        m["newest"] = max([m.get("newest"), *(e for _, e in changed)], key=lambda t: -math.inf if t is None else t)
         self.store.write_json(f"{self.path}/manifest/{m['version']:08d}.json", m)
 
     def set_fact(self, name: str, value) -> None:
@@ -74,6 +89,31 @@ class Hypertable:
     def facts(self) -> dict:
         return self.manifest()["facts"]
 
+    def newest(self) -> datetime | None:
+        """A time just after the newest row ever written, to the 32768th part of a chunk."""
+        t = self.manifest().get("newest")
+        return None if t is None else datetime(1970, 1, 1) + timedelta(microseconds=t)
+
+    def changes(self, since: int) -> tuple[Ranges, int]:
+        """Ranges of time that were written to after that version, and the version now."""
+        names = self._versions()
+        ranges = [r for n in names if int(n.split(".")[0]) > since for r in self.store.read_json(f"{self.path}/manifest/{n}").get("changed", [])]
+        return merged(ranges), int(names[-1].split(".")[0]) if names else 0
+
+    def _touched(self, folders: dict[str, str]) -> Ranges:
+        """Ranges of time of the rows in folders just written, by their chunk starts."""
+        if not folders:
+            return []
+        width = self._width() * _SECOND
+        at = micros(F.col(self.spec.time))
+        start = F.floor(at / width) * width
+        bits = self._read(list(folders.values())).select(start.cast("long").alias("start"), F.call_function("div", (at - start) * _PARTS, F.lit(width)).alias("part"))
+        out = []
+        for start, bitmap in bits.groupBy("start").agg(F.bitmap_construct_agg("part")).collect():  # 4 kB a chunk
+            on = np.flatnonzero(np.diff(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little"), prepend=0, append=0)).tolist()
+            out += [[start + s * width // _PARTS, start - (-e * width // _PARTS)] for s, e in zip(on[::2], on[1::2])]
+        return merged(out)
+
     # writing ----------------------------------------------------------------------------------------------
 
     def _width(self) -> int:
@@ -95,23 +135,19 @@ class Hypertable:
         writer.parquet(folder)
         return {n.split("=")[1]: f"{folder}/{n}" for n in self.store.names(folder) if n.startswith("chunk_start=")}
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, **facts) -> None:
+        """Add rows, and set facts with them."""
         if self.schema is None:
             self.schema = df.schema
         m = self.manifest()
         m["schema"] = self.schema.jsonValue()
-        for start, folder in self._write(df.select(*self.schema.names), f"{self.path}/data").items():
+        new = self._write(df.select(*self.schema.names), f"{self.path}/data")
+        for start, folder in new.items():
             c = m["chunks"].setdefault(start, {"folders": [], "compressed": False, "tiered": False, "before": None})
             c["folders"].append(folder)
             c["compressed"] = False
-        self._publish(m)
-
-    def clone(self, path: str) -> Hypertable:
-        """Another table over the same folders; what either changes later is its own."""
-        other = Hypertable(self.spark, path, self.spec, self.schema)
-        m = self.manifest()
-        other._publish(m | {"version": 0, "stale": []})
-        return other
+        m["facts"] |= facts
+        self._publish(m, self._touched(new))
 
     def add_column(self, name: str, kind: str) -> None:
         """Rows written before have null in it."""
@@ -139,7 +175,6 @@ class Hypertable:
             before = c["before"] or sum(self.store.size(f) for f in c["folders"])
             sizes = {"before": before, "after": self.store.size(new[k])} if compact else {"before": None, "after": None}
             m["chunks"][k] = c | {"folders": [new[k]], "compressed": compact} | sizes | state
-        m["stale"] = m.get("stale", []) + old
         self._publish(m)
 
     def compress_chunks(self, starts: list[int]) -> None:
@@ -164,45 +199,37 @@ class Hypertable:
     def tier_chunk(self, start: int) -> None:
         self.tier_chunks([start])
 
-    def replace(self, t0: datetime, t1: datetime, df: DataFrame, **facts) -> None:
-        """Put df in the place of the rows in [t0, t1), and set facts with it; rewrites the chunks that the range touches."""
-        if self.schema is None:
-            self.schema = df.schema
+    def replace(self, ranges: Ranges, df: DataFrame | None, **facts) -> None:
+        """Put df in the place of the rows in these ranges of time, and set facts with it; rewrites the chunks that the
+        ranges touch."""
         m = self.manifest()
-        m["schema"] = self.schema.jsonValue()
-        hit = {k: c for k, c in m["chunks"].items() if int(k) < _seconds(t1) and int(k) + self._width() > _seconds(t0)}
-        old = [f for c in hit.values() for f in c["folders"]]
-        t = F.col(self.spec.time)
-        kept = self._read(old).where((t < F.lit(t0).cast("timestamp_ntz")) | (t >= F.lit(t1).cast("timestamp_ntz")))
-        rows = kept.unionByName(df.select(*self.schema.names)) if old else df.select(*self.schema.names)
-        new = self._write(rows, f"{self.path}/data")
-        for k in hit:
-            del m["chunks"][k]
-        for k, folder in new.items():
-            m["chunks"][k] = {"folders": [folder], "compressed": False, "tiered": False, "before": None}
         m["facts"] |= facts
-        m["stale"] = m.get("stale", []) + old
-        self._publish(m)
+        if ranges:
+            if self.schema is None:
+                self.schema = df.schema
+            m["schema"] = self.schema.jsonValue()
+            hit = {k: c for k, c in m["chunks"].items() if self._meets(int(k), ranges)}
+            old = [f for c in hit.values() for f in c["folders"]]
+            rows = df.select(*self.schema.names)
+            if old:
+                rows = self._read(old).where(~self._within(ranges)).unionByName(rows)
+            new = self._write(rows, f"{self.path}/data")
+            for k in hit:
+                del m["chunks"][k]
+            for k, folder in new.items():
+                m["chunks"][k] = {"folders": [folder], "compressed": False, "tiered": False, "before": None}
+        self._publish(m, ranges)
 
     def drop_chunks(self, older_than: datetime) -> list[int]:
         """Drop chunks that end at or before the time; their starts."""
         m = self.manifest()
         gone = [k for k in m["chunks"] if int(k) + self._width() <= _seconds(older_than)]
-        m["stale"] = m.get("stale", []) + [f for k in gone for f in m["chunks"].pop(k)["folders"]]
+        for k in gone:
+            del m["chunks"][k]
         if gone:
             self._publish(m)
         return sorted(map(int, gone))
 
-    def vacuum(self) -> list[str]:
-        """Delete this table's own folders that its manifest no longer names; no reader may be using them."""
-        m = self.manifest()
-        gone = [f for f in m.get("stale", []) if f.startswith((self.path, self.cold))]
-        m["stale"] = []
-        self._publish(m)
-        for f in gone:
-            self.store.delete(f)
-        return gone
-
     def drop(self) -> None:
         """Delete the table with its own folders."""
         self.store.delete(self.path)
@@ -226,6 +253,21 @@ class Hypertable:
             df = df.where(t >= F.lit(t0).cast("timestamp_ntz"))
         return df if t1 is None else df.where(t < F.lit(t1).cast("timestamp_ntz"))
 
+    def _meets(self, start: int, ranges: Ranges) -> bool:
+        low, high = start * _SECOND, (start + self._width()) * _SECOND
+        return any(s < high and e > low for s, e in ranges)
+
+    def _within(self, ranges: Ranges) -> Column:
+        t, out = F.col(self.spec.time), F.lit(False)
+        for s, e in ranges:
+            out = out | ((t >= _literal(s)) & (t < _literal(e)))
+        return out
+
+    def scan_ranges(self, ranges: Ranges) -> DataFrame:
+        """Rows in any of the ranges; reads only chunks that one of them touches."""
+        folders = [f for k, c in sorted(self.manifest()["chunks"].items()) if self._meets(int(k), ranges) for f in c["folders"]]
+        return self._read(folders).where(self._within(ranges))
+
     def describe(self) -> DataFrame:
         """(column_name, data_type, role) of each column."""
         roles = {c: "segment" for c in self.spec.segment_by} | {self.spec.time: "time"}
