@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.functions.numeric import pretty_bytes, rint_int, round_num, safe_div
-from tidemark.functions.timeseries import first_by, last_by, time_bucket
+from tidemark.functions.timeseries import first_by, last_by, order_key, time_bucket
 from tidemark.functions.vector import cosine_distance, nearest, parse_vector
 from tidemark.operators.joins import range_join, validate
 from tidemark.sources.files import each_of, pg_array, read_csv, time_series, write_csv
@@ -30,6 +30,27 @@ def test_first_and_last_break_ties_and_skip_rows_without_time(spark):
     assert tuple(df.where("t is null").agg(first_by("v", "t", "k"), last_by("v", "t", "k")).first()) == (None, None)
 
 
+def test_one_number_orders_as_time_and_tie_do(spark):
+    at = [datetime(1, 1, 1), datetime(1969, 12, 31, 23, 59, 59, 999_999), datetime(1970, 1, 1), datetime(2024, 1, 1), datetime(9999, 12, 31, 23, 59, 59, 999_999), None]
+    ties = [None, -(1 << 63), -1, 0, 1, (1 << 63) - 1]
+    rows = [(t, k, f"{t} {k}") for t in at for k in ties]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, k long, v string")
+    key = order_key(F.col("t"), F.col("k"), whole=True)
+    got = [r.v for r in df.where("t is not null").orderBy(key).collect()]
+    assert got == [v for _, _, v in rows if not v.startswith("None")]
+    assert df.where("t is null").where(key.isNotNull()).count() == 0
+    for edge in (first_by, last_by):
+        assert df.agg(edge("v", "t", "k")).first() == df.agg(edge("v", "t", "k", whole=True)).first()
+
+
+@pytest.mark.parametrize("name", ["fin_ohlc", "iot_30m"])
+def test_candles_and_last_values_sort_no_rows(spark, name):
+    from tidemark.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 def test_numbers(spark):
     r = one(spark, round_num(F.lit(0.125), 2).cast("string").alias("a"), round_num(F.lit(2.5), 0).cast("int").alias("b"), rint_int(F.lit(0.6)).alias("c"), safe_div(F.lit(1.0), F.lit(0.0)).alias("d"), pretty_bytes(F.lit(32 * 1024**2)).alias("e"))
     assert tuple(r) == ("0.13", 3, 1, None, "32 MB")

@@ -100,7 +100,7 @@ def test_buckets_whose_rows_are_gone_stay_and_do_not_pend_for_ever(spark):
     assert sorted(map(tuple, r.read().collect())) == sorted(map(tuple, want))
 
 
-MEASURES = [Measure(k, k, "v", ("ts", "k") if k in ("first", "last") else ()) for k in ("sum", "count", "avg", "min", "max", "first", "last", "stddev")]
+MEASURES = [Measure(k, k, "v", ("ts", "k") if k in ("first", "last") else (), k == "last") for k in ("sum", "count", "avg", "min", "max", "first", "last", "stddev")]
 
 
 def levels(spark, rows):

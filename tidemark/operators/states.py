@@ -15,19 +15,21 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeseries import time_bucket
+from tidemark.functions.timeseries import order_key, time_bucket
 
 KINDS = ("sum", "count", "avg", "min", "max", "first", "last", "stddev")
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A figure of a column (or SQL expression); first and last need the columns that order rows."""
+    """A figure of a column (or SQL expression); first and last need a time and a tie that order rows (whole: the tie is
+    an integer)."""
 
     name: str
     kind: str
     column: str
     order: tuple[str, ...] = ()
+    whole: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -65,7 +67,7 @@ def _named(m: Measure, **parts: Column) -> list[Column]:
 def _of_rows(m: Measure) -> list[Column]:
     x = F.expr(m.column)
     if m.kind in ("first", "last"):
-        key = F.when(F.col(m.order[0]).isNotNull(), F.struct(*m.order))
+        key = order_key(F.col(m.order[0]), F.col(m.order[1]), m.whole)
         edge, at = (F.min_by, F.min) if m.kind == "first" else (F.max_by, F.max)
         return _named(m, value=edge(x, key), at=at(key))
     if m.kind == "stddev":

@@ -16,7 +16,7 @@ DAY = timedelta(days=1)
 
 
 def candles(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy(time_bucket(DAY, "ts").alias("bucket"), F.col("event_type").alias("symbol")).agg(*ohlc("value", "ts", "event_id"), last_by("event_id", "ts", "event_id").alias("last_volume"))
+    return ticks.groupBy(time_bucket(DAY, "ts").alias("bucket"), F.col("event_type").alias("symbol")).agg(*ohlc("value", "ts", "event_id", whole=True), last_by("event_id", "ts", "event_id", whole=True).alias("last_volume"))
 
 
 CANDLES = """

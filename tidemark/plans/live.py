@@ -60,7 +60,7 @@ def refresh_pending(t: Tables) -> DataFrame:
 
 # rollups of rollups ----------------------------------------------------------------------------------------
 
-EDGES = [Measure("first_value", "first", "value", ("time", "event_id")), Measure("last_value", "last", "value", ("time", "event_id")), Measure("low", "min", "value"), Measure("high", "max", "value"), Measure("deviation", "stddev", "value"), Measure("n", "count", "1")]
+EDGES = [Measure("first_value", "first", "value", ("time", "event_id"), True), Measure("last_value", "last", "value", ("time", "event_id"), True), Measure("low", "min", "value"), Measure("high", "max", "value"), Measure("deviation", "stddev", "value"), Measure("n", "count", "1")]
 LINES = States(["line_id"], [*(Measure(c, "sum", c) for c in HOUR_SUMS), *(Measure(c, "avg", c) for c in HOUR_MEANS), *EDGES])
 DAY_SQL = ", ".join(
     [f"CAST(sum({PLAYED[c]}) AS BIGINT) AS {c}" for c in HOUR_SUMS[:-1]]

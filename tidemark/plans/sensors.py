@@ -29,13 +29,13 @@ query("iot_head", "SELECT event_id, ts, user_id, value FROM events ORDER BY ts,
 
 @query("iot_30m", "SELECT time_bucket(INTERVAL '30 minutes', ts) AS period, round(avg(value), 8) AS avg_temp, arg_max_null(value, (ts, event_id)) AS last_temp, round(avg(event_id), 8) AS avg_cpu FROM events GROUP BY 1")
 def half_hours(t: Tables) -> DataFrame:
-    return t.events.groupBy(time_bucket(HALF_HOUR, "ts").alias("period")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id").alias("last_temp"), r8(F.avg("event_id")).alias("avg_cpu"))
+    return t.events.groupBy(time_bucket(HALF_HOUR, "ts").alias("period")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id", whole=True).alias("last_temp"), r8(F.avg("event_id")).alias("avg_cpu"))
 
 
 @query("iot_30m_loc", "SELECT time_bucket(INTERVAL '30 minutes', ts) AS period, n_name AS location, round(avg(value), 8) AS avg_temp, arg_max_null(value, (ts, event_id)) AS last_temp FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY 1, 2")
 def half_hours_by_location(t: Tables) -> DataFrame:
     joined = t.events.join(t.nation, F.col("user_id") % 25 == F.col("n_nationkey"))
-    return joined.groupBy(time_bucket(HALF_HOUR, "ts").alias("period"), F.col("n_name").alias("location")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id").alias("last_temp"))
+    return joined.groupBy(time_bucket(HALF_HOUR, "ts").alias("period"), F.col("n_name").alias("location")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id", whole=True).alias("last_temp"))
 
 
 for _days in (7, 20, 30):
@@ -43,11 +43,11 @@ for _days in (7, 20, 30):
     @query(f"iot_daily_{_days}d", f"SELECT time_bucket(INTERVAL '1 day', ts) AS period, round(avg(value), 8) AS avg_temp, arg_max_null(value, (ts, event_id)) AS last_temp FROM events WHERE user_id % 4 + 1 = 4 AND ts >= (SELECT max(ts) FROM events) - INTERVAL {_days} DAY GROUP BY 1, user_id % 4 + 1")
     def daily(t: Tables, days: int = _days) -> DataFrame:
         rows = t.events.where((sensor() == 4) & since(t.events, "ts", days=days))
-        return rows.groupBy(time_bucket(DAY, "ts").alias("period"), sensor().alias("sensor")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id").alias("last_temp")).drop("sensor")
+        return rows.groupBy(time_bucket(DAY, "ts").alias("period"), sensor().alias("sensor")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id", whole=True).alias("last_temp")).drop("sensor")
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(time_bucket(DAY, "ts").alias("period"), sensor().alias("sensor_id")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id").alias("last_temp"), F.count("*").alias("n"))
+    return rows.groupBy(time_bucket(DAY, "ts").alias("period"), sensor().alias("sensor_id")).agg(r8(F.avg("value")).alias("avg_temp"), last_by("value", "ts", "event_id", whole=True).alias("last_temp"), F.count("*").alias("n"))
 
 
 SUMMARY = "SELECT time_bucket(INTERVAL '1 day', ts) AS period, user_id % 4 + 1 AS sensor_id, round(avg(value), 8) AS avg_temp, arg_max_null(value, (ts, event_id)) AS last_temp, count(*) AS n FROM {} GROUP BY 1, 2"
