@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeseries import time_bucket
+from tidemark.operators.interval_join import interval_join
 from tidemark.operators.joins import range_join
 from tidemark.operators.rollup import Rollup, RollupSpec
 from tidemark.plans.registry import Tables, dt, query, r8, since
@@ -71,11 +72,42 @@ SELECT e.user_id, k, count(*) AS readings, round(avg(value), 8) AS psi FROM even
 )
 def substages(t: Tables) -> DataFrame:
     """Seven equal windows for each user; a reading on a shared edge counts in both."""
+    return range_join(t.events, windows(t), ["user_id"], "ts", "low", "high").groupBy("user_id", "k").agg(F.count("*").alias("readings"), r8(F.avg("value")).alias("psi"))
+
+
+def windows(t: Tables) -> DataFrame:
     parts = t.spark.range(1, 8).select(F.col("id").cast("int").alias("k"))
     step = F.expr("INTERVAL '3' DAY")
     spans = t.events.groupBy("user_id").agg(F.min("ts").alias("t0")).crossJoin(F.broadcast(parts))
-    spans = spans.select("user_id", "k", (F.col("t0") + (F.col("k") - 1) * step).alias("low"), (F.col("t0") + F.col("k") * step).alias("high"))
-    return range_join(t.events, spans, ["user_id"], "ts", "low", "high").groupBy("user_id", "k").agg(F.count("*").alias("readings"), r8(F.avg("value")).alias("psi"))
+    return spans.select("user_id", "k", (F.col("t0") + (F.col("k") - 1) * step).alias("low"), (F.col("t0") + F.col("k") * step).alias("high"))
+
+
+INCIDENTS = "(SELECT event_id AS incident, user_id AS who, ts - INTERVAL 5 MINUTE AS opened, ts + INTERVAL 10 MINUTE AS closed FROM events WHERE event_type = 'error')"
+
+
+def incidents(t: Tables) -> DataFrame:
+    opened, closed = F.col("ts") - F.expr("INTERVAL '5' MINUTE"), F.col("ts") + F.expr("INTERVAL '10' MINUTE")
+    return t.events.where("event_type = 'error'").select(F.col("event_id").alias("incident"), F.col("user_id").alias("who"), opened.alias("opened"), closed.alias("closed"))
+
+
+@query("cmp_incidents", f"SELECT incident, count(*) AS readings, round(avg(value), 8) AS psi FROM events JOIN {INCIDENTS} ON ts BETWEEN opened AND closed GROUP BY 1")
+def readings_of_incidents(t: Tables) -> DataFrame:
+    """All readings while an incident lasts, whoever made them: a join without a key."""
+    found = interval_join(t.events.select("ts", "value"), incidents(t), ("ts", "ts"), ("opened", "closed"))
+    return found.groupBy("incident").agg(F.count("*").alias("readings"), r8(F.avg("value")).alias("psi"))
+
+
+@query(
+    "cmp_shift_incidents",
+    f"""
+WITH s AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY 1),
+p AS (SELECT user_id, k, t0 + (k - 1) * INTERVAL 3 DAY AS low, t0 + k * INTERVAL 3 DAY AS high FROM s, (VALUES (1), (2), (3), (4), (5), (6), (7)) v(k))
+SELECT user_id, k, count(*) AS incidents FROM p JOIN {INCIDENTS} ON who = user_id AND opened <= high AND low <= closed GROUP BY 1, 2""",
+)
+def incidents_of_shifts(t: Tables) -> DataFrame:
+    """Incidents of a user that touch each of their windows: intervals of both sides, with a key."""
+    found = interval_join(windows(t), incidents(t).withColumnRenamed("who", "user_id"), ("low", "high"), ("opened", "closed"), ["user_id"])
+    return found.groupBy("user_id", "k").agg(F.count("*").alias("incidents"))
 
 
 def minutes(rows: DataFrame) -> DataFrame:

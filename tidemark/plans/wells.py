@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import cells, geo
 from tidemark.functions.numeric import round_num, safe_div
 from tidemark.functions.timeseries import time_bucket, time_filter
 from tidemark.operators.rollup import Rollup, RollupSpec
@@ -110,6 +110,38 @@ def box(t: Tables) -> DataFrame:
     return places(t).where(geo.in_box(*point(), -103, 28.5, -101, 30))
 
 
+@query("wel_geo_cells", f"SELECT c_custkey, round({AWAY}, 2) AS distance_m FROM {PLACES} WHERE {AWAY} <= 60000")
+def radius_by_cells(t: Tables) -> DataFrame:
+    """The same rows from a table in the order of its cells: ranges of them reach the scan."""
+    path = new_path(t.spark, "places")
+    cells.write_by_cells(places(t), path, *point())
+    near = cells.within_by_cells(t.spark.read.parquet(path), "cell", *point(), -102.15, 31.9, 60_000)
+    return near.select("c_custkey", F.round(away(), 2).alias("distance_m"))
+
+
+RIGS = "(SELECT s_suppkey, -104 + (s_suppkey * 53 % 1000) / 200.0 AS x, 28 + (s_suppkey * 29 % 1000) / 200.0 AS y FROM supplier)"
+APART = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2))))"
+
+
+def rigs(t: Tables) -> DataFrame:
+    key = F.col("s_suppkey")
+    return t.supplier.select("s_suppkey", (-104 + (key * 53 % 1000) / 200.0).alias("x"), (28 + (key * 29 % 1000) / 200.0).alias("y"))
+
+
+@query("wel_geo_pairs", f"SELECT s_suppkey, c_custkey, round({APART}, 2) AS distance_m FROM {RIGS}, {PLACES} WHERE {APART} <= 15000")
+def pairs(t: Tables) -> DataFrame:
+    """Each rig with the places near it."""
+    near = cells.distance_join(rigs(t), places(t), ("x", "y"), ("lon", "lat"), 15_000)
+    return near.select("s_suppkey", "c_custkey", F.round("metres", 2).alias("distance_m"))
+
+
+@query("wel_geo_nearest", f"SELECT s_suppkey, c_custkey, CAST(row_number() OVER w AS INTEGER) AS rank, round(d, 2) AS distance_m FROM (SELECT *, {APART} AS d FROM {RIGS}, {PLACES}) WINDOW w AS (PARTITION BY s_suppkey ORDER BY d, c_custkey) QUALIFY row_number() OVER w <= 3")
+def three_nearest(t: Tables) -> DataFrame:
+    """The three places nearest to each rig, by circles that grow until they hold three."""
+    found, _ = cells.nearest_join(rigs(t), places(t), "s_suppkey", "c_custkey", ("x", "y"), ("lon", "lat"), 3)
+    return found.select("s_suppkey", "c_custkey", F.col("rank").cast("int").alias("rank"), F.round("metres", 2).alias("distance_m"))
+
+
 # dashboard: the range picker is the last seven days --------------------------------------------------------
 
 RANGE = "ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND (SELECT max(ts) FROM events)"
