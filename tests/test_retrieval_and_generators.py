@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.retrieval.models import EchoChat, HashingEmbedder, Vectorizer, answer, search, split_text
@@ -33,6 +34,38 @@ def test_only_missing_rows_are_embedded_and_search_finds_them(spark):
     assert told.startswith("Sum up.\nWhat broke?\ncable broken")
 
 
+def test_changed_and_deleted_rows_are_replaced(spark):
+    schema = "id long, text string"
+    rows = {1: "one two. three four. five six seven", 2: "a b. c d", 3: "same as ever", 4: None, 5: "", 6: "will be empty"}
+    v = Vectorizer(new_path(spark, "v"), "id", "text", HashingEmbedder(32), size=12)
+    df = lambda: spark.createDataFrame(sorted(rows.items()), schema)
+    kinds = lambda: {r.id: r.change for r in v.changes(df()).collect()}
+    assert kinds() == dict.fromkeys(rows, "new")
+
+    def check():
+        got = {}
+        for r in v.stored(df()).orderBy("id", "chunk_seq").collect():
+            got[r.id] = got.get(r.id, "") + r.chunk
+            assert np.allclose(r.embedding, v.model.embed([r.chunk])[0])
+        assert got == {k: t for k, t in rows.items() if t}
+
+    v.run(df())
+    check()
+    assert kinds() == {4: "new", 5: "new"}  # nothing is stored of them
+    rows |= {1: "another text", 4: "no longer null", 6: "", 7: "new"}
+    del rows[2]
+    assert kinds() == {1: "changed", 2: "gone", 4: "new", 5: "new", 6: "changed", 7: "new"}
+    v.run(df())
+    check()
+    assert kinds() == {5: "new", 6: "new"}
+    rows[2] = "back again"
+    v.run(df())
+    check()
+    v.compact(df())
+    check()
+    assert kinds() == {5: "new", 6: "new"} and len(v._runs(spark)) == 1
+
+
 def test_generated_tables_keep_their_shapes(spark):
     w = G.wearable_readings(spark, AS_OF, days=1)
     r = w.agg(F.min("heart_rate").alias("a"), F.max("heart_rate").alias("b"), F.min("spo2").alias("c"), F.max("body_temperature").alias("d"), F.countDistinct("activity_level").alias("e")).first()

@@ -50,6 +50,67 @@ def test_more_neighbours_than_rows_and_an_empty_table(spark, vectors):
     assert empty.search([1.0], 3).collect() == []
 
 
+def labelled(spark, n, seed, first=0):
+    rng = np.random.default_rng(seed)
+    middle = np.random.default_rng(4).standard_normal((20, DIM))
+    rows = [(first + k, (middle[k % 20] + rng.standard_normal(DIM) * 0.3).astype("float32").tolist(), f"l{k % 20 // 4}") for k in range(n)]
+    return spark.createDataFrame(rows, "id int, v array<float>, kind string").repartition(4)
+
+
+def test_another_session_opens_it_and_inserts_split_full_cells(spark):
+    path = new_path(spark, "index")
+    first = labelled(spark, 150, 1)
+    VectorIndex.build(first, path, "id", "v", cells=6, label="kind", full=120)
+    index = VectorIndex.open(spark.newSession(), path)
+    seen = first
+    for k in range(3):  # ten times the rows, no rebuild
+        more = labelled(spark, 450, 2 + k, 1000 * (k + 1))
+        index.insert(more)
+        seen = seen.unionByName(more)
+    seen = seen.unionByName(spark.createDataFrame([(9000, None, "l1"), (9001, [0.0] * DIM, None)], seen.schema))
+    index.insert(seen.where("id >= 9000"))
+    index = VectorIndex.open(spark, path)
+    assert len(index.cells) > 8 and max(n for _, n in index.cells.values()) <= 120 and sum(n for _, n in index.cells.values()) == 1500
+    q = first.first().v
+    at = F.array(*(F.lit(float(x)) for x in q))
+    clean = seen.where("id < 9000")
+    assert [tuple(r) for r in index.search(q, 10, probes=2).collect()] == [(r.id, r.distance) for r in nearest(clean, "v", at, 10, "id").collect()]
+    for labels in (["l2"], ["l0", "l4"]):
+        want = nearest(clean.where(F.col("kind").isin(labels)), "v", at, 10, "id").collect()
+        assert [tuple(r) for r in index.search(q, 10, probes=2, labels=labels).collect()] == [(r.id, r.distance) for r in want]
+        assert len(index._names(labels)) < 0.8 * len(index.cells)
+    assert index.search(q, 3, labels=["none"]).collect() == []
+    equal = VectorIndex.build(spark.createDataFrame([(99, q)], "id int, v array<float>"), new_path(spark, "index"), "id", "v", full=5)
+    equal.insert(spark.createDataFrame([(k, q) for k in range(20)], "id int, v array<float>"))
+    assert len(equal.cells) == 1 and len(equal.search(q, 30).collect()) == 21  # equal vectors can't be told apart
+
+
+def test_many_queries_in_one_job_with_high_recall(spark):
+    rows = labelled(spark, 2000, 7)
+    index = VectorIndex.build(rows, new_path(spark, "index"), "id", "v", cells=40)
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("q"), "v")
+    queries = queries.unionByName(spark.createDataFrame([(-1, None), (-2, [0.0] * DIM)], queries.schema))
+    got = index.search_many(queries, "q", "v", 10, probes=8)
+    hits = 0
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.query, []).append((r["rank"], r.id, r.distance))
+    everything = {r.id: np.array(r.v, float) for r in rows.collect()}
+    ids, x = np.array(list(everything)), np.array([v / np.linalg.norm(v) for v in everything.values()])
+    for q, found in by.items():
+        d = 1 - x @ x[ids == q][0]
+        best = [int(ids[k]) for k in np.lexsort((ids, d))[:10]]
+        hits += len(set(best) & {i for _, i, _ in found})
+        assert sorted(r for r, _, _ in found) == list(range(1, 11)) and all(math.isclose(dist, float(d[ids == i][0]), abs_tol=1e-9) for _, i, dist in found)
+    assert sorted(by) == list(range(0, 2000, 50)) and hits >= 0.9 * 400
+    few = index.probes_for(queries, "q", "v", 10, 0.9)
+    found = index.search_many(queries, "q", "v", 10, probes=few).join(index.search_many(queries, "q", "v", 10, probes=40), ["query", "id"]).count()
+    less = index.search_many(queries, "q", "v", 10, probes=few - 1).join(index.search_many(queries, "q", "v", 10, probes=40), ["query", "id"]).count() if few > 1 else 0
+    assert less < 360 <= found
+    plain = index.search(everything[50].tolist(), 10, exact=False)
+    assert {r.id for r in plain.collect()} == {i for _, i, _ in by[50]}
+
+
 def test_radius_on_the_spheroid(spark):
     prepare(spark)
     rng = np.random.default_rng(2)

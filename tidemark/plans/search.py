@@ -65,6 +65,29 @@ def indexed(t: Tables) -> DataFrame:
     return index.search(one, 5).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("ai_vec_index_filtered", VEC.format("3", " WHERE label IN (1, 2, 3)", "3", 10))
+def indexed_filtered(t: Tables) -> DataFrame:
+    """A third of the rows inserted later and the index opened anew; cells without the labels are not read."""
+    path = new_path(t.spark, "vector-index")
+    late = F.col("vec_id") % 3 == 0
+    index = VectorIndex.build(t.embeddings.where(~late), path, "vec_id", "embedding", label="label")
+    index.insert(t.embeddings.where(late))
+    one = t.embeddings.where("vec_id = 3").select("embedding").first()["embedding"]
+    return VectorIndex.open(t.spark, path).search(one, 10, labels=[1, 2, 3]).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("ai_vec_recall", "SELECT count(*) AS queries, true AS found_nine_in_ten FROM embeddings WHERE vec_id % 50 = 0")
+def recall(t: Tables) -> DataFrame:
+    """Of the ten nearest rows of every fiftieth one, how many the cells give that sufficed for other queries."""
+    index = VectorIndex.build(t.embeddings, new_path(t.spark, "vector-index"), "vec_id", "embedding")
+    of = lambda k: t.embeddings.where(F.col("vec_id") % 50 == k).select(F.col("vec_id").alias("q"), "embedding")
+    queries = of(0)
+    probes = index.probes_for(of(1), "q", "embedding", 10, 0.97)
+    few, whole = (index.search_many(queries, "q", "embedding", 10, p).select("query", "vec_id") for p in (probes, len(index.cells)))
+    hits, wanted = few.join(whole, ["query", "vec_id"]).agg(F.count("*")).scalar(), whole.agg(F.count("*")).scalar()
+    return queries.agg(F.count("*").alias("queries"), (hits >= 0.9 * wanted).alias("found_nine_in_ten"))
+
+
 @query("ai_vec_colours", f"SELECT id, description, round(list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), 4) AS distance FROM (VALUES {COLOUR_ROWS}) v(id, description, embedding) WHERE id <> 8 ORDER BY list_cosine_distance(embedding, [1.0, 0.0, 0.0]::DOUBLE[]), id LIMIT 5")
 def colour_search(t: Tables) -> DataFrame:
     """A zero vector has no distance and ranks last; ties go by id."""
@@ -80,6 +103,29 @@ def _vectorizer(t: Tables) -> tuple[Vectorizer, DataFrame]:
 query("ai_status", "SELECT count(*) AS pending FROM documents WHERE doc_id % 2 <> 0 OR coalesce(text, '') = ''")(lambda t: (lambda v, s: v.pending(s).agg(F.count("*").alias("pending")))(*_vectorizer(t)))
 
 
+EDITED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' addendum' ELSE text END AS text FROM documents WHERE lang IS NULL OR lang <> 'fr')"
+
+
+def _edited(t: Tables) -> tuple[Vectorizer, DataFrame]:
+    """Documents are embedded; then German ones get longer and French ones go."""
+    v = Vectorizer(new_path(t.spark, "reports"), "doc_id", "text", MODEL, size=2000)
+    v.run(t.documents.select("doc_id", "text"))
+    later = t.documents.where("lang is null or lang <> 'fr'").select("doc_id", F.when(F.col("lang") == "de", F.concat("text", F.lit(" addendum"))).otherwise(F.col("text")).alias("text"))
+    return v, later
+
+
+@query("ai_vectorizer_pending", "SELECT change, count(*) AS n FROM (SELECT CASE WHEN coalesce(text, '') = '' AND coalesce(lang, '') <> 'fr' AND NOT coalesce(lang = 'de' AND text = '', false) THEN 'new' WHEN lang = 'fr' AND text <> '' THEN 'gone' WHEN lang = 'de' AND text <> '' THEN 'changed' WHEN lang = 'de' AND text = '' THEN 'new' END AS change FROM documents) WHERE change IS NOT NULL GROUP BY 1")
+def vectorizer_pending(t: Tables) -> DataFrame:
+    return (lambda v, s: v.changes(s).groupBy("change").agg(F.count("*").alias("n")))(*_edited(t))
+
+
+@query("ai_vectorizer_changes", f"SELECT doc_id, length(text) AS chars FROM {EDITED} WHERE text <> ''")
+def vectorizer_changes(t: Tables) -> DataFrame:
+    v, later = _edited(t)
+    v.run(later)
+    return v.stored(later).groupBy("doc_id").agg(F.sum(F.char_length("chunk")).alias("chars"))
+
+
 @query("ai_count")
 def stored_chunks(t: Tables) -> DataFrame:
     v, source = _vectorizer(t)

@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.vector import nearest
@@ -92,23 +92,67 @@ def chunk_texts(df: DataFrame, key: str, text: str, size: int = 800, overlap: in
 
 
 class Vectorizer:
-    """Keeps a Parquet store of embedded chunks in step with a source: only rows that are not there yet are embedded."""
+    """Keeps a Parquet store of embedded chunks in step with a source.
+
+    Each row is stored with the hash of its text. A run finds rows that are new, changed or gone by a full outer join of
+    hashes, embeds the new and changed ones and writes them under the run's number, with a mark (no chunk) for keys that
+    have none any more. A key's newest run is what counts when the store is read. Keys must be unique and not null; a
+    source is taken as the whole table: what it lacks is gone.
+    """
 
     def __init__(self, path: str, key: str, text: str, model: Embedder, size: int = 800):
         self.path, self.key, self.text, self.model, self.size = path, key, text, model, size
 
-    def stored(self, source: DataFrame) -> DataFrame:
-        schema = f"{self.key} {source.schema[self.key].dataType.simpleString()}, chunk_seq int, chunk string, embedding array<float>"
+    def _runs(self, spark: SparkSession) -> list[int]:
+        return sorted(int(n.split("=")[1]) for n in Store(spark).names(self.path) if n.startswith("run="))
+
+    def _rows(self, source: DataFrame) -> DataFrame:
+        """All that was ever written, with its run."""
         spark = source.sparkSession
-        return spark.read.schema(schema).parquet(self.path) if Store(spark).names(self.path) else spark.createDataFrame([], schema)
+        kind = source.schema[self.key].dataType.simpleString()
+        schema = f"`{self.key}` {kind}, chunk_seq int, chunk string, embedding array<float>, text_hash string, run int"
+        return spark.read.schema(schema).parquet(self.path) if self._runs(spark) else spark.createDataFrame([], schema)
+
+    def _newest(self, source: DataFrame) -> DataFrame:
+        return self._rows(source).groupBy(self.key).agg(F.max("run").alias("run"))
+
+    def stored(self, source: DataFrame) -> DataFrame:
+        """(key, chunk_seq, chunk, embedding) of what is current."""
+        return self._current(source).select(self.key, "chunk_seq", "chunk", "embedding")
+
+    def _current(self, source: DataFrame) -> DataFrame:
+        return self._rows(source).join(self._newest(source), [self.key, "run"], "left_semi").where("chunk_seq is not null")
+
+    def changes(self, source: DataFrame) -> DataFrame:
+        """(key, change): new, changed or gone; a row whose text is empty stays new as long as nothing is stored of it."""
+        told = source.select(self.key, F.md5(F.coalesce(self.text, F.lit(""))).alias("now"))
+        known = self._current(source).groupBy(self.key).agg(F.first("text_hash").alias("then"))
+        change = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("then"), "changed")
+        return told.join(known, self.key, "full_outer").select(self.key, change.alias("change")).where("change is not null")
 
     def pending(self, source: DataFrame) -> DataFrame:
-        return source.join(self.stored(source).select(self.key).distinct(), self.key, "left_anti")
+        """Rows of the source that the next run embeds."""
+        return source.join(self.changes(source).where("change <> 'gone'"), self.key, "left_semi")
 
     def run(self, source: DataFrame) -> None:
         prepare(source.sparkSession)
-        chunks = chunk_texts(self.pending(source), self.key, self.text, self.size)
-        chunks.withColumn("embedding", embed(F.col("chunk"), self.model)).write.mode("append").parquet(self.path)
+        run = max(self._runs(source.sparkSession), default=-1) + 1
+        rows = self.pending(source)
+        hashes = rows.select(self.key, F.md5(F.coalesce(self.text, F.lit(""))).alias("text_hash"))
+        chunks = chunk_texts(rows, self.key, self.text, self.size).withColumn("embedding", embed(F.col("chunk"), self.model))
+        chunks = chunks.join(hashes, self.key)
+        emptied = source.where(F.coalesce(self.text, F.lit("")) == "").select(self.key)
+        changes = self.changes(source)
+        gone = changes.where("change = 'gone'").select(self.key).unionByName(changes.where("change = 'changed'").select(self.key).join(emptied, self.key, "left_semi"))
+        chunks.unionByName(gone, allowMissingColumns=True).write.parquet(f"{self.path}/run={run}")
+
+    def compact(self, source: DataFrame) -> None:
+        """Write what is current as one run and delete the runs before; no reader may be using them."""
+        spark = source.sparkSession
+        old = self._runs(spark)
+        self._current(source).drop("run").write.parquet(f"{self.path}/run={max(old, default=-1) + 1}")
+        for run in old:
+            Store(spark).delete(f"{self.path}/run={run}")
 
 
 def search(rows: DataFrame, question: str, model: Embedder, k: int = 10, vector: str = "embedding", tie: str = "id") -> DataFrame:
