@@ -60,3 +60,17 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     rng.shuffle(events)
     df = spark.createDataFrame(events, "conv_id long, seq long, event string, message long, role string, text string").repartition(5)
     assert {tuple(r) for r in C.fold_events(df).collect()} == want
+
+
+def test_digests_need_a_right_fold(spark, monkeypatch):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} of {c} " * 5) for c in range(4) for t in range(7)] + [(9, 0, "user", "long \u00e9 " * 200_000)]
+    df = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    want = brute(rows)
+    digests = lambda: {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.chat_digests(df).collect()}
+    kinds = {r.event: r["count"] for r in C.streamed_events_of(df).groupBy("event").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["delta"] > 2 * len(rows)
+    assert digests() == want
+    right = C.fold_events
+    for gone in ("edit", "regenerate", "delta"):
+        monkeypatch.setattr(C, "fold_events", lambda events, gone=gone: right(events.where(f"event <> '{gone}'")))
+        assert all(digests()[c] != want[c] for c in range(4))

@@ -11,7 +11,8 @@ escaped, so that a reader finds the marks again and unescapes to the very text.
 coded over the formatted string, three runs a turn: before the text, the text (in the loss if the role is
 assistant), after it.
 
-Edge cases: a null role or text is empty; a null turn or message comes first; rows that repeat a turn are
+The digests take conversations as streams: see streamed_events_of. Edge cases: a null role or text is empty; a very long
+text is cut into pieces by its length and joined again; a null turn or message comes first; rows that repeat a turn are
 turns each; a null conv_id is a conversation of its own; an empty table gives an empty result; other columns
 are ignored. A conversation is one row of the result, so its length is bounded by what a row can hold.
 """
@@ -89,9 +90,34 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("seq", place).select("conv_id", "seq", F.lit("message").alias("event"), F.col("seq").alias("message"), "role", "text")
 
 
+PIECES = 4  # deltas of a text
+
+
+def streamed_events_of(conversations: DataFrame) -> DataFrame:
+    """Plain rows as the log of a chat that streams them, by a fixed rule: texts come in pieces; every third message
+    begins with a draft that is edited away; every third is regenerated after a false start to which an answer had been
+    given already. Folding must restore the very texts."""
+    rows = events_of(conversations).select("conv_id", "message", "role", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.greatest(F.ceil(F.char_length("text") / PIECES), F.lit(1)).cast("int")
+    rows = rows.withColumn("pieces", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(F.col("text"), k * size + 1, size)))
+
+    def event(kind: str, text: Column, later: int = 0) -> Column:
+        return F.struct(F.lit(kind).alias("event"), (F.col("message") + later).alias("message"), (F.lit("nobody") if later else F.col("role")).alias("role"), text.alias("text"))
+
+    deltas = lambda first: F.transform(F.slice("pieces", first, PIECES), lambda p: event("delta", p))
+    piece = F.col("pieces")[0]
+    edited = F.concat(F.array(event("message", F.lit("a draft")), event("edit", piece)), deltas(2))
+    false_start = [event("message", F.lit("a false")), event("delta", F.lit(" start")), event("message", F.lit("an answer to it"), 1), event("regenerate", F.lit(None).cast("string"))]
+    regenerated = F.concat(F.array(*false_start), deltas(1))
+    plain = F.concat(F.array(event("message", piece)), deltas(2))
+    kind = F.col("message") % 3
+    log = rows.select("conv_id", F.col("message").alias("place"), F.posexplode(F.when(kind == 0, edited).when(kind == 1, regenerated).otherwise(plain)).alias("k", "e"))
+    return log.select("conv_id", (F.col("place") * 16 + F.col("k")).alias("seq"), "e.event", "e.message", "e.role", "e.text")
+
+
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    """Format all conversations and digest what reads back."""
-    back = read_back(render(fold_events(events_of(conversations))))
+    """Format all conversations, as a chat that streams them, and digest what reads back."""
+    back = read_back(render(fold_events(streamed_events_of(conversations))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     digests = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
