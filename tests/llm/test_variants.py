@@ -87,20 +87,21 @@ def test_edges(spark):
 
 
 def test_the_index_keeps_all_pairs_above_the_bound():
-    rng = random.Random(9)
-    words = sorted({"".join(rng.choice("ab") for _ in range(6)) for _ in range(60)})
-    index = V.PositionalIndex(words)
-    for w in ("".join(p) for p in itertools.product("ab", repeat=6)):
-        assert [words[k] for k in index.near(w, False)] == [x for x in words if edits(w, x) == 1]
-    for w in ("".join(p) for p in itertools.product("ab", repeat=5)):
-        assert [words[k] for k in index.near(w, True)] == [x for x in words if edits(w, x) == 1]
-
+    for start, end in ((0, 3), (2, 4), (4, 6), (3, 4)):
+        inside = ["".join(p) for p in itertools.product("ab", repeat=end - start)]
+        words = ["abbaba"[:start] + x + "abbaba"[end:] for x in inside]
+        index = V.PositionalIndex(words, start, end)
+        for w in words:
+            assert [words[k] for k in index.near(w, False)] == [x for x in words if edits(w, x) == 1]
+        for x in itertools.product("ab", repeat=end - start - 1):
+            w = "abbaba"[:start] + "".join(x) + "abbaba"[end:]
+            assert [words[k] for k in index.near(w, True)] == [x for x in words if edits(w, x) == 1 and start <= V.first_difference(w, x) < end]
 
 def test_one_edit_is_exact():
     rng = random.Random(3)
     for _ in range(3_000):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in "xy")
-        assert V.one_edit(a, b) == (edits(a, b) == 1)
+        assert (V.first_difference(a, b) >= 0) == (edits(a, b) == 1)
 
 
 def test_roots_follow_long_chains(spark):
