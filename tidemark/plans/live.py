@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeseries import time_bucket
+from tidemark.operators.joins import validate
 from tidemark.operators.rollup import Rollup, RollupSpec
 from tidemark.operators.states import Measure, States
+from tidemark.operators.timing import explain_analyze
 from tidemark.plans.registry import Tables, dt, query, r8
-from tidemark.plans.sensors import HOUR_MEANS, HOUR_SUMS, PLAYED
+from tidemark.plans.sensors import HOUR_MEANS, HOUR_SUMS, HOURLY, PLAYED
+from tidemark.plans.sensors import _oee as stored_hours
 from tidemark.session import new_path
+from tidemark.sources.clustered import rows_scanned, time_range, write_clustered
+from tidemark.sources.files import read_csv, write_csv
 from tidemark.sources.hypertable import Hypertable, HypertableSpec
 from tidemark.streaming.ingest import Ingest
 from tidemark.streaming.rollup import bucket_stream, read_live, write_live
@@ -58,6 +63,68 @@ def refresh_pending(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.lit(days).cast("long").alias("days"))
 
 
+@query("iot_clustered", "SELECT 'user' AS kind, count(*) AS n, round(sum(value), 6) AS total, true AS skipped FROM events WHERE user_id = 7 UNION ALL SELECT 'day', count(*), round(sum(value), 6), true FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
+def clustered(t: Tables) -> DataFrame:
+    """Readings clustered by time and user: a filter on either leaves most files unread."""
+    path = new_path(t.spark, "clustered")
+    write_clustered(t.events, path, ["ts", "user_id"], files=64)
+    rows = t.spark.read.parquet(path)
+    day = time_range("ts", dt("2024-01-10"), dt("2024-01-11"))
+    out = None
+    for kind, picked in (("user", rows.where("user_id = 7")), ("day", rows.where(day))):
+        few = rows_scanned(picked) <= 0.4 * rows.count()
+        one = picked.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.lit(few).alias("skipped"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("oee_2mo_timing", f"SELECT 'raw' AS side, (SELECT count(*) FROM events) AS n, true AS timed, true AS planned UNION ALL SELECT 'rollup', (SELECT count(*) FROM {HOURLY}), true, true")
+def timing(t: Tables) -> DataFrame:
+    """As oee_2mo_explain, with what it says of plans and clock: scans in each plan, the raw one of events."""
+    runs = {"raw": explain_analyze(t.events.select("ts", "event_type", "value")), "rollup": explain_analyze(stored_hours(t).read())}
+    rows = [(side, run.rows, 0 < run.seconds < 3600, "Scan parquet" in run.plan and ("HashAggregate" in run.plan) == (side == "rollup")) for side, run in runs.items()]
+    return t.spark.createDataFrame(rows, "side string, n long, timed boolean, planned boolean")
+
+
+@query("iot_stats_whole", "SELECT count(DISTINCT CAST(epoch(ts) AS BIGINT) // 604800) AS compressed_chunks, true AS smaller FROM events")
+def stats_whole(t: Tables) -> DataFrame:
+    """Sizes of the compacted chunks, all of them, after against before."""
+    told = t.hypertable(compress=True).compression_stats()
+    return told.select("compressed_chunks", ((F.col("before_bytes") > 0) & (F.col("after_bytes") > 0) & (F.col("after_bytes") < 2 * F.col("before_bytes"))).alias("smaller"))
+
+
+# files and constraints -------------------------------------------------------------------------------------
+
+
+@query("src_csv", "SELECT c_custkey, c_name, c_acctbal, 'plain' AS kind FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal, 'gzip' FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal, 'semicolon' FROM customer")
+def csv_files(t: Tables) -> DataFrame:
+    """A table as CSV, plain, gzipped and with another delimiter, read back with a declared schema and a column list."""
+    out = None
+    for kind in ("plain", "gzip", "semicolon"):
+        path, mark = new_path(t.spark, "csv"), ";" if kind == "semicolon" else ","
+        if kind == "plain":
+            write_csv(t.customer, path)
+        else:
+            t.customer.write.options(header=True, sep=mark, compression="gzip" if kind == "gzip" else "none").csv(path)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.customer.schema)
+        one = read_csv(t.spark, path, ddl, ["c_custkey", "c_name", "c_acctbal"], delimiter=mark).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+BROKEN = {
+    "l_linenumber is one of 2 values": "SELECT count(*) FROM lineitem WHERE l_linenumber NOT IN (1, 2)",
+    "l_orderkey is unique": "SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
+    "l_orderkey refers to c_custkey": "SELECT count(*) FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT c_custkey FROM customer)",
+}
+
+
+@query("constraints_violated", " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(({sql}) AS BIGINT) AS violations" for rule, sql in BROKEN.items()))
+def constraints_violated(t: Tables) -> DataFrame:
+    """Rules that the table breaks, with how often."""
+    return validate(t.lineitem, [], ["l_orderkey"], {"l_linenumber": [1, 2]}, {"l_orderkey": (t.customer, "c_custkey")})
+
+
 # rollups of rollups ----------------------------------------------------------------------------------------
 
 EDGES = [Measure("first_value", "first", "value", ("time", "event_id"), True), Measure("last_value", "last", "value", ("time", "event_id"), True), Measure("low", "min", "value"), Measure("high", "max", "value"), Measure("deviation", "stddev", "value"), Measure("n", "count", "1")]
