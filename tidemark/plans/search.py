@@ -168,7 +168,30 @@ def near(t: Tables) -> DataFrame:
     return places(t).where(geo.within(*point(), -102, 31, 50 * geo.MILE)).select("c_custkey", r4(miles).alias("miles"))
 
 
-@query("ai_geo_spheroid")
+#: Distances on the spheroid, spelled out: twenty rounds for the difference of longitudes on the auxiliary sphere.
+SPHEROID = f"""
+WITH RECURSIVE f AS (SELECT 1 / 298.257223563 AS f, 6378137.0 AS a, 6378137.0 * (1 - 1 / 298.257223563) AS b),
+p AS (SELECT c_custkey, radians(-102 - lon) AS l, atan((1 - f) * tan(radians(lat))) AS u, atan((1 - f) * tan(radians(31))) AS v FROM {PLACES}, f),
+w(c_custkey, l, u, v, x, k) AS (
+  SELECT c_custkey, l, u, v, l, 0 FROM p
+  UNION ALL
+  SELECT c_custkey, l, u, v, l + (1 - k1) * f * al * (si + k1 * s * (m + k1 * c * (2 * m * m - 1))), k + 1 FROM (
+    SELECT *, f / 16 * sq * (4 + f * (4 - 3 * sq)) AS k1 FROM (
+      SELECT *, CASE WHEN sq > 0 THEN c - 2 * sin(u) * sin(v) / sq ELSE 0 END AS m FROM (
+        SELECT *, 1 - al * al AS sq FROM (
+          SELECT *, atan2(s, c) AS si, CASE WHEN s > 0 THEN cos(u) * cos(v) * sin(x) / s ELSE 0 END AS al FROM (
+            SELECT *, sqrt(pow(cos(v) * sin(x), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(x), 2)) AS s, sin(u) * sin(v) + cos(u) * cos(v) * cos(x) AS c FROM w, f))))) WHERE k < 20
+), e AS (
+  SELECT c_custkey, b * (1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))) AS ba, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS bb, s, c, si, m FROM (
+    SELECT *, sq * (a * a - b * b) / (b * b) AS q, CASE WHEN sq > 0 THEN c - 2 * sin(u) * sin(v) / sq ELSE 0 END AS m FROM (
+      SELECT *, 1 - pow(CASE WHEN s > 0 THEN cos(u) * cos(v) * sin(x) / s ELSE 0 END, 2) AS sq, atan2(s, c) AS si FROM (
+        SELECT *, sqrt(pow(cos(v) * sin(x), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(x), 2)) AS s, sin(u) * sin(v) + cos(u) * cos(v) * cos(x) AS c FROM w, f WHERE k = 20)))
+), d AS (SELECT c_custkey, CASE WHEN s > 0 THEN ba * (si - bb * s * (m + bb / 4 * (c * (2 * m * m - 1) - bb / 6 * m * (4 * s * s - 3) * (4 * m * m - 3)))) ELSE 0 END AS metres FROM e)
+SELECT c_custkey, round(metres / 1609.34, 4) AS miles FROM d WHERE metres <= 50 * 1609.34
+"""
+
+
+@query("ai_geo_spheroid", SPHEROID)
 def near_on_spheroid(t: Tables) -> DataFrame:
     """As ai_geo, on the spheroid; nearest first."""
     prepare(t.spark)
@@ -185,6 +208,24 @@ def geo_rag(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(answer(found, "text", ["distance", "id"], "Sum up the reports.", "charging fault", EchoChat()),)], "content string")
 
 
+DATED = "(SELECT doc_id, lang, source, TIMESTAMP '2024-01-01' + CAST(doc_id % 365 AS INTEGER) * INTERVAL 1 DAY AS made FROM documents)"
+
+
+def dated(t: Tables) -> DataFrame:
+    """Reports with a day each, from their numbers."""
+    return _reports(t).withColumn("made", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(cast(id % 365 AS int))"))
+
+
+@query("ai_geo_rag_rows", f"SELECT doc_id AS id FROM {DATED} WHERE lang = 'en' AND made >= TIMESTAMP '2024-03-01' AND made < TIMESTAMP '2024-07-01' AND doc_id % 1000 IN (SELECT c_custkey FROM {PLACES} WHERE {AWAY} <= 150 * 1609.34)")
+def geo_rag_rows(t: Tables) -> DataFrame:
+    """What a question about a place and a season is asked of: reports of a range of days, of the language, from stations
+    near the place (a semi-join), before they are ranked by meaning."""
+    close = places(t).where(geo.within(*point(), -102, 31, 150 * geo.MILE)).select(F.col("c_custkey").alias("station"))
+    season = (F.col("made") >= F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz")) & (F.col("made") < F.lit(datetime(2024, 7, 1)).cast("timestamp_ntz"))
+    rows = dated(t).where(season & (F.col("lang") == "en")).withColumn("station", F.col("id") % 1000)
+    return rows.join(close, "station", "left_semi").select("id")
+
+
 @query("ai_station_geodesics", "SELECT c_custkey, true AS close FROM customer")
 def sphere_and_spheroid(t: Tables) -> DataFrame:
     """The sphere's distance is within 0.6 % of the spheroid's."""
