@@ -9,7 +9,7 @@ from tidemark.plans import catalogue
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query for each family; the driver compares all of them.
-CHOSEN = ["fin_ohlc", "fin_chunks", "fin_cagg_rt", "iot_30m_loc", "iot_tier", "oee_7d_cagg", "wel_q3", "wel_geo_radius", "wdb_p9", "cmp_q4", "bio_abnormal", "bio_cagg_after_retention", "btc_q6", "ai_vec_topk", "series_each", "json_field", "outliers", "oee_1h", "oee_2mo_explain", "fin_describe", "ai_vec_index", "wel_refresh_changed", "wel_refresh_pending", "oee_day_from_hours", "stream_ingest", "stream_live", "cmp_incidents", "cmp_shift_incidents", "wel_geo_cells", "wel_geo_pairs", "wel_geo_nearest", "ai_vec_index_filtered", "ai_vec_recall", "ai_vectorizer_pending", "ai_vectorizer_changes", "iot_clustered", "oee_2mo_timing", "iot_stats_whole", "src_csv", "constraints_violated", "ai_geo_spheroid", "ai_geo_rag_rows"]
+CHOSEN = ["fin_ohlc", "fin_chunks", "fin_cagg_rt", "iot_30m_loc", "iot_tier", "oee_7d_cagg", "wel_q3", "wel_geo_radius", "wdb_p9", "cmp_q4", "bio_abnormal", "bio_cagg_after_retention", "btc_q6", "ai_vec_topk", "series_each", "json_field", "outliers", "oee_1h", "oee_2mo_explain", "fin_describe", "ai_vec_index", "wel_refresh_changed", "wel_refresh_pending", "oee_day_from_hours", "stream_ingest", "stream_live", "cmp_incidents", "cmp_shift_incidents", "wel_geo_cells", "wel_geo_pairs", "wel_geo_nearest", "ai_vec_index_filtered", "ai_vec_recall", "ai_vectorizer_pending", "ai_vectorizer_changes", "iot_clustered", "oee_2mo_timing", "iot_stats_whole", "src_csv", "constraints_violated", "ai_geo_spheroid", "ai_geo_rag_rows", "ai_rag_context", "cmp_update", "src_convert"]
 
 
 def plain(names, rows):

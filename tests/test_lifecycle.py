@@ -167,3 +167,17 @@ def test_decompress_columns_options_and_description(spark):
     assert [(r.column_name, r.data_type, r.role) for r in t.describe().collect()] == [("ts", "timestamp_ntz", "time"), ("device", "int", None), ("v", "double", None), ("note", "string", "segment")]
     t.drop()
     assert t.store.names(t.path) == []
+
+
+def test_saved_policies_go_on_in_another_session(spark):
+    t, r = rollup(spark)
+    p, path, now = Policies(), new_path(spark, "jobs"), START + timedelta(days=28)
+    p.add("refresh", r, timedelta(days=60), DAY)
+    p.add("drop", t, timedelta(days=14), every=timedelta(days=3))
+    p.run(1000, now)
+    p.save(spark, path)
+    q = Policies.load(spark, path, [t, r])
+    assert q.jobs == p.jobs
+    assert q.run_due(now) == [1001] and q.run_due(now + DAY) == [1000] and len(t.chunk_starts()) == 2
+    q.save(spark, path)
+    assert Policies.load(spark, path, [t, r]).run_due(now + DAY) == []

@@ -150,3 +150,22 @@ def test_buckets_must_nest(spark):
         Measure("x", "median", "v")
     with pytest.raises(ValueError):
         Measure("x", "last", "v")
+
+
+def test_updates_rewrite_only_chunks_with_such_rows(spark):
+    from tests.test_lifecycle import rows
+    from tidemark.operators.tables import convert, update_rows
+
+    t = convert(rows(spark), new_path(spark, "t"), HypertableSpec("t", "ts", timedelta(days=7), ["device"]))
+    r, read = counted(spark, t)
+    r.refresh(None, START + 28 * DAY)
+    before = t.manifest()["chunks"]
+    picked = (F.col("device") == 1) & (F.col("ts") < F.lit(START + 6 * DAY))
+    assert update_rows(t, picked, v=F.col("v") + 1000) == 1 and update_rows(t, F.lit(False), v=F.lit(0)) == 0
+    after = t.manifest()["chunks"]
+    assert sum(before[k] != after[k] for k in before) == 1
+    want = rows(spark).withColumn("v", F.when(picked, F.col("v") + 1000).otherwise(F.col("v")))
+    assert same(t.scan(), want)
+    assert r.refresh(None, START + 28 * DAY) == [[day(0), day(7)]] and same(r.read(), aggregate(want))
+    with pytest.raises(ValueError):
+        update_rows(t, picked, ts=F.lit(None))

@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.retrieval.models import EchoChat, HashingEmbedder, Vectorizer, answer, search, split_text
+from tidemark.retrieval.models import EchoChat, HashingEmbedder, Patient, Vectorizer, answer, embed, search, split_text
 from tidemark.session import new_path
 from tidemark.sources import generators as G
 
@@ -66,6 +67,44 @@ def test_changed_and_deleted_rows_are_replaced(spark):
     assert kinds() == {5: "new", 6: "new"} and len(v._runs(spark)) == 1
 
 
+class Flaky:
+    """Fails every third call, refuses large batches."""
+
+    dimensions = 16
+
+    def __init__(self):
+        self.calls, self.inner = 0, HashingEmbedder(16)
+
+    def _fails(self):
+        self.calls += 1
+        if self.calls % 3 == 0:
+            raise ConnectionError("busy")
+
+    def embed(self, texts):
+        self._fails()
+        assert 0 < len(texts) <= 5
+        return self.inner.embed(texts)
+
+    def complete(self, system, user):
+        self._fails()
+        return f"{system}|{user}"
+
+
+def test_a_model_that_fails_is_asked_again_in_batches(spark):
+    model = Patient(Flaky(), batch=5, attempts=2, pause=0.0)
+    texts = [f"text {k}" for k in range(23)]
+    assert np.array_equal(model.embed(texts), HashingEmbedder(16).embed(texts)) and model.model.calls == 7
+    assert model.embed([]).shape == (0, 16)
+    assert [model.complete("s", str(k)) for k in range(4)] == [f"s|{k}" for k in range(4)]
+    with pytest.raises(ConnectionError):
+        impatient = Patient(Flaky(), attempts=1)
+        for _ in range(3):
+            impatient.complete("s", "u")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    got = {r.id: r.e for r in df.select("id", embed(F.col("text"), Patient(Flaky(), batch=5, pause=0.0)).alias("e")).collect()}
+    assert all(np.allclose(got[k], HashingEmbedder(16).embed([t])[0]) for k, t in enumerate(texts))
+
+
 def test_generated_tables_keep_their_shapes(spark):
     w = G.wearable_readings(spark, AS_OF, days=1)
     r = w.agg(F.min("heart_rate").alias("a"), F.max("heart_rate").alias("b"), F.min("spo2").alias("c"), F.max("body_temperature").alias("d"), F.countDistinct("activity_level").alias("e")).first()

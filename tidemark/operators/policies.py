@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.rollup import Rollup
+from tidemark.session import Store
 from tidemark.sources.hypertable import Hypertable, _time
 
 
@@ -61,6 +62,22 @@ class Policies:
             self.run(j.job_id, as_of)
         return [j.job_id for j in due]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the jobs, with when they ran last, as a new version; of two writers one fails."""
+        store = Store(spark)
+        rows = [{"job_id": j.job_id, "kind": j.kind, "target": j.target.spec.name, "last_run": j.last_run and j.last_run.isoformat()} | {k: getattr(j, k).total_seconds() for k in ("after", "until", "every")} for j in self.jobs]
+        store.write_json(f"{path}/{len(store.names(path)) + 1:08d}.json", rows)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, targets: list[Hypertable | Rollup]) -> Policies:
+        """The jobs that another session saved last; targets are found by their names."""
+        store, by = Store(spark), {t.spec.name: t for t in targets}
+        jobs = []
+        for r in store.read_json(f"{path}/{store.names(path)[-1]}"):
+            spans = {k: timedelta(seconds=r[k]) for k in ("after", "until", "every")}
+            jobs.append(Policy(r["job_id"], r["kind"], by[r["target"]], last_run=r["last_run"] and datetime.fromisoformat(r["last_run"]), **spans))
+        return cls(jobs)
+
     def catalog(self, spark: SparkSession) -> DataFrame:
         rows = [(j.job_id, j.kind, j.target.spec.name, int(j.after.total_seconds()), int(j.until.total_seconds()), j.last_run) for j in self.jobs]
         return spark.createDataFrame(rows, "job_id int, kind string, target string, after_seconds long, until_seconds long, last_run timestamp_ntz")

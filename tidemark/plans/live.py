@@ -11,6 +11,7 @@ from tidemark.functions.timeseries import time_bucket
 from tidemark.operators.joins import validate
 from tidemark.operators.rollup import Rollup, RollupSpec
 from tidemark.operators.states import Measure, States
+from tidemark.operators.tables import convert, update_rows
 from tidemark.operators.timing import explain_analyze
 from tidemark.plans.registry import Tables, dt, query, r8
 from tidemark.plans.sensors import HOUR_MEANS, HOUR_SUMS, HOURLY, PLAYED
@@ -125,6 +126,24 @@ def constraints_violated(t: Tables) -> DataFrame:
     return validate(t.lineitem, [], ["l_orderkey"], {"l_linenumber": [1, 2]}, {"l_orderkey": (t.customer, "c_custkey")})
 
 
+@query("cmp_update", DAYS.replace("FROM events {}", "FROM (SELECT ts, event_type, CASE WHEN user_id = 5 THEN value * 2 ELSE value END AS value FROM events)"))
+def updated(t: Tables) -> DataFrame:
+    """An update of a chunked table rewrites the chunks that hold its rows; a refresh takes in what it changed."""
+    table = convert(t.events, new_path(t.spark, "readings"), HypertableSpec("readings", "ts", WEEK, ["user_id"]))
+    rollup = Rollup(t.spark, new_path(t.spark, "days"), RollupSpec("days", "day", DAY, _days), table)
+    rollup.refresh(None, dt("2024-02-01"))
+    update_rows(table, F.col("user_id") == 5, value=F.col("value") * 2)
+    rollup.refresh(None, dt("2024-02-01"))
+    return rollup.read()
+
+
+@query("src_convert", "SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def converted(t: Tables) -> DataFrame:
+    """A plain table made a chunked one, of which a scan of ten days reads the chunks it needs."""
+    table = convert(t.events, new_path(t.spark, "readings"), HypertableSpec("readings", "ts", WEEK, ["user_id"]))
+    return table.scan(dt("2024-01-10"), dt("2024-01-20")).select("event_id", "ts", "value")
+
+
 # rollups of rollups ----------------------------------------------------------------------------------------
 
 EDGES = [Measure("first_value", "first", "value", ("time", "event_id"), True), Measure("last_value", "last", "value", ("time", "event_id"), True), Measure("low", "min", "value"), Measure("high", "max", "value"), Measure("deviation", "stddev", "value"), Measure("n", "count", "1")]

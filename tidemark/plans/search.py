@@ -15,7 +15,7 @@ from tidemark.operators.joins import validate
 from tidemark.operators.vector_index import VectorIndex
 from tidemark.plans.registry import Tables, query, r4, r8
 from tidemark.plans.wells import PLACES, places, point
-from tidemark.retrieval.models import EchoChat, HashingEmbedder, Vectorizer, answer, chunk_texts, embed, search
+from tidemark.retrieval.models import EchoChat, HashingEmbedder, Patient, Vectorizer, answer, chunk_texts, embed, search
 from tidemark.session import new_path, prepare
 from tidemark.sources import generators
 from tidemark.sources.files import each_of, pg_array, time_series
@@ -159,6 +159,19 @@ def rag(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(answer(found, "text", ["distance", "id"], "Sum up the reports.", "charging fault", EchoChat()),)], "content string")
 
 
+FOUND = "(SELECT vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 3) AS DOUBLE[])) AS distance FROM embeddings WHERE label IN (1, 2, 3) ORDER BY distance, vec_id LIMIT 10)"
+
+
+@query("ai_rag_context", f"SELECT 'Sum up.' || chr(10) || 'What is it?' || chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY distance, vec_id) AS content FROM {FOUND} JOIN documents ON vec_id = doc_id")
+def rag_context(t: Tables) -> DataFrame:
+    """What a chat model is told: the texts of the ten nearest vectors of some labels, nearest first."""
+    one = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("query")).limit(1)
+    found = nearest(t.embeddings.where(F.col("label").isin(1, 2, 3)).crossJoin(F.broadcast(one)), "embedding", F.col("query"), 10, "vec_id")
+    texts = found.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("distance", "vec_id", "text")
+    told = answer(texts, "text", ["distance", "vec_id"], "Sum up.", "What is it?", Patient(EchoChat()))
+    return t.spark.createDataFrame([(told,)], "content string")
+
+
 AWAY = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(31 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(31)) * pow(sin(radians(-102 - lon) / 2), 2))))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
@@ -49,6 +50,33 @@ class EchoChat:
         return f"{system}\n{user}"
 
 
+class Patient:
+    """A model behind a service: texts go in batches of at most `batch`, and a call that fails is made again, after a
+    pause that doubles, at most `attempts` times."""
+
+    def __init__(self, model: Embedder | ChatModel, batch: int = 64, attempts: int = 4, pause: float = 0.5):
+        self.model, self.batch, self.attempts, self.pause = model, batch, attempts, pause
+        self.dimensions = getattr(model, "dimensions", 0)
+
+    def _call(self, f, *args):
+        for k in range(self.attempts):
+            try:
+                return f(*args)
+            except Exception:
+                if k + 1 == self.attempts:
+                    raise
+                time.sleep(self.pause * 2**k)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        parts = [self._call(self.model.embed, texts[k : k + self.batch]) for k in range(0, len(texts), self.batch)]
+        if any(len(p) != len(texts[k * self.batch : (k + 1) * self.batch]) for k, p in enumerate(parts)):
+            raise ValueError("the model gave another number of vectors than texts")
+        return np.concatenate(parts) if parts else np.empty((0, self.dimensions), np.float32)
+
+    def complete(self, system: str, user: str) -> str:
+        return self._call(self.model.complete, system, user)
+
+
 def embed(text: Column, model: Embedder) -> Column:
     """Vector of each text, in Arrow batches."""
 
