@@ -7,7 +7,7 @@ use them. Scans read only the folders of chunks that their time range touches an
 Parquet prunes inside them. Writing rebalances rows by chunk: a large chunk is split over tasks and files at run
 time, small ones share a task. A row without a time is refused.
 
-Each version of the manifest says which ranges of time its change touched, to the 32768th part of a chunk: an append
+Each version of the manifest says which ranges of time its change touched, to a part of a chunk (20 s of seven days): an append
 sets a bit for each part that got rows, in one small aggregation over the times just written. So what changed since a
 version is the union over the versions after it (`changes`), and rollups need not look at anything else.
 """
@@ -90,7 +90,7 @@ class Hypertable:
         return self.manifest()["facts"]
 
     def newest(self) -> datetime | None:
-        """A time just after the newest row ever written, to the 32768th part of a chunk."""
+        """A time just after the newest row ever written, to a part of a chunk."""
         t = self.manifest().get("newest")
         return None if t is None else datetime(1970, 1, 1) + timedelta(microseconds=t)
 
@@ -100,18 +100,25 @@ class Hypertable:
         ranges = [r for n in names if int(n.split(".")[0]) > since for r in self.store.read_json(f"{self.path}/manifest/{n}").get("changed", [])]
         return merged(ranges), int(names[-1].split(".")[0]) if names else 0
 
+    def _grain(self) -> int:
+        """Microseconds of a part of a chunk: where it can be, a whole part of a minute, an hour or a day, so that no part
+        reaches over the edge of a bucket."""
+        width = self._width()
+        fits = [g for g in (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 60, 120, 300, 600, 900, 1800, 3600, 86400) if width % g == 0 and width // g <= _PARTS]
+        return fits[0] * _SECOND if fits else -(-width * _SECOND // _PARTS)
+
     def _touched(self, folders: dict[str, str]) -> Ranges:
         """Ranges of time of the rows in folders just written, by their chunk starts."""
         if not folders:
             return []
-        width = self._width() * _SECOND
+        width, grain = self._width() * _SECOND, self._grain()
         at = micros(F.col(self.spec.time))
         start = F.floor(at / width) * width
-        bits = self._read(list(folders.values())).select(start.cast("long").alias("start"), F.call_function("div", (at - start) * _PARTS, F.lit(width)).alias("part"))
+        bits = self._read(list(folders.values())).select(start.cast("long").alias("start"), F.call_function("div", at - start, F.lit(grain)).cast("long").alias("part"))
         out = []
         for start, bitmap in bits.groupBy("start").agg(F.bitmap_construct_agg("part")).collect():  # 4 kB a chunk
             on = np.flatnonzero(np.diff(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little"), prepend=0, append=0)).tolist()
-            out += [[start + s * width // _PARTS, start - (-e * width // _PARTS)] for s, e in zip(on[::2], on[1::2])]
+            out += [[start + s * grain, start + min(e * grain, width)] for s, e in zip(on[::2], on[1::2])]
         return merged(out)
 
     # writing ----------------------------------------------------------------------------------------------
