@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _MADE: list[tuple[object, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -52,6 +53,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def _drop_all() -> None:
+    for spark, table in _TABLES:
+        try:
+            spark.sql(f"drop table if exists {table}")
+        except Exception:  # as below
+            break
     for spark, path in _MADE:
         try:
             drop(spark, path)
@@ -68,12 +74,14 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As materialise, in buckets of a key: joins on it read the rows where they lie instead of moving them."""
+    """As materialise, in buckets of a key: joins on it read the rows where they lie instead of moving them. Its entry
+    in the catalog goes with the files when the driver exits."""
     spark = df.sparkSession
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+    _TABLES.append((spark, table))
     return spark.table(table)
 
 

@@ -5,9 +5,10 @@ each; its keys are cut into ranges that are the same for all chunks, and each cu
 differences. The task of a range merges what all chunks ask about it and answers each chunk in its own order, so a
 key that a third of all texts hold costs one entry in each chunk, and no answer names a key again.
 
-Rows number chunks times ranges. There are as many ranges as shuffle partitions, and more only where a range would
-hold more than `most` keys, which bounds a task's memory; on very large inputs raise the partitions and the chunks'
-size together, as for any shuffle.
+There are as many ranges as shuffle partitions, and more only where a range would hold more than `most` keys, which
+bounds a task's memory. A chunk sends a row for each range in which it has keys, and finds the ranges from its keys
+alone: rows number chunks times ranges at most, and never more than the keys that are asked about, so they grow with
+the input however many ranges there are. Where cuts become small, raise the chunks' size.
 """
 
 from __future__ import annotations
@@ -32,6 +33,17 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint32) if not len(a) or (a.min() >= 0 and a.max() < 1 << 32) else a
 
 
+def cut(keys: np.ndarray, ranges: int, bits: int = 64) -> tuple[list[int], list[int]]:
+    """Numbers of the ranges that hold some of the sorted keys, and where the keys of each begin and the last ones end.
+    Ranges part the upper 32 bits evenly. Without keys the first range is named with none, so that each chunk is
+    answered."""
+    if not len(keys):
+        return [0], [0, 0]
+    number = ((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    return number[first].tolist(), [*first.tolist(), len(keys)]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for k in range(batch.num_rows):
         yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
@@ -40,15 +52,16 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 def ask(chunks: DataFrame, question: Callable[[dict], tuple[np.ndarray, np.ndarray]], ranges: int, bits: int = 64) -> DataFrame:
     """(range, chunk, asked) of what each chunk's question gives: sorted distinct keys of so many bits, and a value for
     each."""
-    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
+    if ranges >= 1 << 31:
+        raise ValueError(f"{ranges} ranges are too many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
                 keys, values = question(row)
-                cuts = np.r_[0, np.searchsorted(keys, edges), len(keys)].tolist()
+                number, cuts = cut(keys, ranges, bits)
                 blobs = [pack(k=np.diff(keys[i:j], prepend=np.uint64(0)), v=narrow(values[i:j])) for i, j in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([row["chunk"]] * ranges, pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([row["chunk"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["range", "chunk", "asked"])
                 give_back()
 
     return arrow_map(chunks, run, "range int, chunk long, asked binary")
