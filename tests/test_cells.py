@@ -80,3 +80,16 @@ def test_a_radius_reads_ranges_of_cells(spark):
     spans = [(r.low, r.high) for r in stored.groupBy(F.input_file_name()).agg(F.min("cell").alias("low"), F.max("cell").alias("high")).collect()]
     ranges = [r for box in C.boxes(-102.0, 31.0, 60_000.0) for r in C.cover(*box)]
     assert sum(any(s <= high and e >= low for s, e in ranges) for low, high in spans) <= 4  # of 16 files
+
+
+def test_rows_at_one_place_meet_by_blocks_and_distances_are_of_places(spark, monkeypatch):
+    monkeypatch.setattr(C, "_BLOCK", 50)
+    left = spark.range(400).select(F.col("id").alias("i"), (F.col("id") % 2).cast("double").alias("lon"), F.lit(10.0).alias("lat"))
+    right = spark.range(600).select(F.col("id").alias("j"), (F.col("id") % 3).cast("double").alias("x"), F.lit(10.0).alias("y"))
+    got = C.distance_join(left, right, ("lon", "lat"), ("x", "y"), 1_000.0)
+    assert sorted((r.i, r.j, r.metres) for r in got.collect()) == [(i, j, 0.0) for i in range(400) for j in range(600) if i % 2 == j % 3]
+    tasks = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 6 and max(tasks) < 0.4 * 80_000
+    near, rounds = C.nearest_join(left, right, "i", "j", ("lon", "lat"), ("x", "y"), 4)
+    assert sorted((r.i, r["rank"], r.j) for r in near.collect()) == [(i, k + 1, i % 2 + 3 * k) for i in range(400) for k in range(4)]
+    assert rounds[0] == 2  # places, not rows

@@ -7,7 +7,7 @@ lets Parquet skip the others. A circle or box is covered by a few ranges; the ex
 Joins by distance use bands of latitude, each at least as high as the distance, with as many columns as fit of that
 width at the band's narrowest parallel. A place of the right side lies in one cell of them, one of the left looks into
 the cells of three bands that a place so near can lie in, over the date line and round the poles too, so each pair
-meets once.
+meets once. Only distinct places meet there; their rows follow.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import RADIUS, haversine
 from tidemark.session import new_path
 
+#: Rows of either side that meet in a block of a join by distance, and the most tasks that blocks are dealt to.
+_BLOCK, _MOST_PARTS = 1_000, 8192
 BITS = 26  # of each coordinate: cells of about 0.6 by 0.3 m
 _SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
 
@@ -167,60 +169,93 @@ def _on_earth(at: tuple[str, str]) -> Column:
     return F.col(at[0]).between(-180, 180) & F.col(at[1]).between(-90, 90)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """What is read more than once, written to the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _points(rows: DataFrame, at: tuple[str, str]) -> DataFrame:
+    """(x, y, n): distinct places and how many rows lie there."""
+    return rows.where(_on_earth(at)).groupBy(*(F.col(c).cast("double").alias(k) for c, k in zip(at, "xy"))).agg(F.count("*").alias("n"))
+
+
+def _near_points(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """(a, b, d): points of both sides that are at most so far apart, with their distance; a point of the left looks into
+    the cells it reaches."""
+    bands = Bands(metres)
+    own = bands.of(F.col("y"))
+    a = left.select(F.struct("*").alias("a"), F.explode(bands.reached(F.col("x"), F.col("y"))).alias("at"))
+    b = right.select(F.struct("*").alias("b"), F.struct(own.alias("band"), bands.column(F.col("x"), own).alias("column")).alias("cell"))
+    d = haversine(*(F.col(c) for c in ("a.x", "a.y", "b.x", "b.y")))
+    return a.join(b, F.col("at") == F.col("cell")).where(d <= metres).select("a", "b", d.alias("d"))
+
+
 def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], metres: float, name: str = "metres") -> DataFrame:
     """Pairs of rows whose places (longitude, latitude in degrees) are at most so far apart on the sphere, with their
-    distance; rows without a place, or with one outside of the degrees, have no pair."""
+    distance; rows without a place, or with one outside of the degrees, have no pair.
+
+    Cells and distances are worked out for distinct places. The rows there follow by blocks: rows near a place of the
+    right meet the rows at it in pairs of blocks of both, so neither a crowded cell nor a crowded place makes a long task."""
     twice = set(left.columns) & set(right.columns) | {name} & {*left.columns, *right.columns}
     if twice:
         raise ValueError(f"both sides have {', '.join(sorted(twice))}")
-    bands = Bands(metres)
-    lon, lat = map(F.col, left_at)
-    a = left.where(_on_earth(left_at)).select(F.struct("*").alias("a"), F.explode(bands.reached(lon, lat)).alias("cell"))
-    lon, lat = map(F.col, right_at)
-    own = bands.of(lat)
-    b = right.where(_on_earth(right_at)).select(F.struct("*").alias("b"), F.struct(own.alias("band"), bands.column(lon, own).alias("column")).alias("cell"))
-    apart = haversine(*(F.col(f"a.{c}") for c in left_at), *(F.col(f"b.{c}") for c in right_at))
-    met = a.withColumnRenamed("cell", "at").join(b, F.col("at") == F.col("cell"))
-    return met.where(apart <= metres).select("a.*", "b.*", apart.alias(name))
+    spark = left.sparkSession
+    pairs = _kept(_near_points(_points(left, left_at), _points(right, right_at), metres), "near-points")
+    crowd = pairs.groupBy(F.col("b.x").alias("u"), F.col("b.y").alias("v")).agg(F.sum("a.n").alias("lefts"), F.first("b.n").alias("rights"))
+    blocks = lambda n: F.ceil(F.col(n) / _BLOCK).cast("int")
+    crowd = _kept(crowd.select("u", "v", blocks("lefts").alias("lefts"), blocks("rights").alias("rights"), (F.col("lefts") * F.col("rights")).alias("n")), "crowds")
+    parts = max(1, min(_MOST_PARTS, 2 * int(crowd.agg(F.sum("n")).first()[0] or 0) // _BLOCK**2))
+    near = pairs.select("a.x", "a.y", F.col("b.x").alias("u"), F.col("b.y").alias("v"), "d").join(crowd, ["u", "v"])
+    own = lambda row, n: F.pmod(F.xxhash64(row), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda at, names: (F.col(c).cast("double").alias(k) for c, k in zip(at, names))
+    a = left.select(F.struct("*").alias("a"), *place(left_at, "xy")).join(near, ["x", "y"])
+    a = a.select("a", "d", "u", "v", own("a", F.col("lefts")).alias("i"), each("rights").alias("j"))
+    b = right.select(F.struct("*").alias("b"), *place(right_at, "uv")).join(crowd, ["u", "v"])
+    b = b.select("b", "u", "v", own("b", F.col("rights")).alias("j"), each("lefts").alias("i"))
+    on = ["u", "v", "i", "j"]
+    return a.repartition(parts, *on).join(b.repartition(parts, *on), on).select("a.*", "b.*", F.col("d").alias(name))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_at: tuple[str, str], right_at: tuple[str, str], k: int, start: float | None = None) -> tuple[DataFrame, list[int]]:
     """(left_key, right_key, metres, rank) of the k nearest places of the right for each of the left, ties by right_key;
-    and how many rows of the left were looked at in each round.
-
-    A circle grows around each place until k places lie in it: then the k nearest do, too. Each round joins the places
-    that still have fewer, by a circle of twice the radius; the first one would hold k places if the right's lay evenly
-    over the box around them. left_key must be unique."""
-    spark = left.sparkSession
-    a = left.select(left_key, *left_at)
-    b = right.select(right_key, *right_at)
+    and how many distinct places of the left were looked at in each round.
+
+    Rows at one place of the left have the same answer, and of those at one place of the right only the k of smallest
+    key can be in any, so distinct places and these keys are all that meets. A circle grows around each place until k
+    rows lie in it: then the k nearest do, too. Each round joins the places that still have fewer, by a circle of twice
+    the radius; the first one would hold k rows if the right's lay evenly over the box around them."""
+    place = lambda at, names: (F.col(c).cast("double").alias(k) for c, k in zip(at, names))
+    a = _kept(_points(left, left_at), "nearest-places")
+    at_place = Window.partitionBy("u", "v").orderBy("key")
+    keys = right.where(_on_earth(right_at)).select(F.col(right_key).alias("key"), *place(right_at, "uv"))
+    keys = _kept(keys.withColumn("own", F.row_number().over(at_place)).where(F.col("own") <= k).drop("own"), "nearest-keys")
+    b = _kept(_points(keys, ("u", "v")), "nearest-right")
     if start is None:
-        box = b.where(_on_earth(right_at)).agg(F.count("*").alias("n"), *(f(c) for c in right_at for f in (F.min, F.max))).first()
-        n, west, east, south, north = box
+        n, west, east, south, north = b.agg(F.sum("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         area = max(1e-6, (east or 0) - (west or 0)) * max(1e-6, (north or 0) - (south or 0))
-        start = math.sqrt(area * (k + 1) / max(n, 1) / math.pi) * 111_195
+        start = math.sqrt(area * (k + 1) / max(n or 0, 1) / math.pi) * 111_195
     metres, found, rounds = max(start, 1.0), None, []
+    by = Window.partitionBy("x", "y")
     while True:
         looked = a.count()
         if not looked:
             break
         rounds.append(looked)
         everything = metres >= math.pi * RADIUS
-        near = distance_join(a, b, left_at, right_at, metres)
-        by = Window.partitionBy(left_key)
-        ranked = near.withColumn("rank", F.row_number().over(by.orderBy("metres", right_key))).where(F.col("rank") <= k)
-        path = new_path(spark, "nearest")
-        ranked.select(left_key, right_key, "metres", "rank").write.parquet(path)
-        told = spark.read.parquet(path)
+        near = _near_points(a, b, metres).select("a.x", "a.y", F.col("b.x").alias("u"), F.col("b.y").alias("v"), F.col("d").alias("metres")).join(keys, ["u", "v"])
+        ranked = near.withColumn("rank", F.row_number().over(by.orderBy("metres", "key"))).where(F.col("rank") <= k)
+        told = _kept(ranked.select("x", "y", "key", "metres", "rank"), "nearest")
         if everything:
             found = told if found is None else found.unionByName(told)
             break
-        done = told.where(F.col("rank") == k).select(left_key)
-        whole = told.join(done, left_key, "left_semi")
+        done = told.where(F.col("rank") == k).select("x", "y")
+        whole = told.join(done, ["x", "y"], "left_semi")
         found = whole if found is None else found.unionByName(whole)
-        rest = new_path(spark, "nearest-rest")
-        a.join(done, left_key, "left_anti").write.parquet(rest)
-        a, metres = spark.read.parquet(rest), min(metres * 2, math.pi * RADIUS)
+        a, metres = _kept(a.join(done, ["x", "y"], "left_anti"), "nearest-rest"), min(metres * 2, math.pi * RADIUS)
     if found is None:
-        found = distance_join(a, b, left_at, right_at, 1.0).select(left_key, right_key, "metres", F.lit(1).alias("rank")).limit(0)
-    return found, rounds
+        found = a.join(keys.limit(0)).select("x", "y", "key", F.lit(0.0).alias("metres"), F.lit(1).alias("rank"))
+    rows = left.select(left_key, *place(left_at, "xy")).join(found, ["x", "y"])
+    return rows.select(left_key, F.col("key").alias(right_key), "metres", "rank"), rounds
