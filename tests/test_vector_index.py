@@ -121,3 +121,26 @@ def test_radius_on_the_spheroid(spark):
         got = {r.id: r.metres for r in geo.within_spheroid(df, F.col("lon"), F.col("lat"), -102, 31, limit).collect()}
         assert set(got) == set(np.flatnonzero(metres <= limit).tolist())
         assert all(math.isclose(got[k], metres[k], rel_tol=1e-12) for k in got)
+
+
+def test_many_queries_meet_bins_of_cells_and_equal_rows_go_by_key(spark, monkeypatch):
+    from tidemark.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "BIN", 100)
+    rows = labelled(spark, 700, 3)
+    q = rows.first().v
+    rows = rows.unionByName(spark.createDataFrame([(5000 + k, q, "l0") for k in range(250)], rows.schema))  # a cell of over two bins
+    index = VectorIndex.build(rows, new_path(spark, "index"), "id", "v", cells=12)
+    queries = rows.where("id % 3 = 0").select(F.col("id").alias("q"), "v")
+    assert any(parts > 1 for _, _, parts in index._bins(index._names(None)))
+    got = index.search_many(queries, "q", "v", 10, probes=len(index.cells))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.query, []).append((r["rank"], r.id))
+    known = rows.collect()
+    ids, x = np.array([r.id for r in known]), np.array([np.array(r.v, float) / np.linalg.norm(r.v) for r in known])
+    assert len(by) == queries.count()
+    for r in queries.collect():
+        y = np.array(r.v, float) / np.linalg.norm(r.v)
+        d = 1 - (x * y).sum(1)
+        assert [i for _, i in sorted(by[r.q])] == ids[np.lexsort((ids, d))[:10]].tolist()

@@ -29,6 +29,7 @@ from tidemark.session import Store, prepare
 
 APART = -1  # the cell of rows that no search finds
 SLACK = 1e-6  # rounding of angles
+BIN = 16_384  # rows, or queries, that a task of a search for many queries holds
 LABELS = 64  # of a cell, kept for pruning
 
 
@@ -209,41 +210,97 @@ class VectorIndex:
             near = np.union1d(near, np.flatnonzero(least <= reach + SLACK))
         return self._nearest(query, names[near].tolist(), k, labels)
 
+    def _bins(self, names: np.ndarray) -> list[tuple[int, int, int]]:
+        """(cell, first, parts): neighbouring cells share a bin of about so many rows, a larger cell is dealt over several."""
+        out, at, held = [], 0, 0
+        for name in names.tolist():
+            n = self.manifest["cells"][str(name)]["rows"]
+            if held and held + n > BIN:
+                at, held = at + 1, 0
+            parts = -(-n // BIN)
+            out.append((name, at, parts))
+            at, held = (at + parts, 0) if parts > 1 else (at, held + n)
+        return out
+
     def search_many(self, queries: DataFrame, key: str, vector: str, k: int, probes: int = 8) -> DataFrame:
         """(query, key, probe, distance, rank) of the k nearest rows that the `probes` nearest cells hold, for every query in
-        one job: queries go to their cells, and each cell's rows meet the queries sent there. probe: which of its nearest
-        cells had the row."""
+        one job. probe: which of its nearest cells had the row.
+
+        Rows lie in bins of cells; a query goes once to each bin that has one of its cells. A bin's rows meet the queries
+        sent there, some thousands of either, by products of matrices, and only k rows of each query leave it."""
         prepare(self.spark)
         names = self._names(None)
         centres = np.array([self.manifest["cells"][str(c)]["centre"] for c in names]).reshape(len(names), -1)
-        shared = self.spark.sparkContext.broadcast((names.astype(np.int32), centres))
         name = self.key
         d = self.manifest["dimensions"]
-
-        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, at = shared.value
-            for b in batches:
-                ok, unit = _units(b.column(1), d)
-                few = min(probes, len(own))
-                best = np.argsort(-(unit @ at.T), axis=1, kind="stable")[:, :few]
-                row = pa.array(np.repeat(np.flatnonzero(ok), few))
-                probe = pa.array(np.tile(np.arange(1, few + 1, dtype=np.int32), len(unit)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(own[best.ravel()], pa.int32()), probe], ["query", "asked", "cell", "probe"])
-
-        def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = (_units(b.column(c), d)[1] for c in (3, 4))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(1 - (x * y).sum(1))], ["query", name, "probe", "distance"])
-
-        told = queries.select(key, vector)
-        asked = told.mapInArrow(cells, f"query {_kind(told.schema, key)}, asked {_kind(told.schema, vector)}, cell int, probe int")
+        told = queries.select(F.col(key).alias("query"), F.col(vector).alias("asked"))
+        query, label = _kind(told.schema, "query"), _kind(self.schema, name)
         if not len(names):
-            return asked.select("query", F.lit(None).cast(_kind(self.schema, self.key)).alias(self.key), "probe", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-        met = asked.join(self._read(names.tolist()), "cell").select("query", self.key, "probe", "asked", self.vector)
-        schema = f"query {_kind(told.schema, key)}, `{self.key}` {_kind(self.schema, self.key)}, probe int, distance double"
-        by = Window.partitionBy("query").orderBy("distance", self.key)
-        return met.mapInArrow(distances, schema).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            return told.select("query", F.lit(None).cast(label).alias(name), F.lit(1).alias("probe"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+        bins = self._bins(names)
+        shared = self.spark.sparkContext.broadcast((names.astype(np.int32), centres, np.array(bins)))
 
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, at, dealt = shared.value
+            few = min(probes, len(own))
+            for b in batches:
+                for s in range(0, b.num_rows, 256):
+                    some = b.slice(s, 256)
+                    ok, unit = _units(some.column(1), d)
+                    best = np.argsort(-(unit @ at.T), axis=1, kind="stable")[:, :few]
+                    wide = dealt[best.ravel(), 2]
+                    row = np.repeat(np.repeat(np.arange(len(unit)), few), wide)
+                    part = np.repeat(dealt[best.ravel(), 1], wide) + np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)
+                    cell, probe = np.repeat(own[best.ravel()], wide), np.repeat(np.tile(np.arange(1, few + 1), len(unit)), wide)
+                    order = np.lexsort((part, row))
+                    row, part, cell, probe = (x[order].astype(np.int32) for x in (row, part, cell, probe))
+                    first = np.flatnonzero(np.r_[len(row) > 0, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
+                    ends = pa.array(np.r_[first, len(row)].astype(np.int32))
+                    who = pa.array(np.flatnonzero(ok)[row[first]])
+                    cols = [some.column(0).take(who), some.column(1).take(who), pa.array(part[first]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (cell, probe))]
+                    yield pa.RecordBatch.from_arrays(cols, ["query", "asked", "bin", "cells", "probes"])
+
+        def distances(sent: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by(name)
+            y, cell = _units(rows.column(self_vector), d)[1], rows.column("cell").to_numpy()
+            known = np.unique(cell)
+            found: list[tuple[np.ndarray, ...]] = []
+            for s in range(0, sent.num_rows if len(y) else 0, 512):
+                some = sent.slice(s, 512).combine_chunks()
+                x = _units(some.column("asked"), d)[1]
+                cells, took = (some.column(c).combine_chunks() for c in ("cells", "probes"))
+                ask = np.repeat(np.arange(len(x)), np.diff(cells.offsets.to_numpy()))
+                probe = np.zeros((len(x), len(known) + 1), np.int32)
+                flat = cells.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                probe[ask, np.where(known[at] == flat, at, len(known))] = took.flatten().to_numpy()
+                which = np.searchsorted(known, cell)
+                far = 1 - x @ y.T
+                far[probe[:, which] == 0] = np.inf
+                edge = np.partition(far, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                i, j = np.nonzero((far <= edge[:, None] + SLACK) & np.isfinite(far))
+                exact = np.concatenate([1 - (x[i[c : c + 8192]] * y[j[c : c + 8192]]).sum(1) for c in range(0, len(i), 8192)] or [np.empty(0)])
+                order = np.lexsort((j, exact, i))  # rows are in order of their keys
+                i, j, exact = i[order], j[order], exact[order]
+                start = np.flatnonzero(np.r_[len(i) > 0, i[1:] != i[:-1]])
+                place = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+                top = place < k
+                found.append((s + i[top], j[top], probe[i[top], which[j[top]]], exact[top]))
+            i, j, p, e = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, t) for t in (int, int, np.int32, float))
+            return pa.table({"query": sent.column("query").take(pa.array(i)), name: rows.column(name).take(pa.array(j)), "probe": pa.array(p, pa.int32()), "distance": pa.array(e, pa.float64())})
+
+        self_vector = self.vector
+        asked = told.mapInArrow(send, f"query {query}, asked {_kind(told.schema, 'asked')}, bin int, cells array<int>, probes array<int>")
+        blocks = max(1, -(-told.count() // BIN))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        placed = F.broadcast(self.spark.createDataFrame(bins, "cell int, first int, parts int"))
+        rows = self._read(names.tolist()).join(placed, "cell").select("cell", name, self.vector, (F.col("first") + F.pmod(F.xxhash64(name), "parts")).cast("int").alias("bin"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        tasks = min(8192, blocks * (max(first + parts for _, first, parts in bins)))
+        both = asked.repartition(tasks, "bin", "block").groupBy("bin", "block").cogroup(rows.repartition(tasks, "bin", "block").groupBy("bin", "block"))
+        met = both.applyInArrow(distances, f"query {query}, `{name}` {label}, probe int, distance double")
+        by = Window.partitionBy("query").orderBy("distance", name)
+        return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
     def probes_for(self, queries: DataFrame, key: str, vector: str, k: int, recall: float) -> int:
         """The least number of cells to look at that gives these queries so much of their k nearest rows."""
