@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.retrieval.models import EchoChat, HashingEmbedder, Patient, Vectorizer, answer, embed, search, split_text
+from tidemark.retrieval.models import EchoChat, HashingEmbedder, Patient, Vectorizer, answer, chunk_texts, embed, search, split_text
 from tidemark.session import new_path
 from tidemark.sources import generators as G
 
@@ -126,3 +126,19 @@ def test_generated_tables_keep_their_shapes(spark):
     assert G.room_readings(spark, AS_OF, days=1, step=timedelta(hours=1)).count() == 100
     again = G.wearable_readings(spark, AS_OF, days=1)
     assert again.agg(F.sum("heart_rate")).first() == w.agg(F.sum("heart_rate")).first()
+
+
+def test_texts_are_embedded_some_at_a_time(spark):
+    class Watching(HashingEmbedder):
+        def embed(self, texts):
+            if sum(map(len, texts)) > 3 << 20:
+                raise MemoryError("too many texts at once")
+            return super().embed(texts)
+
+    texts = [("word%d " % k) * 40_000 for k in range(30)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: list(r.v) for r in df.select("id", embed(F.col("text"), Watching(8)).alias("v")).collect()}
+    want = HashingEmbedder(8).embed([t or "" for t in texts])
+    assert all(np.allclose(got[k], want[k]) for k in range(len(texts))) and len(got) == len(texts)
+    pieces = chunk_texts(df, "id", "text", 50_000, model=Watching(8)).groupBy("id").agg(F.sum(F.length("chunk")).alias("n")).collect()
+    assert {r.id: r.n for r in pieces} == {k: len(t) for k, t in enumerate(texts) if t}

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.vector import nearest
 from tidemark.session import Store, prepare
@@ -77,13 +79,28 @@ class Patient:
         return self._call(self.model.complete, system, user)
 
 
+def _parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts of an Arrow batch, some at a time, of about so many bytes together: a batch may hold 10,000 long ones."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield [t or "" for t in texts.slice(a, b - a).to_pylist()]
+
+
+def _vectors(model: Embedder, texts: list[str]) -> pa.ListArray:
+    x = np.asarray(model.embed(texts), np.float32).reshape(len(texts), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def embed(text: Column, model: Embedder) -> Column:
-    """Vector of each text, in Arrow batches."""
+    """Vector of each text, in parts of Arrow batches."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list(model.embed(s.fillna("").tolist())))
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            done = [_vectors(model, part) for part in _parts(texts) if part]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.float32()))
 
     return run(text)
 
@@ -95,7 +112,8 @@ def split_text(text: str | None, size: int = 800, overlap: int = 0, marks: tuple
     if len(text) <= size:
         return [text]
     mark = next(m for m in marks if not m or m in text)
-    parts = list(text) if not mark else [p + mark * (k < text.count(mark)) for k, p in enumerate(text.split(mark))]
+    last = text.count(mark)
+    parts = list(text) if not mark else [p + mark * (k < last) for k, p in enumerate(text.split(mark))]
     out, held = [], ""
     for p in parts:
         if len(held) + len(p) > size and held:
@@ -108,15 +126,34 @@ def split_text(text: str | None, size: int = 800, overlap: int = 0, marks: tuple
     return out + [held] if held else out
 
 
-def chunk_texts(df: DataFrame, key: str, text: str, size: int = 800, overlap: int = 0) -> DataFrame:
-    """(key, chunk_seq, chunk) of every row's pieces."""
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_text(t, size, overlap))
+def chunk_texts(df: DataFrame, key: str, text: str, size: int = 800, overlap: int = 0, model: Embedder | None = None, along: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_seq, chunk) of every row's pieces, with their embedding where a model is given and columns that come
+    along; texts are cut and embedded in one pass, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for part in _parts(b.column(1)):
+                cut = [split_text(t, size, overlap) for t in part]
+                row = pa.array(np.repeat(np.arange(at, at + len(cut)), [len(c) for c in cut]))
+                at += len(cut)
+                told = [c for own in cut for c in own]
+                if not told:
+                    continue
+                cols = [b.column(0).take(row), pa.array([k for own in cut for k in range(len(own))], pa.int32()), pa.array(told, pa.string())]
+                cols += [_vectors(model, told)] if model else []
+                yield pa.RecordBatch.from_arrays([*cols, *(b.column(k).take(row) for k in range(2, b.num_columns))], names)
 
     prepare(df.sparkSession)
-    return df.select(key, F.posexplode(run(text)).alias("chunk_seq", "chunk"))
+    rows = df.select(key, F.col(text).cast("string").alias("text"), *along)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField("chunk_seq", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    if model:
+        schema.add("embedding", T.ArrayType(T.FloatType()))
+    for c in along:
+        schema.add(c, kinds[c])
+    names = schema.names
+    return rows.mapInArrow(run, schema)
 
 
 class Vectorizer:
@@ -165,10 +202,8 @@ class Vectorizer:
     def run(self, source: DataFrame) -> None:
         prepare(source.sparkSession)
         run = max(self._runs(source.sparkSession), default=-1) + 1
-        rows = self.pending(source)
-        hashes = rows.select(self.key, F.md5(F.coalesce(self.text, F.lit(""))).alias("text_hash"))
-        chunks = chunk_texts(rows, self.key, self.text, self.size).withColumn("embedding", embed(F.col("chunk"), self.model))
-        chunks = chunks.join(hashes, self.key)
+        rows = self.pending(source).withColumn("text_hash", F.md5(F.coalesce(self.text, F.lit(""))))
+        chunks = chunk_texts(rows, self.key, self.text, self.size, model=self.model, along=("text_hash",))
         emptied = source.where(F.coalesce(self.text, F.lit("")) == "").select(self.key)
         changes = self.changes(source)
         gone = changes.where("change = 'gone'").select(self.key).unionByName(changes.where("change = 'changed'").select(self.key).join(emptied, self.key, "left_semi"))
