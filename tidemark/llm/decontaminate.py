@@ -4,11 +4,12 @@ Words are lower-cased and stripped of punctuation at both ends. The benchmark is
 most `block` items and `most_words` distinct words, which are the vocabulary of the block. Items are sparse rows
 throughout; a task is sent the block's latent space, most_words x rank numbers of four bytes, and nothing larger.
 
-1. Document frequencies of the vocabulary over all documents give TF-IDF weights.
-2. Latent space: TF-IDF rows of the items and of passages of a bounded sample of documents (those with the
-   smallest hash of doc_id) are decomposed by a randomised SVD. Each task multiplies its rows into the
-   sketch; the sums, vocabulary x rank whatever the number of rows, are added by parts of the vocabulary and
-   travel as packed arrays.
+1. Texts are read once for a block: the vocabulary numbers of all their words are stored, packed, and what follows
+   reads these. Document frequencies of the vocabulary over all documents give TF-IDF weights.
+2. Latent space: TF-IDF rows of the items and of all passages of all documents are decomposed by a randomised SVD.
+   Each task sums the products of the words of its passages, those of the most frequent words in a dense table; the
+   sums, at most vocabulary x vocabulary whatever the number of rows, are added by strips of the vocabulary and
+   stored, and each round multiplies the strips into the sketch.
 3. Search: an item's answer is its telling words: those in at most about the square root of all documents
    (the four of greatest weight at least). Items are searched by classes of length, each with windows of at most
    twice an item's length, so a long item doesn't dilute a short one. A match must hold `answer_share` of an
@@ -30,19 +31,20 @@ import hashlib
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, materialise, text_chunks
+from tidemark.llm.common import arrow_map, drop, materialise, text_chunks
 from tidemark.llm.words import Words, pack, unpack
 
 _EDGES = string.punctuation + "“”‘’«»„…–—¿¡"
 WINDOW, LEAST_WINDOW = 48, 12
-#: Words of the vocabulary that are summed together, and the most tasks that multiply the sample.
-PART, TASKS = 2048, 16
+#: Words whose products a task sums in a dense table, products of other words that it holds, numbers of a strip.
+DENSE, HELD, STRIP = 2048, 1 << 22, 1 << 23
 
 
 def plain(word: str) -> str:
@@ -112,13 +114,39 @@ def _coded(texts: pa.ChunkedArray, vocabulary: dict[str, int]) -> tuple[np.ndarr
     return (number[w.codes] if len(w.codes) else w.codes), w.starts
 
 
+def code_texts(rows: DataFrame, items: Items) -> tuple[DataFrame, str]:
+    """A row for each chunk of texts: ids, whether they are null, digests of the texts, and codes and starts of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in text_chunks(batches):
+            codes, starts = _coded(t.column("text"), items.vocabulary)
+            ids = t.column("doc_id").combine_chunks()
+            md5 = np.frombuffer(b"".join([hashlib.md5((x or "").encode()).digest() for x in t.column("text").to_pylist()]), "V16")
+            data = pack(ids=ids.fill_null(0).to_numpy(), none=ids.is_null().to_numpy(zero_copy_only=False), md5=md5, codes=codes.astype(np.int32), starts=starts)
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    return materialise(arrow_map(rows.select("doc_id", "text"), run, "data binary"), "coded")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[dict[str, np.ndarray]]:
+    """Coded chunks, from rows of code_texts or from texts."""
+    if "data" in (first := next(batches, pa.RecordBatch.from_pylist([], pa.schema([("data", pa.binary())])))).schema.names:
+        for b in chain([first], batches):
+            for data in b.column("data"):
+                yield unpack(data.as_py())
+    else:
+        for t in text_chunks(chain([first], batches)):
+            yield dict(zip(("codes", "starts"), _coded(t.column("text"), items.vocabulary)))
+
+
 def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How many documents hold each word of the vocabulary, and how many there are; docs are texts or coded chunks."""
     size = len(items.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
-        for t in text_chunks(batches):
-            codes, starts = _coded(t.column("text"), items.vocabulary)
+        for t in _chunks(batches, items):
+            codes, starts = t["codes"], t["starts"]
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             known = np.flatnonzero(codes >= 0)
             total += np.bincount(np.unique(doc[known] * size + codes[known]) % size, minlength=size)
@@ -128,7 +156,7 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
     out = np.zeros(size, np.int64)
     documents = 0
-    for r in arrow_map(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row for each word of the block
+    for r in arrow_map(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row for each word of the block
         if r["word"] < 0:
             documents = r["n"]
         else:
@@ -166,49 +194,106 @@ def _add_products(total: np.ndarray, x: np.ndarray, row: np.ndarray, word: np.nd
         at = end
 
 
-def fit_basis(docs: DataFrame, items: Items, rank: int, sample: int, rounds: int = 2) -> np.ndarray:
-    """vocabulary x rank: leading right singular vectors of the TF-IDF rows of items and sampled passages."""
-    spark, size = docs.sparkSession, len(items.vocabulary)
-    few = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def _pairs(row: np.ndarray, some: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (a, b) of all pairs of entries of a row, so many rows at a time; entries are sorted by row."""
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    n = np.diff(np.r_[first, len(row)])
+    for at in range(0, len(first), some):
+        own = n[at : at + some]
+        each = np.repeat(own, own)
+        start = np.cumsum(each) - each
+        a = np.repeat(np.arange(first[at], first[at] + len(each)), each)
+        yield a, np.repeat(np.repeat(first[at : at + some], own) - start, each) + np.arange(len(a))
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(value[order], first) if len(key) else value
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches):
-            row, word, weight = _tfidf(*_coded(t.column("text"), items.vocabulary), items)
-            yield pa.RecordBatch.from_arrays([pa.array([pack(row=row, word=word, weight=weight)], pa.binary())], ["data"])
 
-    rows, _ = materialise(arrow_map(docs.join(F.broadcast(few), "doc_id").select("text"), read, "data binary"), "passages")
+def word_products(coded: DataFrame, items: Items, dense: int = DENSE, held: int = HELD, strip: int = STRIP) -> tuple[DataFrame, str, int]:
+    """(rows, path, words of a strip): A'A of the TF-IDF rows A of all passages, a row (part, data) for each strip of it."""
+    size = len(items.vocabulary)
+    words = max(1, strip // size)  # of a strip
+    often = np.sort(np.argsort(items.idf, kind="stable")[:dense])  # the most frequent words weigh least
+    slot = np.full(size, -1)
+    slot[often] = np.arange(len(often))
+
+    def strips(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = key // (words * size)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(first, np.r_[first[1:], len(part)].astype(int)):
+            data = pack(key=key[a:b] - part[a] * words * size, value=value[a:b].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(often) ** 2)
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in _chunks(batches, items):
+            row, word, weight = _tfidf(t["codes"].astype(np.int64), t["starts"], items)
+            for a, b in _pairs(row):
+                x, y, value = slot[word[a]], slot[word[b]], weight[a] * weight[b]
+                common = (x >= 0) & (y >= 0)
+                np.add.at(total, x[common] * len(often) + y[common], value[common])
+                rest.append(_sums(word[a][~common] * size + word[b][~common], value[~common]))
+                if sum(len(k) for k, _ in rest) > held:
+                    rest = [_sums(*map(np.concatenate, zip(*rest)))]
+                    if 2 * len(rest[0][0]) > held:
+                        yield from strips(*rest.pop())
+        at = np.flatnonzero(total)
+        yield from strips(often[at // len(often)] * size + often[at % len(often)], total[at])
+        if rest:
+            yield from strips(*_sums(*map(np.concatenate, zip(*rest))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            key = np.flatnonzero(total)
+            data = pack(key=key, value=total[key].astype(np.float32))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+
+        now, total = None, np.zeros(words * size)
+        for b in batches:  # strip by strip
+            for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+                if part != now:
+                    if now is not None:
+                        yield told()
+                        total[:] = 0
+                    now = part
+                some = unpack(data.as_py())
+                total[some["key"]] += some["value"]
+        if now is not None:
+            yield told()
+
+    schema = "part int, data binary"
+    sums = arrow_map(coded, multiply, schema).repartition(-(-size // words), "part").sortWithinPartitions("part")
+    return *materialise(arrow_map(sums, add, schema), "word-products"), words
+
+
+def fit_basis(products: DataFrame, words: int, items: Items, rank: int, rounds: int = 2) -> np.ndarray:
+    """vocabulary x rank: leading right singular vectors of the TF-IDF rows of items and of all passages, whose products
+    come by strips of so many words."""
+    size = len(items.vocabulary)
     own = items.sparse()
-    parts = -(-size // PART)
 
     def times(x: np.ndarray) -> np.ndarray:
-        """A'A x: each task sums over its rows, then parts of the vocabulary are summed over the tasks."""
+        """A'A x, strip by strip."""
         x = x.astype(np.float32)
-        rank = x.shape[1]
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(x)
             for b in batches:
-                for data in b.column("data"):
-                    _add_products(total, x, **unpack(data.as_py()))
-            for k in range(parts):
-                some = total[k * PART : (k + 1) * PART]
-                if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.tobytes()], pa.binary())], ["part", "data"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                for k, data in zip(b.column("part").to_pylist(), b.column("data")):
-                    some = np.frombuffer(data.as_buffer(), np.float32)
-                    sums[k] = sums[k] + some if k in sums else some.astype(np.float64)
-            for k, some in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.astype(np.float32).tobytes()], pa.binary())], ["part", "data"])
-
-        schema = "part int, data binary"
-        out = np.zeros((size, rank))
+                for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+                    some = unpack(data.as_py())
+                    strip = np.zeros((min(words, size - part * words), size), np.float32)
+                    strip.reshape(-1)[some["key"]] = some["value"]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(strip @ x).tobytes()], pa.binary())], ["part", "data"])
+
+        out = np.zeros((size, x.shape[1]))
         _add_products(out, x.astype(np.float64), *own)
-        for r in arrow_map(arrow_map(rows.coalesce(TASKS), multiply, schema).repartition(parts, "part"), add, schema).toLocalIterator():  # vocabulary x rank numbers
-            out[r["part"] * PART : (r["part"] + 1) * PART] += np.frombuffer(r["data"], np.float32).reshape(-1, rank)
+        for r in arrow_map(products, multiply, "part int, data binary").toLocalIterator():  # vocabulary x rank numbers
+            out[r["part"] * words : (r["part"] + 1) * words] += np.frombuffer(r["data"], np.float32).reshape(-1, x.shape[1])
         return out
 
     rank = min(rank, size)
@@ -261,8 +346,8 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, orde
         telling[[w for k in own for w in items.answers[k]]] = True
         classes.append((width, np.array(own), telling, min(int(np.ceil(answer_share * len(items.answers[k]))) for k in own)))
     ids = [*items.ids, *(i for i, _ in items.short)]
-    for t in text_chunks(batches):
-        codes, starts = _coded(t.column("text"), items.vocabulary)
+    for t in _chunks(batches, items):
+        codes, starts = t["codes"].astype(np.int64), t["starts"]
         found: dict[tuple[int, int], tuple] = {}
         n = np.diff(starts)
         for window, members, telling, least in classes:
@@ -297,10 +382,9 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, orde
             found[d, len(items.ids) + number] = (1.0, 1.0, 1.0, place)
         if found:
             at = [d for d, _ in found]
-            cols = [t.column("doc_id").combine_chunks().take(pa.array(at)), pa.array([ids[i] for _, i in found], pa.int64())]
+            cols = [pa.array(t["ids"][at], mask=t["none"][at]), pa.array([ids[i] for _, i in found], pa.int64())]
             cols += [pa.array([v[k] for v in found.values()], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
-            texts = t.column("text")
-            cols.append(pa.array([hashlib.md5(texts[d].as_py().encode()).hexdigest() for d in at]))
+            cols.append(pa.array([t["md5"][d].tobytes().hex() for d in at]))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "order_share", "answer_share", "cosine", "word", "text_md5"])
 
 
@@ -321,26 +405,33 @@ def _blocks(benchmark: DataFrame, block: int, most_words: int) -> Iterator[list[
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, block: int = 4096, most_words: int = 32_768, rank: int = 320, sample: int = 2000, cosine: float = 0.25, order_share: float = 0.5, answer_share: float = 0.5, least_words: int = 6
+    docs: DataFrame, benchmark: DataFrame, *, block: int = 4096, most_words: int = 32_768, rank: int = 320, cosine: float = 0.25, order_share: float = 0.5, answer_share: float = 0.5, least_words: int = 6
 ) -> DataFrame:
     """(doc_id, item_id, order_share, answer_share, cosine, word, text_md5) of the benchmark items found in documents.
 
-    A block of items is searched in one pass over the documents; most_words bounds its distinct words.
+    The texts are read once for a block of items; most_words bounds its distinct words.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, order_share double, answer_share double, cosine double, word long, text_md5 string"
-    out = None
+    spark, out = docs.sparkSession, None
     for part in _blocks(benchmark, block, most_words):
         items = Items.of(part, least_words)
         if not items.ids and not items.short:
             continue
+        coded, path = code_texts(rows, items)
+        made = [path]
         if items.ids:
-            items.weigh(*_frequencies(rows, items))
-            items.place(fit_basis(rows, items, rank, sample))
-        sent = docs.sparkSession.sparkContext.broadcast(items)  # bounded by block and most_words
-        found = arrow_map(rows, lambda b, sent=sent: _search(b, sent.value, cosine, order_share, answer_share), schema)
+            items.weigh(*_frequencies(coded, items))
+            products, path, words = word_products(coded, items)
+            made.append(path)
+            items.place(fit_basis(products, words, items, rank))
+        sent = spark.sparkContext.broadcast(items)  # bounded by block and most_words
+        found, _ = materialise(arrow_map(coded, lambda b, sent=sent: _search(b, sent.value, cosine, order_share, answer_share), schema), "found")
+        sent.unpersist()
+        for path in made:
+            drop(spark, path)
         out = found if out is None else out.unionByName(found)
-    return _none(docs.sparkSession, schema) if out is None else out
+    return _none(spark, schema) if out is None else out
 
 
 def _none(spark: SparkSession, schema: str) -> DataFrame:
