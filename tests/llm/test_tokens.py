@@ -23,3 +23,17 @@ def test_ids_equal_the_library_on_whole_texts(name):
         for k, w in enumerate(want):
             assert ids[starts[k] : starts[k + 1]].tolist() == w, many[k]
     assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_plain_pieces_go_to_the_library_in_groups(name, monkeypatch):
+    e = Encoder(P.path(name))
+    sent = []
+    real = Encoder._by_library
+    monkeypatch.setattr(Encoder, "_by_library", staticmethod(lambda tokenizer, units: sent.append(len(units)) or real(tokenizer, units)))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgéñßxyz") for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    ids, starts = e.encode(pa.array([" ".join(words), "\x00 a\x00b \x00", *words[:200]]))
+    assert sum(sent) < len(set(words)) / 10
+    for k, text in enumerate([" ".join(words), "\x00 a\x00b \x00", *words[:200]]):
+        assert ids[starts[k] : starts[k + 1]].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids

@@ -16,6 +16,7 @@ import functools
 import json
 import os
 import re
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -53,7 +54,7 @@ def _take(lists: pa.LargeListArray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; special strings are ordinary text."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -75,7 +76,9 @@ class Encoder:
             self.kind = "bare"
         #: the same model without the steps before it, for pieces of plain letters, which these leave as one word
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_MARK, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = self.bare.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # no piece of letters has this id
         self.lowers = self.kind == "bare" and ("Lowercase", None) in steps
 
     def _forget(self) -> None:
@@ -94,6 +97,15 @@ class Encoder:
                 n.append(len(own))
         return np.array(ids, np.uint32), np.array(n, np.int64)
 
+    def _plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _by_library, for pieces of plain letters: many go to the library as one text, with marks between them."""
+        if self.mark is None:
+            return self._by_library(self.bare, units)
+        texts = [_MARK.join(units[k : k + 64]) + _MARK for k in range(0, len(units), 64)]
+        ids, _ = self._by_library(self.bare, texts)
+        ends = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def _pieces(self, units: pa.Array) -> pa.LargeListArray:
         """Ids of each piece."""
         words = units.to_pylist()
@@ -101,9 +113,9 @@ class Encoder:
             self._forget()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         plain = pc.match_substring_regex(units, _PLAIN[self.kind, self.lowers]).to_numpy(zero_copy_only=False)
-        for tokenizer, new in ((self.bare, np.flatnonzero((at < 0) & plain)), (self.tokenizer, np.flatnonzero((at < 0) & ~plain))):
+        for encode, new in ((self._plain, np.flatnonzero((at < 0) & plain)), (partial(self._by_library, self.tokenizer), np.flatnonzero((at < 0) & ~plain))):
             fresh = [words[k] for k in new.tolist()]
-            ids, n = self._by_library(tokenizer, fresh)
+            ids, n = encode(fresh)
             at[new] = np.arange(len(self.known), len(self.known) + len(fresh))
             self.known.update(zip(fresh, at[new].tolist()))
             self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
