@@ -156,12 +156,12 @@ def test_the_basis_comes_from_all_documents(spark):
         a[row, word] = weight
         want += 9 * a.T @ a
     for dense, held, strip in ((2048, 1 << 22, 1 << 23), (5, 200, 200 * size), (0, 10, 1000 * size)):
-        products, _, words = D.word_products(coded, items, dense, held, strip)
+        products, _, words = D.word_products(coded, items, dense, held, strip, 3)
         got = np.zeros((size, size))
         for r in products.collect():
             some = unpack(r.data)
             got.reshape(-1)[some["key"] + r.part * words * size] += some["value"]
-        assert words == max(1, strip // size) and np.allclose(got, want, rtol=1e-4, atol=1e-4)
+        assert words == min(strip // size, -(-size // 3)) and np.allclose(got, want, rtol=1e-4, atol=1e-4)
         q = D.fit_basis(products, words, items, 32, rounds=6)
         row, word, weight = items.sparse()
         own = np.zeros((len(items.ids), size))

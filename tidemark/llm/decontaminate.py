@@ -43,8 +43,9 @@ from tidemark.llm.words import Words, pack, unpack
 
 _EDGES = string.punctuation + "“”‘’«»„…–—¿¡"
 WINDOW, LEAST_WINDOW = 48, 12
-#: Words whose products a task sums in a dense table, products of other words that it holds, numbers of a strip.
-DENSE, HELD, STRIP = 2048, 1 << 22, 1 << 23
+#: Words whose products a task sums in a dense table, products of other words that it holds, the most numbers of a
+#: strip, and the fewest strips.
+DENSE, HELD, STRIP, STRIPS = 2048, 1 << 22, 1 << 23, 64
 
 
 def plain(word: str) -> str:
@@ -194,16 +195,13 @@ def _add_products(total: np.ndarray, x: np.ndarray, row: np.ndarray, word: np.nd
         at = end
 
 
-def _pairs(row: np.ndarray, some: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers (a, b) of all pairs of entries of a row, so many rows at a time; entries are sorted by row."""
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-    n = np.diff(np.r_[first, len(row)])
-    for at in range(0, len(first), some):
-        own = n[at : at + some]
-        each = np.repeat(own, own)
-        start = np.cumsum(each) - each
-        a = np.repeat(np.arange(first[at], first[at] + len(each)), each)
-        yield a, np.repeat(np.repeat(first[at : at + some], own) - start, each) + np.arange(len(a))
+def _pairs(row: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (a, b) of entries of one row, which are sorted by row: all of them with a <= b, or each of own with all of its row."""
+    end = np.searchsorted(row, row, side="right")
+    a = np.arange(len(row)) if own is None else own
+    low = a if own is None else np.searchsorted(row, row[own])
+    n = end[a] - low
+    return np.repeat(a, n), np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
 
 
 def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,15 +212,15 @@ def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(value[order], first) if len(key) else value
 
 
-def word_products(coded: DataFrame, items: Items, dense: int = DENSE, held: int = HELD, strip: int = STRIP) -> tuple[DataFrame, str, int]:
+def word_products(coded: DataFrame, items: Items, dense: int = DENSE, held: int = HELD, strip: int = STRIP, strips: int = STRIPS) -> tuple[DataFrame, str, int]:
     """(rows, path, words of a strip): A'A of the TF-IDF rows A of all passages, a row (part, data) for each strip of it."""
     size = len(items.vocabulary)
-    words = max(1, strip // size)  # of a strip
+    words = max(1, min(strip // size, -(-size // strips)))  # of a strip
     often = np.sort(np.argsort(items.idf, kind="stable")[:dense])  # the most frequent words weigh least
     slot = np.full(size, -1)
     slot[often] = np.arange(len(often))
 
-    def strips(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def cut(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = key // (words * size)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
         for a, b in zip(first, np.r_[first[1:], len(part)].astype(int)):
@@ -230,23 +228,42 @@ def word_products(coded: DataFrame, items: Items, dense: int = DENSE, held: int
             yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(often) ** 2)
+        k = len(often)
+        total = np.zeros(k * k)
         rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rare(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Products of a rare word and another one; a frequent one has none with it yet."""
+            turn = slot[key % size] >= 0
+            key = np.r_[key, key[turn] % size * size + key[turn] // size]
+            order = np.argsort(key)
+            return cut(key[order], np.r_[value, value[turn]][order])
+
         for t in _chunks(batches, items):
-            row, word, weight = _tfidf(t["codes"].astype(np.int64), t["starts"], items)
-            for a, b in _pairs(row):
-                x, y, value = slot[word[a]], slot[word[b]], weight[a] * weight[b]
-                common = (x >= 0) & (y >= 0)
-                np.add.at(total, x[common] * len(often) + y[common], value[common])
-                rest.append(_sums(word[a][~common] * size + word[b][~common], value[~common]))
-                if sum(len(k) for k, _ in rest) > held:
+            rows, words, weights = _tfidf(t["codes"].astype(np.int64), t["starts"], items)
+            ends = np.r_[np.searchsorted(rows, np.arange(0, rows[-1] + 1, 1000)), len(rows)] if len(rows) else []
+            for lo, hi in zip(ends[:-1], ends[1:]):  # a thousand passages
+                row, word, weight = rows[lo:hi], words[lo:hi], weights[lo:hi]
+                place = slot[word]
+                some = place >= 0
+                at, value = place[some], weight[some]
+                a, b = _pairs(row[some])
+                np.add.at(total, (at * k)[a] + at[b], value[a] * value[b])
+                a, b = _pairs(row, np.flatnonzero(~some))
+                rest.append(_sums(word[a] * size + word[b], weight[a] * weight[b]))
+                if sum(len(key) for key, _ in rest) > held:
                     rest = [_sums(*map(np.concatenate, zip(*rest)))]
                     if 2 * len(rest[0][0]) > held:
-                        yield from strips(*rest.pop())
-        at = np.flatnonzero(total)
-        yield from strips(often[at // len(often)] * size + often[at % len(often)], total[at])
+                        yield from rare(*rest.pop())
+        total = total.reshape(k, k)
+        for lo in range(0, k, 256):  # the half below the diagonal is that above it
+            own = total[lo : lo + 256]
+            own[:, :lo] = total[:lo, lo : lo + 256].T
+            own[:, lo : lo + 256] += np.triu(own[:, lo : lo + 256], 1).T
+            x, y = np.nonzero(own)
+            yield from cut(often[lo + x] * size + often[y], own[x, y])
         if rest:
-            yield from strips(*_sums(*map(np.concatenate, zip(*rest))))
+            yield from rare(*_sums(*map(np.concatenate, zip(*rest))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
