@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of five-word shingles of 0.8 or more) stays."""
+    """One document of each group of near-duplicates stays: SimHash tries, then Jaccard of five-word shingles of 0.8 or more."""
     return drop_near_copies(docs)
 
 

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from tests.llm.fixtures import SCHEMA
 from tidemark.llm import near as N
@@ -149,3 +151,33 @@ def test_very_long_texts_are_processed_whole(spark):
     half = words[:150_000] + [f"v{rng.randrange(10**6)}" for _ in range(150_000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(twin)), (3, " ".join(half))], "doc_id long, text string")
     assert sorted(r.doc_id for r in N.drop_near_copies(df).collect()) == [1, 3]
+
+
+def test_candidates_come_from_tries_of_fingerprints(spark):
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 40, 200]))) for _ in range(40)]
+    sets = [N.shingle_set(N.plain_words(t)) for t in base]
+    for own in sets[:5]:
+        bits = np.unpackbits(N.mix(own ^ N._SALTS[0]).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        assert (N.votes(own)[:64] == (2 * bits - 1).sum(0)).all()
+    texts = base + [edited(rng, t, 0.8) for t in base]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = N.signatures(df)
+    told = {r.doc_id: r for r in rows.collect()}
+    bands = {}
+    for r in N.trie_bands(rows.dropDuplicates(["node"])).collect():
+        bands.setdefault(r.key, set()).add(r.node)
+    far = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y))
+    for k in range(40):
+        a, b = told[k], told[40 + k]
+        assert a.node == b.node or far(a.fp, b.fp) <= N.BUDGET
+        assert a.node == b.node or any({a.node, b.node} <= band for band in bands.values())
+    fps = {r.node: r.fp for r in told.values()}
+    for band in bands.values():  # nobody is in a band without a near one
+        assert all(any(far(fps[x], fps[y]) <= N.BUDGET for y in band - {x}) for x in band)
+
+
+def test_keys_grow_with_the_log_of_the_nodes():
+    assert [N.places_for(n) for n in (0, 500_000, 2_000_000, 13_000_000)] == [64, 64, 128, 512]
+    assert [len(N.turns(n)) for n in (64, 128, 512)] == [56, 72, 104]
+    assert N.whole_key(np.array([5], np.uint64)) < 0 <= N.band_keys(np.arange(1, 9, dtype=np.uint64)).min()

@@ -76,3 +76,20 @@ def test_unlike_rows_of_a_doc_id_stay(spark):
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, c), (2, c), (None, c)], "doc_id long, text string").repartition(3)
     kept = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(df).collect()), key=str)
     assert kept == sorted([(1, a), (2, b), (2, c), (None, c)], key=str)
+
+
+def test_roots_of_long_fingerprints_equal_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    rows = set()
+    for b in base:
+        for _ in range(40):
+            x = b.copy()
+            for k in rng.integers(0, 128, rng.integers(0, 9)):
+                x[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+            rows.add((int(rng.integers(0, 2)), *map(int, x)))
+    rows = sorted(rows)
+    group, words = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], np.uint64)
+    for budget in (3, 6, 44):
+        near = (np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= budget) & (group[:, None] == group[None])
+        assert (S.trie_roots(group, words, budget) == S.find_roots(len(rows), *np.nonzero(near))).all()

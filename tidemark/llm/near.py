@@ -1,17 +1,22 @@
-"""Near-duplicate documents by word shingles: candidates by MinHash bands, links by exact Jaccard similarity.
+"""Near-duplicate documents by word shingles: candidates by SimHash tries, links by exact Jaccard similarity.
 
 Texts with A-Z lower-cased are split at ASCII white space; a text is the set of its sequences of five words (a
 shorter text is its whole word sequence). Two texts are linked if the Jaccard similarity of their sets is at
-least 0.8. At that similarity SimHash fingerprints differ in about 10 of 64 bits, with a spread that asks for a
-budget of over 20, for which no keys of agreed bits are selective; so candidates come from 32 bands of five
-MinHash values. A pair at 0.8 agrees on no band with a probability of 3e-6, a closer pair with less.
-
-1. Texts of the same words are one node. A node goes to its 32 bands.
-2. In each band, nodes are compared with the smallest node; components over the links found are formed.
-3. In bands whose nodes are still in several components, the nodes outside the band's largest component are compared
+least 0.8. At that similarity a bit of their SimHash fingerprints differs with a probability of 0.15 (0.19 for the
+smallest sets), 10 to 12 bits of 64, so that op10's keys of fixed agreed bits, which hold for two, find few of them.
+
+1. Texts of the same words are one node. The shingles of a node cast 512 votes. Its fingerprint is the signs of the first
+   128, its keys are agreed bits at the places that its votes are surest of: each of the (at least 56) tables turns the
+   votes (sums of four of them with signs) and takes place and sign of the strongest in either half. At 0.8 nodes share
+   one key in five, so that they share none with a probability of about 5e-6; places in a half double as nodes grow
+   fourfold, so that nodes of a key stay few, and tables grow with their log.
+2. The fingerprints of a key form a binary trie, which is joined with itself under a budget of 44 bits of 128 (at 0.8
+   nodes differ in 19, with a spread of 4; unlike ones in 64). Nodes that reach each other are a band.
+3. In each band, nodes within 26 bits of the smallest node are compared with it; components over the links found are formed.
+4. In bands whose nodes are still in several components, the nodes outside the band's largest component are compared
    with a member of it, another one in each of ROUNDS rounds and in each band, if that component has an eighth of the
    band or more. So a large group of copies costs a few pairs a node; bands with few links cost none.
-4. What is still apart is joined by its rarest shingles: texts that are alike share one of the first fifth of each
+5. What is still apart is joined by its rarest shingles: texts that are alike share one of the first fifth of each
    one's shingles, from rare to common, and the first one that they share leaves enough of either behind it. Pairs of
    different components that share a shingle at such places, and whose sizes allow the similarity, are compared.
    Texts that share a template and differ in the rest have no such shingle.
@@ -26,6 +31,7 @@ table gives an empty result; further columns, whatever their names, come through
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -36,14 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, connected_components, materialise, text_chunks
+from tidemark.llm.common import arrow_map, connected_components, key_chunks, materialise, text_chunks
+from tidemark.llm.simhash import BITS, trie_roots
 from tidemark.llm.words import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, DEPTH = 32, 5
+VOTES, WORDS, BUDGET, CLOSE = 512, 2, 44, 26
+PLACES, CROWD = 64, 32
 ROUNDS, SMALL = 2, 8
-_SALTS = mix(np.arange(1, 1 + BANDS * DEPTH, dtype=np.uint64))
-_ODDS = mix(_SALTS) | np.uint64(1)
+_SALTS = mix(np.arange(1, 1 + VOTES // BITS, dtype=np.uint64))
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -63,35 +70,101 @@ def shingle_set(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :])]), ">u8").astype(np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band: equal if the smallest values of all its permutations are."""
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, ((shingles[at : at + 1024] ^ _SALTS[:, None]) * _ODDS[:, None]).min(1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, DEPTH).T:
-        key = mix(key ^ column)
-    return key.view(np.int64)
+def votes(shingles: np.ndarray) -> np.ndarray:
+    """The sum of the shingles' votes, 1 or -1, on each of VOTES bits."""
+    yes = np.zeros(VOTES, np.int64)
+    for at in range(0, len(shingles), 255):  # sums of 255 bits fit a byte
+        hashes = mix(shingles[at : at + 255, None] ^ _SALTS)
+        yes += np.unpackbits(hashes.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return 2 * yes - len(shingles)
+
+
+def places_for(nodes: int) -> int:
+    """Places in either half of the turned votes, for keys of few nodes."""
+    places = PLACES
+    while CROWD * (2 * places) ** 2 < nodes:
+        places *= 2
+    return places
+
+
+@functools.cache
+def turns(places: int) -> np.ndarray:
+    """For each table the four votes that are summed at each of its places."""
+    tables = 16 * (places.bit_length() - 1) - 40
+    return np.random.default_rng(places).integers(0, VOTES, (tables, 4, 2 * places))
+
+
+def strong_keys(cast: np.ndarray, places: int) -> np.ndarray:
+    """A key for each column of votes and each table: place and sign of the strongest vote in either half."""
+    keys, bits = [], np.int64(places.bit_length())
+    at = (np.arange(2 * places) % places << 1)[:, None]
+    for n, (a, b, c, d) in enumerate(turns(places)):
+        turned = cast[a] - cast[b] + cast[c] - cast[d]
+        told = np.abs(turned) << bits | at | (turned > 0)
+        first, second = (told[k : k + places].max(0) & ((1 << bits) - 1) for k in (0, places))
+        keys.append(n << 2 * bits | first << bits | second)
+    return np.stack(keys, 1)
+
+
+def band_keys(shingles: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """The keys of one set."""
+    return strong_keys(votes(shingles)[:, None], places)[0]
+
+
+def whole_key(shingles: np.ndarray) -> int:
+    """The only key of a set of fewer than four shingles: no other set is alike. It is negative, other keys are not."""
+    return int(np.bitwise_xor.reduce(mix(shingles)) | np.uint64(1 << 63)) - (1 << 64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw, node, size, keys) of each row: raw is the text's hash, node that of its words."""
+    """(doc_id, raw, node, size, fp, keys) of each row: raw is the text's hash, node that of its words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    places = places_for(rows.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches):
-            raw, node, size, keys = [], [], [], []
-            for text in t.column("text").to_pylist():
-                words = plain_words(text)
-                own = shingle_set(words)
-                raw.append(hashlib.md5((text or "").encode()).hexdigest())
-                node.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
-                size.append(len(own))
-                keys.append(band_keys(own) if len(own) else [])
-            cols = [t.column("doc_id").combine_chunks(), pa.array(raw), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "raw", "node", "size", "keys"])
+        for chunk in text_chunks(batches):
+            for t in (chunk.slice(at, 256) for at in range(0, len(chunk), 256)):  # short texts are many
+                raw, node, sets = [], [], []
+                for text in t.column("text").to_pylist():
+                    words = plain_words(text)
+                    sets.append(shingle_set(words))
+                    raw.append(hashlib.md5((text or "").encode()).hexdigest())
+                    node.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+                cast = np.stack([votes(x) for x in sets], 1)
+                fp = np.packbits(cast[: BITS * WORDS] > 0, axis=0).T.copy().view(np.int64)
+                keys = [row if len(x) > 3 else [whole_key(x)] if len(x) else [] for row, x in zip(strong_keys(cast, places), sets)]
+                cols = [t.column("doc_id").combine_chunks(), pa.array(raw), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(map(len, sets), pa.int32()), pa.array(list(fp), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "raw", "node", "size", "fp", "keys"])
+
+    return arrow_map(rows, run, "doc_id long, raw string, node long, size int, fp array<long>, keys array<long>")
+
+
+def trie_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, hub, bits): nodes of a key that reach each other in its trie under the budget, with a key of their
+    own, the smallest of them and the number of bits in which its fingerprint differs from the node's."""
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, raw string, node long, size int, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in key_chunks(batches, "key"):
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            words = np.stack([t.column(f"f{k}").to_numpy() for k in range(WORDS)], 1).view(np.uint64)
+            order = np.lexsort((node, *words.T[::-1], key))
+            key, node, words, size = key[order], node[order], words[order], t.column("size").to_numpy()[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]).any(1)]  # the same fingerprint is one row of the trie
+            at = np.cumsum(new) - 1
+            root = trie_roots(key[new], words[new], BUDGET)[at]
+            by = np.lexsort((node, root))
+            first = np.empty(len(root), np.int64)  # of each root the place of its smallest node
+            first[root[by[::-1]]] = by[::-1]
+            hub = first[root]
+            several = np.bincount(root, minlength=len(root))[root] > 1
+            own = mix(mix(key.view(np.uint64)) ^ node[hub].view(np.uint64)).view(np.int64)
+            bits = np.bitwise_count(words ^ words[hub]).sum(1, dtype=np.int32)
+            cols = {"key": own, "node": node, "size": size, "hub": node[hub], "bits": bits}
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in cols.values()], list(cols))
+
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "size", *(F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_map(rows.repartition(n, "key").sortWithinPartitions("key"), run, "key long, node long, size int, hub long, bits int")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -122,17 +195,15 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, component) of nodes that have near copies; rows: signatures of docs."""
-    nodes = rows.groupBy("node").agg(F.min("raw").alias("raw"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    bands, _ = materialise(nodes.select("node", "size", "raw", F.explode("keys").alias("key")), "bands")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("key", "hub")
-    shared, _ = materialise(bands.join(hubs, "key"), "shared-bands")
-    wanted = shared.select("node", "raw").distinct()
+    one = rows.groupBy("node").agg(F.min("raw").alias("raw"), *(F.first(c).alias(c) for c in ("size", "fp", "keys")))
+    bands, _ = materialise(trie_bands(one), "bands")
+    wanted = rows.join(bands.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("raw").alias("raw"))
     distinct = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("raw"), F.col("text").cast("string").alias("text")).dropDuplicates(["raw"])
     texts, _ = materialise(distinct.join(wanted, "raw").select("node", "text"), "candidates")
-    stars, _ = materialise(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    stars, _ = materialise(bands.where(f"node <> hub and bits <= {CLOSE}").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     near, _ = materialise(alike(stars, texts), "near")
     parts = connected_components(near).withColumnRenamed("component", "c")
-    placed, _ = materialise(_mixed(shared.join(parts, "node", "left").select("key", "node", "size", F.coalesce("c", "node").alias("c"))), "mixed-bands")
+    placed, _ = materialise(_mixed(bands.join(parts, "node", "left").select("key", "node", "size", F.coalesce("c", "node").alias("c"))), "mixed-bands")
     merged = []
     for turn in range(1, ROUNDS + 1):
         if placed.isEmpty():

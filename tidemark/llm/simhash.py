@@ -19,7 +19,7 @@ other member; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,19 +76,23 @@ def agreed_masks() -> list[int]:
     return masks
 
 
-def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one group whose fingerprints differ in at most budget bits.
+def _walk(group: np.ndarray, words: np.ndarray, budget: int, joined: Callable[..., np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one group whose fingerprints differ in at most budget bits, part by part.
 
-    Rows are sorted by (group, fp) and distinct. The node pair (a, b) of a level stands for two runs of rows
-    [a0, a1) and [b0, b1) that agree on all bits read so far but diff of them.
+    Rows are sorted by (group, words) and distinct; words has a row of 64-bit words for each fingerprint. The node pair
+    (a, b) of a level stands for two runs of rows [a0, a1) and [b0, b1) that agree on all bits read so far but diff of
+    them. Node pairs that joined says yes to are left out.
     """
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
     keep = ends - starts > 1
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(63, *(x[keep] for x in (starts, ends, starts, ends)), np.zeros(keep.sum(), np.int8))]
+    count = words.shape[1]
+    stack = [(BITS * count - 1, *(x[keep] for x in (starts, ends, starts, ends)), np.zeros(keep.sum(), np.int8))]
     while stack:
         bit, a0, a1, b0, b1, diff = stack.pop()
+        if joined and len(a0):
+            apart = ~joined(a0, a1, b0, b1)
+            a0, a1, b0, b1, diff = (x[apart] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
         if len(a0) > 1 << 19:  # bound memory: later parts wait
@@ -98,13 +102,14 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarr
         single = (a1 - a0 == 1) & (b1 - b0 == 1) & (a0 != b0)
         if single.any():  # two leaves: the bits left are compared at once
             i, j = a0[single], b0[single]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-            out.append((i[near], j[near]))
+            near = np.bitwise_count(words[i] ^ words[j]).sum(1) <= budget
+            yield i[near], j[near]
             a0, a1, b0, b1, diff = (x[~single] for x in (a0, a1, b0, b1, diff))
         if bit < 0 or not len(a0):
             continue
         # the row at which a run turns from bit 0 to bit 1; rows of a run are sorted
-        one = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)]
+        word = words[:, count - 1 - bit // BITS]
+        one = np.r_[0, np.cumsum((word >> np.uint64(bit % BITS)) & np.uint64(1)).astype(np.int64)]
         am, bm = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])
         own = (a0 == b0) & (a1 == b1)
         parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1)]
@@ -113,11 +118,47 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarr
         a0, a1, b0, b1, diff = new
         live = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~((a0 == b0) & (a1 == b1) & (a1 - a0 == 1))
         stack.append((bit - 1, *(x[live] for x in new)))
+
+
+def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of the walk over fingerprints of 64 bits."""
+    out = list(_walk(group, fp[:, None], budget))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def trie_roots(group: np.ndarray, words: np.ndarray, budget: int) -> np.ndarray:
+    """For each row the first row of its group that it reaches over pairs of the walk.
+
+    Rows beside each other are linked first; runs of rows that are linked already are not entered, so many alike
+    fingerprints cost about a step each, not their pairs."""
+    n = len(group)
+    root, change = np.arange(n), np.arange(n)
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root, change
+        old = np.flatnonzero(root != np.arange(n))
+        root = find_roots(n, np.concatenate([old, i]), np.concatenate([root[old], j]))
+        change = np.cumsum(np.r_[False, root[1:] != root[:-1]])
+
+    def joined(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        return (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (root[a0] == root[b0])
+
+    beside = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(words[1:] ^ words[:-1]).sum(1) <= budget))
+    link(beside, beside + 1)
+    waiting, held = [], 0
+    for i, j in _walk(group, words, budget, joined):
+        waiting.append((i, j))
+        held += len(i)
+        if held > 1 << 16:
+            link(*(np.concatenate(x) for x in zip(*waiting)))
+            waiting, held = [], 0
+    if held:
+        link(*(np.concatenate(x) for x in zip(*waiting)))
+    return root
+
+
 def _trie_join(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     for t in key_chunks(batches, "key"):
         key, fp = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
