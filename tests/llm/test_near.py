@@ -1,11 +1,13 @@
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 
 import corpus_pipeline as P
 from tests.llm.fixtures import SCHEMA
 from tidemark.llm import near as N
+from tidemark.llm.common import shared_dir
 
 
 def grams(text):
@@ -181,3 +183,40 @@ def test_keys_grow_with_the_log_of_the_nodes():
     assert [N.places_for(n) for n in (0, 500_000, 2_000_000, 13_000_000)] == [64, 64, 128, 512]
     assert [len(N.turns(n)) for n in (64, 128, 512)] == [56, 72, 104]
     assert N.whole_key(np.array([5], np.uint64)) < 0 <= N.band_keys(np.arange(1, 9, dtype=np.uint64)).min()
+
+
+def nodes_of(spark, fps):
+    signed = lambda x: [int(v) for v in np.array(x, np.uint64).view(np.int64)]
+    return spark.createDataFrame([(k, 50, signed(fp), [5]) for k, fp in enumerate(fps)], "node long, size int, fp array<long>, keys array<long>")
+
+
+def flipped(rng, fp, bits):
+    fp = list(fp)
+    for word, n in enumerate(bits):
+        for b in rng.sample(range(64), n):
+            fp[word] ^= 1 << b
+    return fp
+
+
+def test_unlike_nodes_of_a_crowded_key_are_in_no_band(spark):
+    rng = random.Random(7)
+    fps = [[rng.getrandbits(64) for _ in range(8)] for _ in range(1200)]
+    first = np.array([fp[:2] for fp in fps], np.uint64)
+    close = sum(int((np.bitwise_count(first[k + 1 :] ^ first[k]).sum(1) <= 44).sum()) for k in range(len(fps)))
+    assert close > 50  # pairs that the first 128 bits don't tell apart
+    fps += [flipped(rng, fps[0], [10] * 8), [*flipped(rng, fps[1][:2], [10] * 2), *(rng.getrandbits(64) for _ in range(6))]]
+    got = {r.node: r for r in N.trie_bands(nodes_of(spark, fps)).collect()}
+    assert set(got) == {0, 1200} and {(r.hub, r.size) for r in got.values()} == {(0, 50)} and got[1200].bits == 80
+
+
+def test_only_what_is_kept_stays_in_the_shared_folder(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(100)) for _ in range(20)]
+    texts += [edited(rng, t, 0.85) for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    folder.mkdir(parents=True, exist_ok=True)
+    before = {p.name for p in folder.iterdir()}
+    kept = N.drop_near_copies(df)
+    assert [name.split("-")[0] for name in {p.name for p in folder.iterdir()} - before] == ["kept"]
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))

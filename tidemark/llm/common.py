@@ -73,6 +73,17 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives, materialised. Tables that were written on the way are dropped, as nothing reads them any more."""
+    at = len(_MADE)
+    out, path = materialise(make(), name)
+    for spark, old in _MADE[at:]:
+        if old != path:
+            drop(spark, old)
+    _MADE[at:] = [x for x in _MADE[at:] if x[1] == path]
+    return out
+
+
 def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """As materialise, in buckets of a key: joins on it read the rows where they lie instead of moving them. Its entry
     in the catalog goes with the files when the driver exits."""

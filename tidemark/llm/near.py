@@ -5,14 +5,17 @@ shorter text is its whole word sequence). Two texts are linked if the Jaccard si
 least 0.8. At that similarity a bit of their SimHash fingerprints differs with a probability of 0.15 (0.19 for the
 smallest sets), 10 to 12 bits of 64, so that op10's keys of fixed agreed bits, which hold for two, find few of them.
 
-1. Texts of the same words are one node. The shingles of a node cast 512 votes. Its fingerprint is the signs of the first
-   128, its keys are agreed bits at the places that its votes are surest of: each of the (at least 56) tables turns the
+1. Texts of the same words are one node. The shingles of a node cast 512 votes. Its fingerprint is their signs, its keys
+   are agreed bits at the places that its votes are surest of: each of the (at least 56) tables turns the
    votes (sums of four of them with signs) and takes place and sign of the strongest in either half. At 0.8 nodes share
    one key in five, so that they share none with a probability of about 5e-6; places in a half double as nodes grow
    fourfold, so that nodes of a key stay few, and tables grow with their log.
-2. The fingerprints of a key form a binary trie, which is joined with itself under a budget of 44 bits of 128 (at 0.8
-   nodes differ in 19, with a spread of 4; unlike ones in 64). Nodes that reach each other are a band.
-3. In each band, nodes within 26 bits of the smallest node are compared with it; components over the links found are formed.
+2. The first 128 bits of the fingerprints of a key form a binary trie, which is joined with itself under a budget of 44 bits
+   (at 0.8 nodes differ in 19, the smallest in 24, with a spread of 4; unlike ones in 64). One unlike pair of a key in
+   4,000 passes, so nodes that met unlike ones alone would grow with the nodes of a key. So those that reach each other
+   form a second trie of all 512 bits, under a budget of 140 (at 0.8 nodes differ in 78, the smallest in 96, with a
+   spread of 9; unlike ones in 256, with one of 11). Nodes that reach each other there are a band.
+3. In each band, nodes within 104 bits of the smallest node are compared with it; components over the links found are formed.
 4. In bands whose nodes are still in several components, the nodes outside the band's largest component are compared
    with a member of it, another one in each of ROUNDS rounds and in each band, if that component has an eighth of the
    band or more. So a large group of copies costs a few pairs a node; bands with few links cost none.
@@ -42,12 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, connected_components, key_chunks, materialise, text_chunks
+from tidemark.llm.common import arrow_map, connected_components, key_chunks, materialise, settled, text_chunks
 from tidemark.llm.simhash import BITS, trie_roots
 from tidemark.llm.words import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
-VOTES, WORDS, BUDGET, CLOSE = 512, 2, 44, 26
+VOTES, WORDS, BUDGET, CLOSE = 512, 8, 140, 104
+FIRST_WORDS, FIRST_BUDGET = 2, 44
 PLACES, CROWD = 64, 32
 ROUNDS, SMALL = 2, 8
 _SALTS = mix(np.arange(1, 1 + VOTES // BITS, dtype=np.uint64))
@@ -139,19 +143,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, raw string, node long, size int, fp array<long>, keys array<long>")
 
 
-def trie_bands(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, hub, bits): nodes of a key that reach each other in its trie under the budget, with a key of their
-    own, the smallest of them and the number of bits in which its fingerprint differs from the node's."""
+def reached(rows: DataFrame, count: int, budget: int) -> DataFrame:
+    """(key, node, hub, bits): nodes of a key that reach each other in the trie of so many words f0, f1, ... under the budget,
+    with a key of their own, the smallest of them and the number of bits in which its fingerprint differs from the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_chunks(batches, "key"):
             key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-            words = np.stack([t.column(f"f{k}").to_numpy() for k in range(WORDS)], 1).view(np.uint64)
+            words = np.stack([t.column(f"f{k}").to_numpy() for k in range(count)], 1).view(np.uint64)
             order = np.lexsort((node, *words.T[::-1], key))
-            key, node, words, size = key[order], node[order], words[order], t.column("size").to_numpy()[order]
+            key, node, words = key[order], node[order], words[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]).any(1)]  # the same fingerprint is one row of the trie
             at = np.cumsum(new) - 1
-            root = trie_roots(key[new], words[new], BUDGET)[at]
+            root = trie_roots(key[new], words[new], budget)[at]
             by = np.lexsort((node, root))
             first = np.empty(len(root), np.int64)  # of each root the place of its smallest node
             first[root[by[::-1]]] = by[::-1]
@@ -159,12 +163,20 @@ def trie_bands(nodes: DataFrame) -> DataFrame:
             several = np.bincount(root, minlength=len(root))[root] > 1
             own = mix(mix(key.view(np.uint64)) ^ node[hub].view(np.uint64)).view(np.int64)
             bits = np.bitwise_count(words ^ words[hub]).sum(1, dtype=np.int32)
-            cols = {"key": own, "node": node, "size": size, "hub": node[hub], "bits": bits}
+            cols = {"key": own, "node": node, "hub": node[hub], "bits": bits}
             yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in cols.values()], list(cols))
 
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "size", *(F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_map(rows.repartition(n, "key").sortWithinPartitions("key"), run, "key long, node long, size int, hub long, bits int")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_map(rows.repartition(n, "key").sortWithinPartitions("key"), run, "key long, node long, hub long, bits int")
+
+
+def trie_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, hub, bits): nodes that reach each other in the trie of a key, and then in that of their whole
+    fingerprints. Only nodes that pass the first trie carry the whole ones."""
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)]
+    met = reached(nodes.select(F.explode("keys").alias("key"), "node", *words[:FIRST_WORDS]), FIRST_WORDS, FIRST_BUDGET)
+    whole = met.select("key", "node").join(nodes.select("node", *words), "node")
+    return reached(whole.select("key", "node", *(f"f{k}" for k in range(WORDS))), WORDS, BUDGET).join(nodes.select("node", "size"), "node")
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -274,14 +286,19 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return known.select("shingle", "node", "size", "c", place.alias("place"), first.alias("first")).where("place <= first").drop("first")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that with the smallest doc_id; all columns stay."""
+def _kept(docs: DataFrame) -> DataFrame:
+    """(id, none, raw) of the rows that stay."""
     rows, _ = materialise(signatures(docs), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")
     first = rows.groupBy("node").agg(F.min(place).alias("first"))  # exact copies are folded before groups are
     named = first.join(near_components(docs, rows), "node", "left").withColumn("c", F.coalesce("component", "node"))
     on = [F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.none").alias("none"), F.col("first.raw").alias("raw")]
-    kept = named.groupBy("c").agg(F.min("first").alias("first")).select(*on)
+    return named.groupBy("c").agg(F.min("first").alias("first")).select(*on)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest doc_id; all columns stay."""
+    kept = settled(lambda: _kept(docs), "kept")
     ids = docs["doc_id"].cast("long")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(ids, F.lit(0)).alias("id"), ids.isNull().alias("none"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("raw"))
     names = ["id", "none", "raw"]
